@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontaminate import op8_spaced_seeds
+from tidemark.llm.language import op4_language
 from tidemark.llm.mixing import OP1_SQL, op1_mixing
 from tidemark.llm.quality import op5_repetition
 from tidemark.llm.simhash import op9_simhash
@@ -10,8 +12,10 @@ from tidemark.llm.warc import op7_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op4_language": op4_language,
     "op5_repetition": op5_repetition,
     "op7_warc": op7_warc,
+    "op8_spaced_seeds": op8_spaced_seeds,
     "op9_simhash": op9_simhash,
     "op10_tokens": op10_tokens,
 }
