@@ -7,11 +7,13 @@ from tidemark.llm.language import op4_language
 from tidemark.llm.mixing import OP1_SQL, op1_mixing
 from tidemark.llm.quality import op5_repetition
 from tidemark.llm.simhash import op9_simhash
+from tidemark.llm.substrings import op2_substrings
 from tidemark.llm.token_counts import op10_tokens
 from tidemark.llm.warc import op7_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_substrings": op2_substrings,
     "op4_language": op4_language,
     "op5_repetition": op5_repetition,
     "op7_warc": op7_warc,
