@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import op8_spaced_seeds
+from tidemark.llm.html_extract import op6_wrapper
 from tidemark.llm.language import op4_language
 from tidemark.llm.mixing import OP1_SQL, op1_mixing
 from tidemark.llm.quality import op5_repetition
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_substrings": op2_substrings,
     "op4_language": op4_language,
     "op5_repetition": op5_repetition,
+    "op6_wrapper": op6_wrapper,
     "op7_warc": op7_warc,
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_simhash": op9_simhash,

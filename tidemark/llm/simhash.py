@@ -180,3 +180,22 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every row of `documents`."""
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def group_heads(docs: DataFrame) -> DataFrame:
+    """docs with one document of each near-duplicate group, that of the smallest doc_id, all columns kept.
+
+    Repeated rows of that doc_id collapse to one (the first by text hash, then by a hash of
+    all columns); so do all rows without a doc_id that no group with a doc_id takes in.
+    """
+    heads = simhash_groups(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = stash(heads.select(F.col("component_id").alias("head")).distinct(), "heads")
+    met = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+    order = [F.xxhash64("text"), F.xxhash64(*docs.columns)]
+    narrow = met.select("doc_id", *[c.alias(n) for c, n in zip(order, ("text_hash", "row_hash"), strict=True)])
+    first = narrow.groupBy("doc_id").agg(F.min(F.struct("text_hash", "row_hash")).alias("first"), F.count("*").alias("rows"))
+    again = stash(first.filter("rows > 1"), "repeated")
+    twice = met.join(again.select(F.col("doc_id").alias("again_id"), "first"), F.col("doc_id").eqNullSafe(F.col("again_id")), "left")
+    kept = twice.filter(F.col("first").isNull() | (F.struct(*order) == F.struct("first.text_hash", "first.row_hash")))
+    once = kept.filter("first is null").select(*docs.columns)
+    return once.unionByName(kept.filter("first is not null").select(*docs.columns).dropDuplicates())
