@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.decontaminate import op8_spaced_seeds
 from tidemark.llm.html_extract import op6_wrapper
 from tidemark.llm.language import op4_language
+from tidemark.llm.language_model import op3_maxent
 from tidemark.llm.mixing import OP1_SQL, op1_mixing
 from tidemark.llm.quality import op5_repetition
 from tidemark.llm.simhash import op9_simhash
@@ -15,6 +16,7 @@ from tidemark.llm.warc import op7_warc
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substrings": op2_substrings,
+    "op3_maxent": op3_maxent,
     "op4_language": op4_language,
     "op5_repetition": op5_repetition,
     "op6_wrapper": op6_wrapper,
