@@ -112,5 +112,5 @@ def op8_spaced_seeds(spark, sf_dir: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that leak a benchmark item, all columns kept."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leak_doc"), F.col("text_hash").alias("leak_hash")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leak_doc")) & (F.xxhash64("text") == F.col("leak_hash")), "left_anti")
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias("__leak_doc"), F.col("text_hash").alias("__leak_hash")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leak_doc")) & (F.xxhash64("text") == F.col("__leak_hash")), "left_anti")

@@ -130,8 +130,8 @@ def identify(docs: DataFrame, suffix: Column | None = None, labelled: int = LABE
     tally = F.array(*[F.sum((F.col("text_best") == i).cast("double")) for i in range(size)])
     flat = F.array(*[F.lit((1.0 - NONE_PRIOR) / max(size - 1, 1) if i < size - 1 else NONE_PRIOR) for i in range(size)])
     by_host = stash(scored.groupBy("host", "suffix").agg(tally.alias("n_host")), "hosts")
-    sums = lambda column: F.array(*[F.sum(F.get(column, F.lit(i))) for i in range(size)])
-    whole = by_host.agg(sums("n_host").alias("n")).select(F.transform(log_shares(F.coalesce("n", F.array(*[F.lit(0.0)] * size)), flat, PULL), F.exp)).first()[0]
+    sums = lambda column: F.array(*[F.coalesce(F.sum(F.get(column, F.lit(i))), F.lit(0.0)) for i in range(size)])
+    whole = by_host.agg(sums("n_host").alias("n")).select(F.transform(log_shares(F.col("n"), flat, PULL), F.exp)).first()[0]
     corpus = F.array(*[F.lit(float(x)) for x in whole])
     by_suffix = by_host.groupBy(F.col("suffix").alias("s")).agg(sums("n_host").alias("n_suffix"))
     by_suffix = by_suffix.select("s", F.transform(log_shares(F.col("n_suffix"), corpus, PULL), F.exp).alias("suffix_prior"))
@@ -141,9 +141,9 @@ def identify(docs: DataFrame, suffix: Column | None = None, labelled: int = LABE
     hosts = stash(hosts, "priors")
     # P(declared | language): smoothed towards the declaration's share of the corpus
     declared = scored.filter("declared is not null").groupBy("declared").agg(tally.alias("n_declared"))
-    totals = declared.agg(sums("n_declared").alias("n")).first()[0] or []
-    per_language = F.array(*[F.lit(float(x or 0.0)) for x in (totals or [0.0] * size)])
-    everything = float(sum(x or 0.0 for x in totals)) or 1.0
+    totals = declared.agg(sums("n_declared").alias("n")).first()[0]
+    per_language = F.array(*[F.lit(float(x)) for x in totals])
+    everything = float(sum(totals)) or 1.0
     shared = F.aggregate("n_declared", F.lit(0.0), lambda a, x: a + x) / everything
     declared = declared.select(F.col("declared").alias("d"), F.zip_with("n_declared", per_language, lambda n, t: F.ln((n + shared * DECLARED_PULL) / (t + DECLARED_PULL))).alias("log_declared"))
     declared = stash(declared, "declared")
@@ -166,6 +166,6 @@ def op4_language(spark, sf_dir: str) -> DataFrame:
 
 def identified_documents(docs: DataFrame) -> DataFrame:
     """docs without the texts that are in no language or too uncertain, all columns kept."""
-    found = identify(docs).filter("kept").select(F.col("doc_id").alias("kept_doc"), F.col("text_hash").alias("kept_hash"), F.col("declared").alias("kept_declared")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.xxhash64("text") == F.col("kept_hash")) & F.col("lang").eqNullSafe(F.col("kept_declared"))
+    found = identify(docs).filter("kept").select(F.col("doc_id").alias("__kept_doc"), F.col("text_hash").alias("__kept_hash"), F.col("declared").alias("__kept_declared")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__kept_doc")) & (F.xxhash64("text") == F.col("__kept_hash")) & F.col("lang").eqNullSafe(F.col("__kept_declared"))
     return docs.join(found, same, "left_semi")

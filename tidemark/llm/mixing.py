@@ -113,7 +113,8 @@ def sized_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """Documents repeated as the mix takes them, with `repetition` (1, 2, ..).
+    """Documents repeated as the mix takes them, with `repetition` (1, 2, ..; named
+    mix_repetition where docs has such a column).
 
     docs needs doc_id, text and source; other columns pass through. Null texts have size 0
     and count as their source's documents; null sources are one source, ranked last. A
@@ -121,10 +122,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     together. An empty table gives an empty one.
     """
     cuts = mix_cuts(stash(sized_documents(docs, seed), "sized"), weights, max_epochs)
-    taken = docs.join(cuts, docs["source"].eqNullSafe(cuts["mix_source"]))
-    copies = F.col("whole") + F.when(seeded_key("doc_id", seed) <= F.col("cut_key"), 1).otherwise(0)
-    taken = taken.withColumn("copies", copies.cast("int")).filter("copies > 0")
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("repetition"))
+    cuts = cuts.select(*[F.col(c).alias(f"__mix_{c}") for c in cuts.columns])
+    taken = docs.join(cuts, F.col("source").eqNullSafe(F.col("__mix_mix_source")))
+    copies = F.col("__mix_whole") + F.when(seeded_key("doc_id", seed) <= F.col("__mix_cut_key"), 1).otherwise(0)
+    taken = taken.withColumn("__mix_copies", copies.cast("int")).filter("__mix_copies > 0")
+    name = "repetition" if "repetition" not in docs.columns else "mix_repetition"
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias(name))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

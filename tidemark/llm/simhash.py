@@ -189,13 +189,11 @@ def group_heads(docs: DataFrame) -> DataFrame:
     all columns); so do all rows without a doc_id that no group with a doc_id takes in.
     """
     heads = simhash_groups(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = stash(heads.select(F.col("component_id").alias("head")).distinct(), "heads")
-    met = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
-    order = [F.xxhash64("text"), F.xxhash64(*docs.columns)]
-    narrow = met.select("doc_id", *[c.alias(n) for c, n in zip(order, ("text_hash", "row_hash"), strict=True)])
-    first = narrow.groupBy("doc_id").agg(F.min(F.struct("text_hash", "row_hash")).alias("first"), F.count("*").alias("rows"))
-    again = stash(first.filter("rows > 1"), "repeated")
-    twice = met.join(again.select(F.col("doc_id").alias("again_id"), "first"), F.col("doc_id").eqNullSafe(F.col("again_id")), "left")
-    kept = twice.filter(F.col("first").isNull() | (F.struct(*order) == F.struct("first.text_hash", "first.row_hash")))
-    once = kept.filter("first is null").select(*docs.columns)
-    return once.unionByName(kept.filter("first is not null").select(*docs.columns).dropDuplicates())
+    heads = stash(heads.select(F.col("component_id").alias("__head")).distinct(), "heads")
+    met = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__head")), "left_semi")
+    order = F.struct(F.xxhash64("text").alias("t"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    again = met.select(F.col("doc_id").alias("__again"), order.alias("o")).groupBy("__again").agg(F.min("o").alias("__first"), F.count("*").alias("n"))
+    again = stash(again.filter("n > 1").drop("n"), "repeated")  # as a rule empty
+    kept = met.join(again, F.col("doc_id").eqNullSafe(F.col("__again")), "left").filter(F.col("__first").isNull() | (order == F.col("__first")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.filter("__first is null").select(*own).unionByName(kept.filter("__first is not null").select(*own).dropDuplicates())

@@ -327,10 +327,12 @@ def documents_without_repeats(docs: DataFrame) -> DataFrame:
 
     A text that loses nothing keeps its white space, any other has its words joined by spaces.
     """
-    done = dedup_substrings(docs).filter("n_removed > 0").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "n_words", "n_removed", "kept").dropDuplicates(["d", "h"])
+    done = dedup_substrings(docs).filter("n_removed > 0")
+    done = done.select(*[F.col(c).alias(f"__cut_{c}") for c in done.columns]).dropDuplicates(["__cut_doc_id", "__cut_text_hash"])
     done = stash(done, "trimmed")
-    met = docs.join(done, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left")
-    met = met.filter("n_removed is null or n_removed < n_words")
-    text = F.coalesce("kept", docs["text"])
-    fresh = {"text": text, "n_chars": F.when(F.col("kept").isNull(), docs["n_chars"]).otherwise(F.length("kept")).cast("long")} if "n_chars" in docs.columns else {"text": text}
-    return met.select(*[fresh[c].alias(c) if c in fresh else docs[c] for c in docs.columns])
+    met = docs.join(done, F.col("doc_id").eqNullSafe(F.col("__cut_doc_id")) & (F.xxhash64("text") == F.col("__cut_text_hash")), "left")
+    met = met.filter("__cut_n_removed is null or __cut_n_removed < __cut_n_words")
+    fresh = {"text": F.coalesce("__cut_kept", "text")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(F.col("__cut_kept").isNull(), F.col("n_chars")).otherwise(F.length("__cut_kept")).cast("long")
+    return met.select(*[fresh.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
