@@ -56,6 +56,11 @@ def _drop_stashed() -> None:
             return
 
 
+def with_checked_size(stashed: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A stashed table of narrow rows, broadcast if it has at most `rows` of them (some 30 MB), else as it is."""
+    return F.broadcast(stashed) if stashed.count() <= rows else stashed
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stash, table
+from tidemark.llm.common import stash, table, with_checked_size
 
 #: Ones come in pairs, so that the hash of two neighbours is made once for all masks.
 MASKS = ("110110011", "1100011011")
@@ -113,4 +113,5 @@ def op8_spaced_seeds(spark, sf_dir: str) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that leak a benchmark item, all columns kept."""
     found = leaks(docs, benchmark).select(F.col("doc_id").alias("__leak_doc"), F.col("text_hash").alias("__leak_hash")).distinct()
+    found = with_checked_size(stash(found, "leaking"))
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leak_doc")) & (F.xxhash64("text") == F.col("__leak_hash")), "left_anti")

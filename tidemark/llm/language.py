@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stash, table, texts
+from tidemark.llm.common import slices, stash, table, texts, with_checked_size
 
 #: Labelled rows that the trigram tables are fitted on, in expectation (chosen by hash), and languages at most.
 LABELLED, LANGUAGES = 4000, 64
@@ -166,6 +166,7 @@ def op4_language(spark, sf_dir: str) -> DataFrame:
 
 def identified_documents(docs: DataFrame) -> DataFrame:
     """docs without the texts that are in no language or too uncertain, all columns kept."""
-    found = identify(docs).filter("kept").select(F.col("doc_id").alias("__kept_doc"), F.col("text_hash").alias("__kept_hash"), F.col("declared").alias("__kept_declared")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__kept_doc")) & (F.xxhash64("text") == F.col("__kept_hash")) & F.col("lang").eqNullSafe(F.col("__kept_declared"))
-    return docs.join(found, same, "left_semi")
+    found = identify(docs).filter("not kept").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("declared").alias("__declared")).distinct()
+    found = with_checked_size(stash(found, "rejected"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")) & F.col("lang").eqNullSafe(F.col("__declared"))
+    return docs.join(found, same, "left_anti")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stash, table, texts
+from tidemark.llm.common import slices, stash, table, texts, with_checked_size
 from tidemark.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -54,15 +54,16 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (signed 64 bits) of every row; null texts are empty."""
+    """doc_id, text_hash and fp (signed 64 bits) of every row; null texts are empty."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 found = np.array([fingerprint(x, shingle, seed) for x in texts(piece, "text")], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measure, "doc_id long, fp long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return read.mapInArrow(measure, "doc_id long, text_hash long, fp long")
 
 
 def keys(radius: int, blocks: int) -> list[np.uint64]:
@@ -161,7 +162,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id of all that links reach) of every row.
+    """doc_id, text_hash, fp and component_id (smallest doc_id of all that links reach) of every row.
 
     Null and empty texts have fingerprint 0 and are linked as any other. Repeated rows
     are in one group. A null doc_id gets its group's smallest doc_id, or null if the
@@ -173,7 +174,7 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE
     joined = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = stash(joined.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "groups")
-    return marked.join(of, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    return marked.join(of, F.col("fp") == F.col("of")).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
@@ -188,12 +189,17 @@ def group_heads(docs: DataFrame) -> DataFrame:
     Repeated rows of that doc_id collapse to one (the first by text hash, then by a hash of
     all columns); so do all rows without a doc_id that no group with a doc_id takes in.
     """
-    heads = simhash_groups(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = stash(heads.select(F.col("component_id").alias("__head")).distinct(), "heads")
-    met = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__head")), "left_semi")
+    others = simhash_groups(docs.select("doc_id", "text")).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    others = with_checked_size(stash(others.select(F.col("doc_id").alias("__other"), F.col("text_hash").alias("__hash")).distinct(), "others"))
+    heads = docs.join(others, F.col("doc_id").eqNullSafe(F.col("__other")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    # heads' doc_ids that come more than once, as a rule none: found on narrow rows
     order = F.struct(F.xxhash64("text").alias("t"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    again = met.select(F.col("doc_id").alias("__again"), order.alias("o")).groupBy("__again").agg(F.min("o").alias("__first"), F.count("*").alias("n"))
-    again = stash(again.filter("n > 1").drop("n"), "repeated")  # as a rule empty
-    kept = met.join(again, F.col("doc_id").eqNullSafe(F.col("__again")), "left").filter(F.col("__first").isNull() | (order == F.col("__first")))
+    narrow = docs.select(F.col("doc_id").alias("__again"), order.alias("__o"))
+    narrow = narrow.join(others, F.col("__again").eqNullSafe(F.col("__other")) & (F.col("__o.t") == F.col("__hash")), "left_anti")
+    again = stash(narrow.groupBy("__again").agg(F.min("__o").alias("__first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    if again.isEmpty():
+        return heads
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.filter("__first is null").select(*own).unionByName(kept.filter("__first is not null").select(*own).dropDuplicates())
+    met = heads.join(again, F.col("doc_id").eqNullSafe(F.col("__again")), "left")
+    once = met.filter("__first is null").select(*own)
+    return once.unionByName(met.filter(order == F.col("__first")).select(*own).dropDuplicates())
