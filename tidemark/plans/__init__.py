@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import daily, metrics
+from tidemark.plans import daily, metrics, series
 
-_MODULES = (daily, metrics)
+_MODULES = (daily, metrics, series)
 
 
 def queries() -> dict:
