@@ -68,9 +68,9 @@ def fit(docs: DataFrame, labelled: int = LABELLED) -> tuple[list[str], np.ndarra
         lang, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[lang, bucket])], ["lang", "bucket", "n"])
 
-    found = sample.mapInArrow(tally, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(tally, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros((len(names), BUCKETS))
-    sums[found["lang"], found["bucket"]] = found["n"]
+    sums[found["lang"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     smooth = sums + 0.05
     return names, np.vstack([np.log(smooth / smooth.sum(axis=1, keepdims=True)), np.full(BUCKETS, -np.log(BUCKETS))])
 
