@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import daily, metrics, series
+from tidemark.plans import daily, metrics, records, series
 
-_MODULES = (daily, metrics, series)
+_MODULES = (daily, metrics, series, records)
 
 
 def queries() -> dict:
