@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import daily, metrics, records, series
+from tidemark.plans import daily, metrics, models, records, series
 
-_MODULES = (daily, metrics, series, records)
+_MODULES = (daily, metrics, series, records, models)
 
 
 def queries() -> dict:
