@@ -167,3 +167,41 @@ def control_chart(days: DataFrame, mean: float, scale: float, alpha: float = 0.3
         return state, (site, day, state["ewma"], state["cusum"], score)
 
     return ordered_scan(days.select("site", "day", F.col("value").cast("double").alias("value")), "site", ("day",), step, "site long, day date, ewma double, cusum double, score double")
+
+
+def onset_labels(slots: DataFrame, marked: DataFrame, horizon: int) -> DataFrame:
+    """Labels and first-onset exposure of every slot as issue, from onset intervals (lower, upper].
+
+    slots: site, day, usable; marked: the result of onsets() for them. An onset surely inside
+    (issue, issue + horizon] is positive; one whose interval straddles a boundary is
+    ambiguous; without either the future must be covered to be negative. Lower bounds grow
+    with upper ones, so the next onset after a frame is the only one that can reach into it.
+    """
+    by_day = Window.partitionBy("site").orderBy("day")
+    ahead, beyond = by_day.rowsBetween(1, horizon), by_day.rowsBetween(horizon + 1, Window.unboundedFollowing)
+    later = by_day.rowsBetween(1, Window.unboundedFollowing)
+    r = marked.join(slots.select("site", "day", "usable"), ["site", "day"])
+    r = r.withColumns({"on": F.when(F.col("is_onset"), F.struct(F.col("day").alias("upper"), F.coalesce("onset_lower", F.lit("0001-01-01").cast("date")).alias("lower")))})
+    r = r.withColumns({
+        "surest": F.max("on.lower").over(ahead), "doubtful": F.min("on.lower").over(ahead), "next_on": F.first("on", ignorenulls=True).over(beyond),
+        "first_on": F.first("on", ignorenulls=True).over(later), "covered": F.sum(F.col("usable").cast("long")).over(by_day.rowsBetween(0, horizon)),
+    })
+    straddles = F.coalesce(F.col("doubtful") < F.col("day"), F.lit(False)) | F.coalesce(F.col("next_on.lower") < F.date_add("day", horizon), F.lit(False))
+    known = F.coalesce((F.col("class") == "L") & F.col("at_risk"), F.lit(False))
+    reason = (
+        F.when(~known, "current_state_unknown_or_ongoing").when(F.col("surest") >= F.col("day"), "definite_future_onset")
+        .when(straddles, "onset_boundary_ambiguous").when(F.col("covered") <= horizon, "incomplete_future_monitoring").otherwise("complete_future_monitoring")
+    )
+    bounded = F.col("first_on.lower") >= F.col("day")
+    return r.withColumn("reason", reason).select(
+        "site", F.col("day").alias("issue"), "reason", F.when(F.col("reason") == "definite_future_onset", 1).when(F.col("reason") == "complete_future_monitoring", 0).alias("label"),
+        F.when(F.col("first_on").isNull(), "no_future_onset").when(bounded, "bounded_interval").otherwise("unknown_interval_may_precede_issue").alias("first_status"),
+        F.when(bounded, 24 * F.datediff("first_on.lower", "day")).cast("long").alias("lead_lower"), F.when(bounded, 24 * F.datediff("first_on.upper", "day")).cast("long").alias("lead_upper"),
+    )
+
+
+def causal_filter(rows: DataFrame, taps: Sequence[float], dilation: int = 1) -> DataFrame:
+    """Causal dilated filter of each site's values: sum of tap k times the value k * dilation steps before, zero before the start."""
+    w = Window.partitionBy("site").orderBy("t", "obs_id")
+    total = sum(F.lit(float(c)) * F.lag(F.col("value").cast("double"), k * dilation, 0.0).over(w) if k else F.lit(float(c)) * F.col("value").cast("double") for k, c in enumerate(taps))
+    return rows.withColumn("filtered", total)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import daily, metrics, models, records, series
+from tidemark.plans import daily, metrics, models, more, records, series
 
-_MODULES = (daily, metrics, series, records, models)
+_MODULES = (daily, metrics, series, records, models, more)
 
 
 def queries() -> dict:
