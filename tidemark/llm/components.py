@@ -19,6 +19,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("of"), F.least("u", "least").alias("m"))
+    # stashed, so that the join reads two plain exchanges, whose skewed partitions Spark can split: a hub has many links
+    least = stash(least, "least")
     met = both.join(least, F.col("u") == F.col("of"))
     if large:
         out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
