@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import daily, inputs, metrics, models, more, records, series
+from tidemark.plans import daily, evaluation, inputs, metrics, models, more, records, series
 
-_MODULES = (daily, metrics, series, records, models, more, inputs)
+_MODULES = (daily, metrics, series, records, models, more, inputs, evaluation)
 
 
 def queries() -> dict:
