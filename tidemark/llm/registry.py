@@ -7,6 +7,7 @@ from tidemark.llm.html_extract import op6_wrapper
 from tidemark.llm.language import op4_language
 from tidemark.llm.language_model import op3_maxent
 from tidemark.llm.mixing import OP1_SQL, op1_mixing
+from tidemark.llm.oracles import OP2_SQL, OP5_SQL, OP7_SQL, OP8_SQL
 from tidemark.llm.quality import op5_repetition
 from tidemark.llm.simhash import op9_simhash
 from tidemark.llm.substrings import op2_substrings
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_tokens": op10_tokens,
 }
 
-SQL = {"op1_mixing": OP1_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op2_substrings": OP2_SQL, "op5_repetition": OP5_SQL, "op7_warc": OP7_SQL, "op8_spaced_seeds": OP8_SQL}

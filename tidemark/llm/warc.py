@@ -212,10 +212,12 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     """Write all `pages` as archives, read them back and merge their index.
 
     One row a page: page_id, payload_bytes, payload_digest, record_type, refers_to, and
-    its place in the capture index (url_key, ts, run, offset). Null html, url and page_id
+    its key in the capture index (url_key, ts). A record whose payload does not have the
+    digest that its header names raises. Null html, url and page_id
     are described at write_archives; an empty table gives no rows.
     """
     path = shared_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     index = stash(read_archives(spark, path), "runs")
-    return merged_index(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "run", "offset", "intact")
+    sound = F.when(F.col("intact"), F.lit(True)).otherwise(F.raise_error(F.lit("payload differs from its digest")).cast("boolean"))
+    return merged_index(index).filter(sound).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
