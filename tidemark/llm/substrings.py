@@ -299,9 +299,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> D
     # edges are sent, and of repeated segments one occurrence, where their anchor has others
     send = (F.col("kinds") > 1) & ((F.col("n") == 1) | F.struct("doc_id", "text_hash", "first").eqNullSafe(F.col("least")))
     flagged = flagged.select("doc_id", "text_hash", F.struct("a", "s", "first", "last", "n", "kinds", send.alias("send")).alias("x"))
-    flagged = flagged.groupBy("doc_id", "text_hash").agg(F.collect_list("x").alias("flagged"))
-    # one repeated row of a document stands for all: they get the same segments
-    flagged = flagged.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.array_distinct("flagged").alias("flagged"))
+    flagged = flagged.groupBy("doc_id", "text_hash").agg(F.collect_set("x").alias("flagged"))  # a set: repeated rows of a document give the same segments
+    flagged = flagged.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "flagged")
     flagged = stash(flagged, "flagged")
     mine = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
     cut = stash(cut_repeats(read.join(flagged, mine).select("doc_id", "text_hash", "text", "flagged"), window), "cut")
