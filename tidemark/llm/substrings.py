@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import BASE, mixed, rolled, slices, stash, table, texts
 
 WINDOW, GRAM = 35, 8
-#: Distinct segments of an anchor that one automaton holds, about 12,000 words.
-HOT = 256
+#: Distinct segments of an anchor that one automaton holds, about 100,000 words.
+HOT = 2000
 
 _INVERSE = pow(int(BASE), -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
