@@ -364,3 +364,14 @@ def test_null_ids(spark):
     assert simhash.group_heads(some).count() == 2
     assert language_model.language_model_scores(some).count() == 4
     assert mixing.mix_sources(some).count() > 0
+
+
+def test_group_heads_without_ids(spark):
+    """Each group keeps exactly one row: without doc_ids, with one doc_id on two texts, with copies that differ by a null's place."""
+    far = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(6)]
+    rows = [
+        (None, far[0], "en", "s", 1), (None, far[0], "en", "s", 1), (None, far[1], "en", "s", 1), (None, None, None, None, None),
+        (7, far[2], "en", "s", 1), (7, far[3], "en", "s", 1), (8, far[4], "en", None, 1), (8, far[4], None, "en", 1), (None, far[5], "en", "s", 1), (9, far[5], "en", "s", 1),
+    ]
+    some = spark.createDataFrame(rows, DOCS)
+    assert multiset(simhash.group_heads(some), "doc_id", "text") == collections.Counter([(None, far[0]), (None, far[1]), (None, None), (7, far[2]), (7, far[3]), (8, far[4]), (9, far[5])])

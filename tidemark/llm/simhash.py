@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, stash, table, texts, with_checked_size
@@ -53,17 +53,19 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, text_hash and fp (signed 64 bits) of every row; null texts are empty."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, row_hash: Column | None = None) -> DataFrame:
+    """doc_id, text_hash, row_hash (if given) and fp (signed 64 bits) of every row; null texts are empty."""
+    more = [] if row_hash is None else [row_hash.alias("row_hash")]
+    names = ["doc_id", "text_hash", *["row_hash" for _ in more], "fp"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 found = np.array([fingerprint(x, shingle, seed) for x in texts(piece, "text")], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(found.view(np.int64))], names)
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return read.mapInArrow(measure, "doc_id long, text_hash long, fp long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), *more, "text")
+    return read.mapInArrow(measure, ", ".join(f"{c} long" for c in names))
 
 
 def keys(radius: int, blocks: int) -> list[np.uint64]:
@@ -169,12 +171,17 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE
     group has none. An empty table gives no rows; other columns are not read.
     """
     marked = stash(fingerprints(docs, shingle, seed), "fingerprints")
+    of = groups_of(marked, radius)
+    return marked.join(of, F.col("fp") == F.col("of")).select("doc_id", "text_hash", "fp", "component_id")
+
+
+def groups_of(marked: DataFrame, radius: int) -> DataFrame:
+    """of (each fingerprint of the stashed `marked`), root of its group and component_id, stashed."""
     distinct = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct, radius))
     joined = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = stash(joined.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "groups")
-    return marked.join(of, F.col("fp") == F.col("of")).select("doc_id", "text_hash", "fp", "component_id")
+    return stash(joined.join(least, "root").select(F.col("fp").alias("of"), "root", "component_id"), "groups")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
@@ -184,22 +191,28 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def group_heads(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group, that of the smallest doc_id, all columns kept.
+    """docs with exactly one document of each near-duplicate group, all columns kept.
 
-    Repeated rows of that doc_id collapse to one (the first by text hash, then by a hash of
-    all columns); so do all rows without a doc_id that no group with a doc_id takes in.
+    It is the group's first by doc_id (null last), then by text hash, then by a hash of all
+    columns; rows equal in all three are copies, of which one stays. Rows without a doc_id
+    are grouped by their texts as any other.
     """
-    others = simhash_groups(docs.select("doc_id", "text")).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    others = with_checked_size(stash(others.select(F.col("doc_id").alias("__other"), F.col("text_hash").alias("__hash")).distinct(), "others"))
-    heads = docs.join(others, F.col("doc_id").eqNullSafe(F.col("__other")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
-    # heads' doc_ids that come more than once, as a rule none: found on narrow rows
-    order = F.struct(F.xxhash64("text").alias("t"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    narrow = docs.select(F.col("doc_id").alias("__again"), order.alias("__o"))
-    narrow = narrow.join(others, F.col("__again").eqNullSafe(F.col("__other")) & (F.col("__o.t") == F.col("__hash")), "left_anti")
-    again = stash(narrow.groupBy("__again").agg(F.min("__o").alias("__first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    row_hash = F.xxhash64(*own, *[c.isNull() for c in own])  # xxhash64 alone passes over nulls
+    marked = stash(fingerprints(docs, row_hash=row_hash), "fingerprints")
+    of = groups_of(marked, RADIUS)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_hash")
+    rows = stash(marked.join(of, F.col("fp") == F.col("of")).select("root", order.alias("o")), "rooted")
+    first = rows.groupBy(F.col("root").alias("r")).agg(F.min("o").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = rows.join(with_checked_size(stash(first, "first")), F.col("root") == F.col("r"))
+    key = [F.col("o.doc_id").alias("__doc"), F.col("o.text_hash").alias("__hash"), F.col("o.row_hash").alias("__row")]
+    others = with_checked_size(stash(met.filter("o != first").select(*key).distinct(), "others"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")) & (row_hash == F.col("__row"))
+    heads = docs.join(others, same, "left_anti")
+    # heads that come more than once, as a rule none
+    again = stash(met.filter("o = first").groupBy(*key).agg(F.count("*").alias("__n")).filter("__n > 1"), "repeated")
     if again.isEmpty():
         return heads
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    met = heads.join(again, F.col("doc_id").eqNullSafe(F.col("__again")), "left")
-    once = met.filter("__first is null").select(*own)
-    return once.unionByName(met.filter(order == F.col("__first")).select(*own).dropDuplicates())
+    copies = heads.join(again, same, "left")
+    once = copies.filter("__n is null").select(*own)
+    return once.unionByName(copies.filter("__n > 1").dropDuplicates(["__doc", "__hash", "__row"]).select(*own))
