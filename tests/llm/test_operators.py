@@ -375,3 +375,18 @@ def test_group_heads_without_ids(spark):
     ]
     some = spark.createDataFrame(rows, DOCS)
     assert multiset(simhash.group_heads(some), "doc_id", "text") == collections.Counter([(None, far[0]), (None, far[1]), (None, None), (7, far[2]), (7, far[3]), (8, far[4]), (9, far[5])])
+
+
+def test_rare_labels(spark):
+    """Every labelled row is fitted: a rare language has its table, a stray label none, and junk is in no language."""
+    rng = random.Random(12)
+    vocabulary = {k: ["".join(rng.choice(a) for _ in range(rng.randint(2, 6))) for _ in range(120)] for k, a in (("en", "abcdefgh"), ("fr", "éèçlmnop"))}
+    prose = lambda k: " ".join(rng.choice(vocabulary[k]) for _ in range(60))
+    late = lambda i: int(hashlib.md5(f"fit:{i}".encode()).hexdigest()[:8], 16) / 2**32 > 0.75
+    rare = [i for i in range(10_000, 10_400) if late(i)][:30]
+    rows = [(i, prose("en"), "en", "s") for i in range(6000)] + [(i, prose("fr"), "fr", "s") for i in rare]
+    junk = [(20_000 + i, "".join(rng.choice("qrstuvwxyz") for _ in range(90)), None, "j") for i in range(10)]
+    rows += [(30_000, "12 34", "aa", "t"), *junk]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {got[i].language for i in rare} == {"fr"} and {got[i].language for i in range(6000)} == {"en"}
+    assert {(got[i].text_lang, got[i].language, got[i].kept) for i, *_ in junk} == {("und", "und", False)}

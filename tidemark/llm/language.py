@@ -4,7 +4,7 @@ Text: byte-trigram likelihoods of each language, and of a flat model for what is
 language at all. To these come the declared markup language (how often each language's
 texts declare what), the address suffix and the host, as priors smoothed hierarchically:
 host towards its suffix, suffix towards the whole corpus. All counts are grouped
-aggregates over the whole table; only the trigram tables are fitted on a sample.
+aggregates over the whole table, those of the trigram tables as well.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, stash, table, texts, with_checked_size
 
-#: Labelled rows that the trigram tables are fitted on, in expectation (chosen by hash), and languages at most.
-LABELLED, LANGUAGES = 4000, 64
+#: Languages at most: the most frequent labels.
+LANGUAGES = 64
 BUCKETS = 1 << 15
+#: Pseudo-count of each trigram; a language with fewer trigrams than all of them together has no table.
+SMOOTH = 0.05
 #: Trigrams of one text count as so many independent ones at most: their errors go together.
 EFFECTIVE = 120.0
 #: Pseudo-counts of the priors and of the declared-language table.
@@ -44,35 +46,41 @@ def trigrams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (mixed >> np.uint32(17)).astype(np.int64), np.bincount(doc[keep + 1], minlength=len(raw))
 
 
-def fit(docs: DataFrame, labelled: int = LABELLED) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log-likelihoods by bucket (the last row is the flat model).
 
-    The languages are the most frequent labels of the whole table. Both results have a
-    fixed size bound: LANGUAGES rows of BUCKETS numbers.
+    The languages are the most frequent labels of the whole table, and every row of theirs is
+    counted. One whose trigrams weigh less than their smoothing is left out: its table would
+    be the flat one in all but name. Both results have a fixed size bound: LANGUAGES rows of
+    BUCKETS numbers.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     names = sorted(r["lang"] for r in counted)
-    total = sum(r["count"] for r in counted)
+    flat = np.full((1, BUCKETS), -np.log(BUCKETS))
     if not names:
-        return [], np.full((1, BUCKETS), -np.log(BUCKETS))
-    share = F.conv(F.substring(F.md5(F.concat(F.lit("fit:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 2**32
-    sample = rows.filter((share < labelled / total) & F.col("lang").isin(names)).select("lang", "text")
+        return [], flat
+    place = {x: i for i, x in enumerate(names)}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(names), BUCKETS), dtype=np.int64)
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for i, raw in enumerate(texts(batch, "text")):
-                sums[names.index(langs[i])] += np.bincount(trigrams([raw])[0], minlength=BUCKETS)
+            for piece in slices(batch, "text", 1 << 20):
+                of: dict[str, list[bytes]] = {}
+                for lang, raw in zip(piece.column(0).to_pylist(), texts(piece, "text"), strict=True):
+                    of.setdefault(lang, []).append(raw)
+                for lang, raw in of.items():
+                    sums[place[lang]] += np.bincount(trigrams(raw)[0], minlength=BUCKETS)
         lang, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[lang, bucket])], ["lang", "bucket", "n"])
 
-    found = sample.mapInArrow(tally, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    labelled = rows.filter(F.col("lang").isin(names)).select("lang", "text")
+    found = labelled.mapInArrow(tally, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros((len(names), BUCKETS))
     sums[found["lang"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
-    smooth = sums + 0.05
-    return names, np.vstack([np.log(smooth / smooth.sum(axis=1, keepdims=True)), np.full(BUCKETS, -np.log(BUCKETS))])
+    enough = sums.sum(axis=1) >= SMOOTH * BUCKETS
+    smooth = sums[enough] + SMOOTH
+    return [x for x, e in zip(names, enough.tolist(), strict=True) if e], np.vstack([np.log(smooth / smooth.sum(axis=1, keepdims=True)), flat])
 
 
 def text_evidence(docs: DataFrame, tables: np.ndarray) -> DataFrame:
@@ -101,7 +109,9 @@ def text_evidence(docs: DataFrame, tables: np.ndarray) -> DataFrame:
 
 
 def argmax(values: Column) -> Column:
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    """Place of the greatest value; of equal ones the last place (no language), else the first."""
+    top = F.array_max(values)
+    return F.when(F.element_at(values, -1) == top, F.size(values) - 1).otherwise(F.array_position(values, top) - 1).cast("int")
 
 
 def log_shares(counts: Column, prior: Column, pull: float) -> Column:
@@ -110,16 +120,16 @@ def log_shares(counts: Column, prior: Column, pull: float) -> Column:
     return F.zip_with(counts, prior, lambda n, p: F.ln((n + p * pull) / (total + pull)))
 
 
-def identify(docs: DataFrame, suffix: Column | None = None, labelled: int = LABELLED, least: float = LEAST) -> DataFrame:
+def identify(docs: DataFrame, suffix: Column | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, text_hash, declared, text_lang, language, posterior and kept of every row.
 
     docs has doc_id, text, lang (the declared language) and source (the host); `suffix` is
     the address suffix where there are addresses. A null declaration, host or suffix is
     no evidence by itself (nulls share one prior). A text without letters is in no
-    language, so null and empty texts are not kept. Ties go to the first language by
-    name. Repeated rows give a row each, an empty table none; other columns are not read.
+    language, so null and empty texts are not kept. Ties go to no language, then to the
+    first by name. Repeated rows give a row each, an empty table none; other columns are not read.
     """
-    names, tables = fit(docs, labelled)
+    names, tables = fit(docs)
     size = len(names) + 1
     read = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("lang").alias("declared"), F.col("source").alias("host"),
