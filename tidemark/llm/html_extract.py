@@ -3,7 +3,7 @@
 For each host a few pages are parsed to trees and aligned by simple tree matching. Blocks
 that stay constant over the aligned pages, while their other text varies, are the host's
 template; the wrapper lists them by path and text. Extraction takes a page's content root
-(article or main element, else the body), leaves out what markup declares to be no content
+(the body, or main or article elements where they hold most of its text), leaves out what markup declares to be no content
 (navigation, headers, footers, asides, adverts, notices, forms, comments, scripts) and the
 host's template, and gives the varying blocks.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -185,37 +185,54 @@ def blocks(node: Node, path: str, out: list[tuple[str, str]], held: list[str]) -
             close(at)
 
 
-def text_length(node: Node) -> int:
-    total, work = 0, [node]
+def text_length(node: Node, linked: bool = False) -> int:
+    """Characters of content below node, only those inside links if `linked`."""
+    total, work = 0, [(node, not linked)]
     while work:
-        item = work.pop()
+        item, counts = work.pop()
         if isinstance(item, str):
-            total += len(item)
+            total += len(item.strip()) if counts else 0
         elif item is node or is_content(item):
-            work += item.children
+            counts = counts or item.tag == "a"
+            work += [(child, counts) for child in item.children]
     return total
 
 
-def content_roots(root: Node) -> list[Node]:
-    """The page's main element, else its largest article, else its body."""
-    mains, articles, body, work = [], [], None, [root]
+def is_main(node: Node) -> bool:
+    return node.tag == "main" or node.role in ("main", "articlebody")
+
+
+def is_article(node: Node) -> bool:
+    return node.tag == "article" or node.role == "article"
+
+
+def inside(outer: Node, wanted: Callable[[Node], bool]) -> list[Node]:
+    """The outermost wanted elements below outer that are content, in page order; articles are not entered."""
+    out, work = [], list(reversed(outer.children))
     while work:
         item = work.pop()
         if isinstance(item, str) or not is_content(item) and item.tag != "head":
             continue
-        if item.tag == "main" or item.role in ("main", "articlebody"):
-            mains.append(item)
-        elif item.tag == "article" or item.role == "article":
-            articles.append(item)
-            continue
-        elif item.tag == "body":
-            body = body or item
-        work += item.children
-    if articles:
-        return [max(articles, key=text_length)]
-    if mains:
-        return [max(mains, key=text_length)]
-    return [body or root]
+        if wanted(item):
+            out.append(item)
+        elif not is_article(item):
+            work += reversed(item.children)
+    return out
+
+
+def content_roots(root: Node) -> list[Node]:
+    """The page's body, or its main elements, or their articles: each where it holds most of the text around it.
+
+    Of several articles those that are mostly links are teasers and are left out, unless all are.
+    """
+    now = inside(root, lambda x: x.tag == "body")[:1] or [root]
+    for wanted in (is_main, is_article):
+        found = [x for outer in now for x in inside(outer, wanted)]
+        if found and 2 * sum(map(text_length, found)) > sum(map(text_length, now)):
+            now = found
+            if wanted is is_article and len(found) > 1:
+                now = [x for x in found if 2 * text_length(x, linked=True) <= text_length(x)] or found
+    return now
 
 
 def signature(path: str, text: str) -> int:
@@ -278,13 +295,15 @@ def matched(a: Node, b: Node) -> int:
 
 def induce(sources: list[str]) -> list[int]:
     """Signatures of the blocks that are template on pages of one host."""
-    roots = [content_roots(parse(x))[0] for x in sources]
+    every = [content_roots(parse(x)) for x in sources]
+    roots = [x[0] for x in every]
     if len(roots) < 4:
         return []
     own = []
-    for root in roots:
+    for nodes in every:
         out: list[tuple[str, str]] = []
-        blocks(root, "", out, [])
+        for node in nodes:
+            blocks(node, "", out, [])
         own.append(out)
     if len({tuple(t for _, t in out) for out in own}) < CONSTANT * len(roots):
         return []  # copies of one page: what is constant may be content
