@@ -227,14 +227,6 @@ def test_html(pages):
     assert all(r.n_chars == len(r.text) for r in out.values())
 
 
-def test_wrapper(spark):
-    """A constant block is the host's template; varying ones are content, whatever they are named."""
-    page = "<html><body><div><p>Best site since 1999</p></div><div><p>Story {0} of the day</p><p>More about {0}</p></div></body></html>"
-    many = [(i, f"http://host.example/{i}", page.format(f"number{i}")) for i in range(12)]
-    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(many, "page_id long, url string, html string")).collect()}
-    assert out == {i: f"Story number{i} of the day\nMore about number{i}" for i in range(12)}
-
-
 def test_warc(spark, pages):
     rows = pages.collect()
     first: dict[str, int] = {}
@@ -390,13 +382,3 @@ def test_rare_labels(spark):
     got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert {got[i].language for i in rare} == {"fr"} and {got[i].language for i in range(6000)} == {"en"}
     assert {(got[i].text_lang, got[i].language, got[i].kept) for i, *_ in junk} == {("und", "und", False)}
-
-
-def test_articles():
-    """An article is the content only where it holds most of the text; all parts of an article stay, teasers of links go."""
-    long = "A long text of the page that goes on and on."
-    teaser = "<article class=card><a href=/x>Read this</a></article>"
-    assert html_extract.main_text(f"<main><p>{long}</p><article class=card>teaser</article></main>", frozenset()) == f"{long}\nteaser"
-    assert html_extract.main_text(f"<body><p>{long}</p><main><article>short</article></main></body>", frozenset()) == f"{long}\nshort"
-    parts = f"<body><article><p>Part one of it.</p></article>{teaser}<article><p>Part two, which is longer.</p></article></body>"
-    assert html_extract.main_text(parts, frozenset()) == "Part one of it.\nPart two, which is longer."
