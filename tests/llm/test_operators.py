@@ -396,11 +396,27 @@ def test_tokens(spark, docs, rows):
     out = token_counts.op10_tokens(spark, folder(spark, docs))
     expected = collections.Counter((r[0], len((r[1] or "").encode()), count(r[1] or ""), count(r[1] or "") > 2048) for r in rows)
     assert multiset(out, "doc_id", "n_bytes", "n_tokens", "over_limit") == expected
-    hard = [t for t in texts() if t] + ["é<|endoftext|> " * 90, "x" * 700 + " y " * 200, "can't we'll " * 80, "́a ́" * 120, "Ωσς ΣΑΣ " * 60]
-    for chunk, overlap in ((40, 4), (64, 16), (1000, 100)):
+    odd = ["é<|endoftext|> " * 90, "x" * 700 + " y " * 200, "can't we'll " * 80, "́a ́" * 120, "Ωσς ΣΑΣ " * 60, "z" * 300, "", " " * 500, "a\u00a0b\u2003c " * 90, "".join(chr(0x4E00 + i) for i in range(900)), "1234 " * 99 + "5" * 400, "<|startoftext|>" * 40]
+    rng = random.Random(4)
+    odd += ["".join(rng.choice("ab' \n\t1é́ß,<|>中") for _ in range(rng.randint(1, 900))) for _ in range(150)]
+    hard = [t for t in texts() if t] + odd
+    expected_counts = [count(t) for t in hard]
+    for chunk, overlap in ((40, 4), (64, 16), (200, 20), (1000, 100)):
         counter = token_counts.Counter(path, chunk, overlap)
-        assert counter.count([t.encode() for t in hard]) == [count(t) for t in hard]
-    assert token_counts.Counter(path, 40, 4).count([b"z" * 300]) == [count("z" * 300)]
+        assert counter.count(hard) == expected_counts
+        assert counter.spliced > 0 and (counter.widened > 0 or chunk > 64)
+
+
+def test_bench_texts_are_spliced():
+    """Most characters of the corpus are in texts that go through overlapping chunks, and all counts are the library's."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = token_counts.public_path(token_counts.VOCABULARY)
+    some = [x or "" for x in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
+    counter, plain = token_counts.Counter(path), Tokenizer.from_file(path)
+    assert counter.count(some) == [len(plain.encode(x, add_special_tokens=False).ids) for x in some]
+    assert counter.spliced > 0.5 * sum(map(len, some))
 
 
 @pytest.mark.parametrize("name", ["op1_mixing", "op2_substrings", "op3_maxent", "op4_language", "op5_repetition", "op6_wrapper", "op7_warc", "op8_spaced_seeds", "op9_simhash", "op10_tokens"])
