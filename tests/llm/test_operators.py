@@ -109,6 +109,25 @@ def test_mixing_columns(wide, docs):
     assert multiset(out, "doc_id", "mix_repetition") == multiset(plain, "doc_id", "repetition")
 
 
+def test_mixing_ties(spark):
+    """Rows without doc_ids, and rows repeated whole, come within one document of their source's target; empty texts of a clamped source get no fourth copy."""
+    rows = [(None, f"a b c d text{i} x y z u v", "en", "free", 1) for i in range(400)] + [(5, "same words in each of these rows here", "en", "same", i % 3) for i in range(500)]
+    rows += [(7, None, "en", "tiny", 0), (8, "", "en", "tiny", 0), (9, "three words here", "en", "tiny", 0)] + [(100 + i, "w " * 20, "en", "big", 0) for i in range(300)]
+    some = spark.createDataFrame(rows, DOCS)
+    cuts = {r.mix_source: r for r in mixing.mix_cuts(mixing.sized_documents(some)).collect()}
+    taken, most = collections.Counter(), collections.Counter()
+    out = mixing.mix_sources(some)
+    assert out.columns == [*some.columns, "repetition"]
+    for r in out.collect():
+        taken[r.source] += len(words(r.text))
+        most[r.source] = max(most[r.source], r.repetition)
+    sizes = {"free": 10, "same": 8, "tiny": 3, "big": 20}
+    assert all(abs(taken[s] - cuts[s].target) <= n for s, n in sizes.items()) and max(most.values()) <= 3
+    digest = mixing.op1_mixing(spark, folder(spark, some)).collect()
+    assert len(digest) == len(rows)
+    assert sum(r.taken for r in digest) == sum(taken.values()) and all(r.copies <= 3 for r in digest)
+
+
 def test_substrings(docs, rows):
     every = [[w.encode() for w in words(r[1])] for r in rows]
     seen = collections.Counter(tuple(w[i : i + 35]) for w in every for i in range(len(w) - 34))

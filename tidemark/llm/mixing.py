@@ -26,8 +26,9 @@ SEED = 17
 LEVELS = 3
 
 
-def seeded_key(doc_id: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+def seeded_key(doc_id: str, text: str, seed: int) -> Column:
+    """Place of a document in its source's order; rows of one doc_id, or of none, are told apart by their texts."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
 
 
 def ranked(df: DataFrame, by: str) -> DataFrame:
@@ -64,9 +65,11 @@ def water_level(sources: DataFrame, total: int, max_epochs: int) -> float:
 
 
 def mix_cuts(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per source: source_size, target, whole repetitions and the key at which the fractional one ends.
+    """One row per source: source_size, target, whole repetitions and where the fractional one ends.
 
-    `sized` has source, key (seeded hash), doc_id and size.
+    That is `cut_key`: smaller keys are taken once more, of the `cut_rows` rows with this
+    key `cut_take`. A document is taken if its middle is before the end of the words that
+    remain. `sized` has source, key (seeded hash) and size, which is one for all rows of a key.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
@@ -96,20 +99,49 @@ def mix_cuts(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
         )
 
     inside = sized.join(cuts, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("key").startswith(F.col("prefix")))
-    running = F.sum("size").over(Window.partitionBy("of").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    middle = F.col("before") + running - F.col("size") / 2
-    last = inside.withColumn("middle", middle).filter(F.col("middle") <= F.col("rest")).groupBy("of").agg(F.max("key").alias("last_key")).withColumnRenamed("of", "found")
-    # none of the bucket's documents: all keys before the bucket are smaller than its prefix
+    keys = inside.groupBy("of", "before", "rest", "key", "size").agg(F.count("*").alias("rows"))
+    # a bucket's keys; repeated rows are one of them
+    running = F.sum(F.col("rows") * F.col("size")).over(Window.partitionBy("of").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    left = F.col("rest") - F.col("before") - running + F.col("rows") * F.col("size")
+    fit = F.when(F.col("size") > 0, F.ceil(left / F.col("size") + 0.5) - 1).otherwise(F.when(left > 0, F.col("rows")).otherwise(0))
+    keys = keys.withColumn("take", F.greatest(F.lit(0), F.least(fit, F.col("rows"))).cast("long")).filter(F.col("take") < F.col("rows"))
+    last = keys.groupBy("of").agg(F.min(F.struct("key", "rows", "take")).alias("cut")).withColumnRenamed("of", "found")
+    # none of the bucket's documents is left out: all keys behind it are greater than its prefix and this
     return stash(
         cuts.join(last, F.col("of").eqNullSafe(F.col("found")), "left").select(
-            F.col("of").alias("mix_source"), "source_size", "target", "whole", F.coalesce("last_key", "prefix").alias("cut_key"),
+            F.col("of").alias("mix_source"), "source_size", "target", "whole",
+            F.when(F.col("rest") <= 0, "").otherwise(F.coalesce("cut.key", F.concat("prefix", F.lit("~")))).alias("cut_key"),
+            F.when(F.col("rest") > 0, F.coalesce("cut.rows", F.lit(0))).otherwise(0).alias("cut_rows"), F.when(F.col("rest") > 0, F.coalesce("cut.take", F.lit(0))).otherwise(0).alias("cut_take"),
         ),
         "mix",
     )
 
 
 def sized_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    return docs.select("doc_id", "source", word_count("text").alias("size"), seeded_key("doc_id", seed).alias("key"))
+    return docs.select("doc_id", "source", word_count("text").alias("size"), seeded_key("doc_id", "text", seed).alias("key"))
+
+
+def with_copies(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """rows (with __mix_source and __mix_key) and how many copies of each the mix takes, as __mix_copies.
+
+    Where the cut falls among several rows of one key, which have one doc_id and text, its
+    rows are counted by all their columns and as many as fit are taken once more, in the
+    order of a hash of the columns.
+    """
+    cuts = cuts.select(*[F.col(c).alias(f"__mix_{c}") for c in cuts.columns])
+    met = rows.join(cuts, F.col("__mix_source").eqNullSafe(F.col("__mix_mix_source"))).drop("__mix_mix_source")
+    more = F.when(F.col("__mix_key") < F.col("__mix_cut_key"), 1).otherwise(0)
+    plain = met.withColumn("__mix_copies", (F.col("__mix_whole") + more).cast("int"))
+    tied = F.col("__mix_cut_take") > 0
+    if cuts.filter(tied).isEmpty():
+        return plain
+    at_cut = tied & (F.col("__mix_key") == F.col("__mix_cut_key"))
+    kinds = met.filter(at_cut).groupBy(*[F.col(f"`{c}`") for c in met.columns]).agg(F.count("*").alias("__mix_n"))
+    order = Window.partitionBy("__mix_source").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])).rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("__mix_before", F.coalesce(F.sum("__mix_n").over(order), F.lit(0)))
+    place = kinds.withColumn("__mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_n"))))
+    one = F.when(F.col("__mix_before") + F.col("__mix_i") <= F.col("__mix_cut_take"), 1).otherwise(0)
+    return plain.filter(~at_cut).unionByName(place.withColumn("__mix_copies", (F.col("__mix_whole") + one).cast("int")).select(plain.columns))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -118,14 +150,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
 
     docs needs doc_id, text and source; other columns pass through. Null texts have size 0
     and count as their source's documents; null sources are one source, ranked last. A
-    null doc_id is hashed as an empty string. Repeated rows of one doc_id are taken
-    together. An empty table gives an empty one.
+    null doc_id is hashed as an empty string. Rows that repeat doc_id and text are ties:
+    as many of them are taken as fit. Texts of any length count whole. An empty table
+    gives an empty one.
     """
     cuts = mix_cuts(stash(sized_documents(docs, seed), "sized"), weights, max_epochs)
-    cuts = cuts.select(*[F.col(c).alias(f"__mix_{c}") for c in cuts.columns])
-    taken = docs.join(cuts, F.col("source").eqNullSafe(F.col("__mix_mix_source")))
-    copies = F.col("__mix_whole") + F.when(seeded_key("doc_id", seed) <= F.col("__mix_cut_key"), 1).otherwise(0)
-    taken = taken.withColumn("__mix_copies", copies.cast("int")).filter("__mix_copies > 0")
+    taken = with_copies(docs.withColumns({"__mix_source": F.col("source"), "__mix_key": seeded_key("doc_id", "text", seed)}), cuts).filter("__mix_copies > 0")
     name = "repetition" if "repetition" not in docs.columns else "mix_repetition"
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias(name))
 
@@ -134,20 +164,20 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """How often the mix takes each document: doc_id, size, source_size, target, taken, copies.
 
     Null text: size 0, taken 0. Null source: a source of its own, last in code-point order.
-    Ties of the seeded hash (repeated rows of one doc_id) are taken together. Empty table:
-    no rows. Columns other than doc_id, text and source are not read.
+    Of rows that repeat doc_id and text as many are taken as fit. Empty table: no rows.
+    Columns other than doc_id, text and source are not read.
     """
     sized = stash(sized_documents(table(spark, sf_dir, "documents")), "sized")
-    cuts = mix_cuts(sized)
-    copies = F.col("whole") + F.when(F.col("key") <= F.col("cut_key"), 1).otherwise(0)
-    return sized.join(cuts, F.col("source").eqNullSafe(F.col("mix_source"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies")
-    )
+    found = with_copies(sized.withColumns({"__mix_source": F.col("source"), "__mix_key": F.col("key")}), mix_cuts(sized))
+    return found.select(
+        "doc_id", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"),
+        (F.col("size") * F.col("__mix_copies")).cast("long").alias("taken"), F.col("__mix_copies").cast("long").alias("copies"),
+    )
 
 
 OP1_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 src AS (
@@ -174,11 +204,9 @@ ordered AS (
   SELECT s.doc_id, s.k, s.size, p.source, p.source_size, p.target, p.whole,
          p.target - p.whole * p.source_size AS rest,
          sum(s.size) OVER (PARTITION BY p.source ORDER BY s.k, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size / 2.0 AS middle
-  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),
-cut AS (
-  SELECT *, max(CASE WHEN middle <= rest THEN k END) OVER (PARTITION BY source) AS last_k FROM ordered)
+  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN k <= last_k THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(whole + CASE WHEN k <= last_k THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM cut
+       CAST(size * (whole + CASE WHEN middle < rest THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       CAST(whole + CASE WHEN middle < rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM ordered
 """
