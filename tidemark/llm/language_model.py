@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import slices, stash, table, texts
 
 #: Tokens with a softmax of their own, in classes of WIDTH; classes of the other tokens.
-TOP, WIDTH, SHAPES = 4096, 64, 32
+TOP, WIDTH, SHAPES = 4096, 64, 16
 CLASSES = TOP // WIDTH + SHAPES
 #: Tokens at most whose counts are sent to the workers (12 bytes each).
 HEAD = 1 << 18
-#: Buckets of the class features (token before, pair before, skips of two and three) and of the token feature.
+#: Buckets of the class features (token before, pair before, skips of two and three) and of the token feature; row numbers fit in 16 bits.
 BUCKETS, INNER = (1 << 12, 1 << 12, 1 << 12, 1 << 12), 1 << 8
 #: Training tokens of a part, about; rounds of gradient updates; batches of a part and tokens of a batch, at least and most.
-PART, ROUNDS, STEPS, BATCH = 1 << 20, 4, 64, (1 << 10, 1 << 15)
+PART, ROUNDS, STEPS, BATCH = 1 << 20, 4, 48, (1 << 10, 1 << 15)
 #: Step size, and what the squared gradients of a row start at.
 RATE, CALM = 0.1, 10.0
 #: Where weights start: pseudo-counts of the class and the token counts, and each class feature's share of its log ratio.
@@ -63,7 +63,7 @@ def encoded(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"  " + b" ".join(words) + b" ", dtype=np.uint8)
     ends = np.flatnonzero(joined == 32)[2:] if words else np.zeros(0, np.int64)
     last = joined[ends - 1].astype(np.uint32) * np.uint32(0x9E3779B1) + joined[ends - 2].astype(np.uint32) * np.uint32(0x85EBCA77)
-    return hashes, (last >> np.uint32(27)).astype(np.int64), np.array([len(x) for x in split], dtype=np.int64)
+    return hashes, (last >> np.uint32(28)).astype(np.int64), np.array([len(x) for x in split], dtype=np.int64)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def log_probability(fitted: Fitted, codes: np.ndarray, lengths: np.ndarray) -> n
 
 def step_rows(w: np.ndarray, power: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
     """One Adagrad step of the rows that a batch meets, with one rate a row."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # 16 bits sort by counting
     ordered = rows[order]
     first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
     met = ordered[first]
@@ -216,20 +216,22 @@ def descend(fitted: Fitted, codes: np.ndarray, lengths: np.ndarray) -> list[np.n
     outer, inner = features(codes, lengths)
     klass = fitted.classes[codes]
     biases = np.tile(fitted.inner_bias, (INNER, 1))
+    more = np.empty((2048, CLASSES), np.float32)
     batch = min(max(len(codes) // STEPS, BATCH[0]), BATCH[1])
     for a in range(0, len(codes), batch):
         b = min(a + batch, len(codes))
         g = np.empty((b - a, CLASSES), dtype=np.float32)
         for i in range(a, b, 2048):
             j = min(i + 2048, b)
-            now = weights[0][outer[0][i:j]]
+            now, part = g[i - a : j - a], more[: j - i]
+            np.take(weights[0], outer[0][i:j], axis=0, out=now, mode="clip")
             for w, f in zip(weights[1:-1], outer[1:], strict=True):
-                now += w[f[i:j]]
+                np.take(w, f[i:j], axis=0, out=part, mode="clip")
+                now += part
             now += fitted.bias
             np.exp(now, out=now)
             now /= now.sum(axis=1, keepdims=True)
             now[np.arange(j - i), klass[i:j]] -= 1
-            g[i - a : j - a] = now
         for w, p, f in zip(weights[:-1], power[:-1], outer, strict=True):
             step_rows(w, p, f[a:b], g)
         top, row, slot = inner_rows(fitted, codes[a:b], inner[a:b])
