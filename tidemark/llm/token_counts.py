@@ -11,6 +11,7 @@ text only the last chunk's token ends are held.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -51,6 +52,7 @@ class Counter:
     """Counts tokens as the library gives them, without added special tokens, truncation or padding."""
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
