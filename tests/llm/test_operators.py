@@ -329,6 +329,20 @@ def test_warc(spark, pages):
     assert keys == sorted(keys)
 
 
+def test_archives_are_bounded(spark):
+    """Archives hold about as many bytes as they may, greater pages one each; null ids and repeated rows are all there."""
+    import gzip
+    import pathlib
+
+    rows = [(i, f"http://h.example/{i}", "x" * n + str(i)) for i, n in enumerate([100] * 50 + [40_000] * 12 + [300_000] * 5 + [3_000_000] * 2)] + [(None, None, "x"), (3, "u", None), (3, "u", None)]
+    path = f"/tmp/tidemark-test-{os.getpid()}-{random.random()}"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, most=1 << 20)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in pathlib.Path(path).glob("part-*")]
+    assert max(s for s in sizes if s < 3_000_000) <= (1 << 20) * 1.1 + 5000 and sum(s >= 3_000_000 for s in sizes) == 2
+    index = warc.read_archives(spark, f"file://{path}")
+    assert index.count() == len(rows) and index.filter("not intact").count() == 0
+
+
 def test_loser_tree():
     rng = random.Random(4)
     for k in range(9):
@@ -349,6 +363,38 @@ def test_decontamination(spark, rows, wide):
     assert decontaminate.clean_documents(wide, bench).count() == len(rows)
 
 
+def test_short_items(spark):
+    """Items shorter than the masks are looked for as a whole; of five tokens or more."""
+    bench = spark.createDataFrame([(1, "one two three four five"), (2, "alpha beta gamma delta epsilon zeta eta"), (3, "yes or no")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "x one two three, four five y"), (1, "one two three four six"), (2, "Alpha beta gamma delta epsilon zeta eta"), (3, "yes or no"), (4, "one two three four five")], "doc_id long, text string")
+    assert multiset(decontaminate.leaks(docs, bench), "doc_id", "item_id") == collections.Counter([(0, 1), (2, 2), (4, 1)])
+
+
+def test_recall_by_substitutions(spark):
+    """Of items with so many tokens replaced in every 13, at least nine in ten that still pass the comparison are found."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(15, 30))] for _ in range(150)]
+    rows, passing = [], collections.defaultdict(set)
+    for s in (0, 1, 2):
+        for i, item in enumerate(items):
+            out = list(item)
+            for a in range(0, len(out), 13):
+                for k in rng.sample(range(a, min(a + 13, len(out))), min(s, len(out) - a)):
+                    out[k] = "changed"
+            doc = s * 1000 + i
+            rows.append((doc, " ".join([*rng.choices(vocabulary, k=30), *out, *rng.choices(vocabulary, k=30)])))
+            same = [x == y for x, y in zip(item, out)]
+            if any(sum(same[a : a + 13]) >= 11 for a in range(len(same) - 12)):
+                passing[s].add((doc, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    for s in (0, 1, 2):
+        assert len(found & passing[s]) >= (0.9 if s == 2 else 1.0) * len(passing[s]) > 100
+    assert all(d % 1000 == i for d, i in found)
+
+
 def brute_groups(rows: list[tuple]) -> tuple[list[int], dict]:
     marks = []
     for r in rows:

@@ -18,8 +18,10 @@ from tidemark.llm.common import stash, table, with_checked_size
 MASKS = ("110110011", "1100011011")
 #: Tokens compared together, and how many of them must agree. Shorter items: all but one in seven.
 WINDOW, AGREE = 13, 11
-#: Items of fewer tokens are no evidence and are not looked for.
+#: Tokens along a diagonal that are compared at least. An item shorter than this must be in the document whole.
 LEAST_TOKENS = 10
+#: Items of fewer tokens are everyday phrases, which say nothing of a leak, and are not looked for.
+LEAST_ITEM = 5
 #: Seeds of a benchmark that is broadcast; a larger one is joined by shuffle.
 BROADCAST_SEEDS = 200_000
 
@@ -35,14 +37,22 @@ def pair_offsets(mask: str) -> list[int]:
     out, at = [], 0
     while at < len(mask):
         if mask[at] == "1":
-            if mask[at : at + 2] != "11":
+            here = at if mask[at : at + 2] == "11" else at - 1  # the last one of an odd run: a pair with the one before
+            if here < 0 or mask[here] != "1":
                 raise ValueError(f"ones must come in pairs: {mask}")
-            out.append(at)
+            out.append(here)
             at += 1
         at += 1
     return out
 
 
+def short_masks(items: DataFrame, masks: tuple[str, ...]) -> tuple[str, ...]:
+    """Masks of ones alone for the lengths of items that no spaced mask fits in."""
+    size = F.size("item_tokens")
+    lengths = items.filter(size < min(map(len, masks))).select(size.alias("n")).distinct().collect()  # fewer than a mask has places
+    return tuple("1" * n for n in sorted(r["n"] for r in lengths))
+
+
 def with_seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """Rows of df exploded to (pos, seed) for every mask and position; df has `tokens`."""
     hashed = df.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(t))).drop("tokens")
@@ -75,11 +85,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
 
     docs has doc_id and text, benchmark item_id and text. A null doc_id or item_id is kept
     as such, repeated rows of a document give one row an item. Null, empty and very short
-    texts leak nothing. Empty tables give no rows.
+    texts leak nothing. Items of LEAST_ITEM to 9 tokens leak where all but one in seven of
+    them are there in place. Texts of any length are looked through whole. Empty tables
+    give no rows.
     """
     items = stash(
-        benchmark.select("item_id", tokens("text").alias("item_tokens")).filter(F.size("item_tokens") >= LEAST_TOKENS).distinct(), "items"
+        benchmark.select("item_id", tokens("text").alias("item_tokens")).filter(F.size("item_tokens") >= LEAST_ITEM).distinct(), "items"
     )
+    masks = masks + short_masks(items, masks)
     seeds = with_seeds(items.withColumnRenamed("item_tokens", "tokens").withColumn("item", F.xxhash64("item_id", "tokens")), masks)
     seeds = stash(seeds.select("seed", F.col("pos").alias("item_pos"), "item_id", "item").distinct(), "seeds")
     if seeds.count() <= BROADCAST_SEEDS:
@@ -95,11 +108,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
     joined = joined.join(keyed_items, F.col("item") == F.col("hit_key"))
     joined = joined.withColumn("tokens", tokens("text"))
     # stashed: few rows, and a filter on it must not compute it again for each window
-    compared = stash(joined.select("doc_id", "text_hash", "item_id", same_tokens().alias("same")), "compared")
+    compared = stash(joined.select("doc_id", "text_hash", "item_id", F.size("item_tokens").alias("item_size"), same_tokens().alias("same")), "compared")
     span = F.least(F.lit(window), F.size("same"))
     windows = F.transform(F.sequence(F.lit(1), F.size("same") - span + 1), lambda i: F.aggregate(F.slice("same", i, span), F.lit(0), lambda a, x: a + x))
     need = F.when(span >= window, F.lit(agree)).otherwise(F.ceil(span * 6 / 7))
-    compared = compared.filter(F.size("same") >= LEAST_TOKENS).withColumn("best", F.array_max(windows)).filter(F.col("best") >= need)
+    compared = compared.filter(F.size("same") >= F.least(F.lit(LEAST_TOKENS), F.col("item_size"))).withColumn("best", F.array_max(windows)).filter(F.col("best") >= need)
     total = F.aggregate("same", F.lit(0), lambda a, x: a + x)
     return compared.groupBy("doc_id", "text_hash", "item_id").agg(F.max(total).cast("long").alias("n_agree"), F.max("best").cast("long").alias("best_window"))
 

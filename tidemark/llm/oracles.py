@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm.decontaminate import AGREE, LEAST_TOKENS, MASKS, WINDOW
+from tidemark.llm.decontaminate import AGREE, LEAST_ITEM, LEAST_TOKENS, MASKS, WINDOW
 from tidemark.llm.quality import LINE_LIMIT, NGRAM_LIMITS
 from tidemark.llm.warc import EPOCH
 
@@ -79,16 +79,19 @@ def _seeds(source: str) -> str:
 
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id AS id, {_TOKENS} AS t FROM documents),
-b AS (SELECT item_id AS id, t FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark) WHERE len(t) >= {LEAST_TOKENS}),
-ds AS ({_seeds("d")}), bs AS ({_seeds("b")}),
+b AS (SELECT item_id AS id, t FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark) WHERE len(t) >= {LEAST_ITEM}),
+short AS (SELECT id, t FROM b WHERE len(t) < {min(map(len, MASKS))}),
+lens AS (SELECT DISTINCT len(t) AS n FROM short),
+ds AS ({_seeds("d")} UNION ALL SELECT id, i - 1 AS pos, array_to_string(list_slice(t, i, i + n - 1), chr(1)) AS seed FROM (SELECT id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM d, lens WHERE len(t) >= n)),
+bs AS ({_seeds("b")} UNION ALL SELECT id, 0 AS pos, array_to_string(t, chr(1)) AS seed FROM short),
 hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS g FROM ds JOIN bs USING (seed)),
 same AS (
-  SELECT h.doc_id, h.item_id, h.g, x.i, CAST(d.t[x.i + h.g] = b.t[x.i] AS INTEGER) AS eq, count(*) OVER (PARTITION BY h.doc_id, h.item_id, h.g) AS n
+  SELECT h.doc_id, h.item_id, h.g, x.i, CAST(d.t[x.i + h.g] = b.t[x.i] AS INTEGER) AS eq, count(*) OVER (PARTITION BY h.doc_id, h.item_id, h.g) AS n, len(b.t) AS item_size
   FROM hits h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id JOIN (SELECT unnest(range(1, 10000)) AS i) x ON x.i <= len(b.t) AND x.i + h.g BETWEEN 1 AND len(d.t)),
 win AS (
   SELECT *, sum(eq) OVER w AS agree, count(*) OVER w AS span FROM same WINDOW w AS (PARTITION BY doc_id, item_id, g ORDER BY i ROWS {WINDOW - 1} PRECEDING)),
 diag AS (
-  SELECT doc_id, item_id, g, max(n) AS n, sum(eq) AS total, max(agree) FILTER (span = least({WINDOW}, n)) AS best FROM win GROUP BY 1, 2, 3)
+  SELECT doc_id, item_id, g, max(n) AS n, max(item_size) AS item_size, sum(eq) AS total, max(agree) FILTER (span = least({WINDOW}, n)) AS best FROM win GROUP BY 1, 2, 3)
 SELECT doc_id, item_id, CAST(max(total) AS BIGINT) AS n_agree, CAST(max(best) AS BIGINT) AS best_window FROM diag
-WHERE n >= {LEAST_TOKENS} AND best >= CASE WHEN n >= {WINDOW} THEN {AGREE} ELSE ceil(n * 6 / 7.0) END GROUP BY 1, 2
+WHERE n >= least({LEAST_TOKENS}, item_size) AND best >= CASE WHEN n >= {WINDOW} THEN {AGREE} ELSE ceil(n * 6 / 7.0) END GROUP BY 1, 2
 """

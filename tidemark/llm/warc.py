@@ -28,8 +28,10 @@ END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Payloads of at least so many bytes are deduplicated.
 LEAST_BYTES = 0
-#: Records of an archive at most, which bounds what a reader holds.
-RECORDS = 2000
+#: Bytes of an archive's records, about: what a reader holds inflated. Records are written by classes of size, so
+#: that a class's greatest record times its number of records is within it; a greater record has its own archive.
+ARCHIVE_BYTES = 64 << 20
+CLASSES = (1 << 15, 1 << 18, 1 << 21)
 #: Index rows that one merging task should have.
 MERGE_ROWS = 100_000
 #: Captures have no time of their own here: page_id seconds after this instant.
@@ -37,7 +39,7 @@ EPOCH = 1_704_067_200
 
 INDEX = (
     "url_key string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, "
-    "refers_to long, run string, offset long, intact boolean"
+    "refers_to long, run string, offset long, intact boolean, nth int"
 )
 
 
@@ -53,13 +55,13 @@ def record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), *[x for a, n, s in ((1, 8, "-"), (9, 4, "-"), (13, 4, "-"), (17, 4, "-"), (21, 12, ">")) for x in (F.substring(h, a, n), F.lit(s))])
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, records: int = RECORDS) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, most: int = ARCHIVE_BYTES) -> None:
     """Write pages (page_id, url, html) as gzipped WARC files below `path`.
 
     Null html is an empty payload, a null url leaves its header out, white space and
     controls in a url are escaped. A null page_id is written as such; it revisits the
     smallest page_id of its payload, and is a response where all are null. Repeated rows
-    of the smallest page_id are all responses.
+    of the smallest page_id are all responses. Very long pages have archives of their own.
     """
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumns({"digest": digest(html), "bytes": F.octet_length(html).cast("long")})
@@ -86,8 +88,15 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, record
         line("Content-Length", F.octet_length(body) + len(HTTP)),
         F.lit("\r\n" + HTTP), body,
     )
-    out = rows.withColumn("revisit", revisit).select(record.alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    sized = F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("bytes"))
+    kind = sum((F.when(sized > x, 1).otherwise(0) for x in CLASSES), F.lit(0))
+    # revisits and responses are told apart on narrow rows; only the classes that occur are written
+    biggest = {r["kind"]: r["count"] for r in pages.select(sum((F.when(F.octet_length("html") > x, 1).otherwise(0) for x in CLASSES), F.lit(0)).alias("kind")).groupBy("kind").count().collect()}
+    out = rows.withColumn("revisit", revisit).select(kind.alias("kind"), record.alias("value"))
+    for k in sorted(set(biggest) | {0}):
+        records = max(1, most // CLASSES[k]) if k < len(CLASSES) else 1
+        of_kind = out.filter(F.col("kind") == k).select("value") if len(biggest) > 1 else out.select("value")
+        of_kind.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -104,7 +113,7 @@ def base32(payload: bytes) -> str:
 
 
 def scan_archive(raw: bytes, run: str) -> list[tuple]:
-    """The index rows of one archive, as a sorted run."""
+    """The index rows of one archive, as a sorted run; `offset` is that in the inflated archive."""
     data, at, out = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw, 0, []
     while at < len(data):
         head_end = data.index(b"\r\n\r\n", at)
@@ -121,7 +130,7 @@ def scan_archive(raw: bytes, run: str) -> list[tuple]:
         stamp = head["WARC-Date"].translate({ord(c): None for c in "-T:Z"})
         out.append((url_key(head.get("WARC-Target-URI")), stamp, int(page) if page else None, length, found, kind, int(refers) if refers else None, run, at, found == named))
         at = head_end + 4 + size + 4
-    return sorted(out, key=order)
+    return [(*row, i) for i, row in enumerate(sorted(out, key=order))]
 
 
 def order(row: tuple) -> tuple:
@@ -166,7 +175,7 @@ def _rows(batch_rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32()}
 _INDEX = pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in INDEX.split(", "))])
 
 
@@ -185,18 +194,22 @@ def read_archives(spark, path: str) -> DataFrame:
 def merged_index(index: DataFrame) -> DataFrame:
     """Index rows in global order of URL key, timestamp and page_id; `index` must be a stashed table.
 
-    A hot URL is cut between tasks by timestamp and page. Each task merges its slice of
-    all runs; it holds about MERGE_ROWS narrow rows.
+    A hot URL is cut between tasks by timestamp and page. Each task gets its slice of every
+    run, a run's rows together and in the run's own order, which the loser tree merges; it
+    holds about MERGE_ROWS narrow rows. Rows equal in all three keys stay in the order of
+    their runs.
     """
     parts = max(1, -(-index.count() // MERGE_ROWS))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+        runs: list[list[tuple]] = []
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                runs.setdefault(row[7], []).append(row)
-        merged, out = loser_tree([sorted(r, key=order) for _, r in sorted(runs.items())]), []  # slices come in order; a shuffle may deal their blocks otherwise
-        for row in merged:
+                if not runs or runs[-1][-1][7] != row[7]:
+                    runs.append([])
+                runs[-1].append(row)
+        out = []
+        for row in loser_tree(runs):
             out.append(row)
             if len(out) == 10_000:
                 yield _rows(out, _INDEX)
@@ -205,7 +218,7 @@ def merged_index(index: DataFrame) -> DataFrame:
             yield _rows(out, _INDEX)
 
     ranged = index.repartitionByRange(parts, F.col("url_key"), F.col("ts"), F.col("page_id").asc_nulls_last())
-    return ranged.mapInArrow(merge, INDEX)
+    return ranged.sortWithinPartitions("run", "nth").mapInArrow(merge, INDEX)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
