@@ -278,6 +278,71 @@ def test_language(docs, wide, rows):
     assert multiset(kept, "doc_id") == multiset(out.filter("kept"), "doc_id")
 
 
+def plain_fusion(rows: list[tuple]) -> list[tuple]:
+    """(language, posterior) of (text, declared, host, suffix) rows by dictionaries and sums."""
+    names = sorted({r[1] for r in rows if r[1] and r[0] is not None})
+    grams = [language.trigrams([(r[0] or "").encode()])[0].tolist() for r in rows]
+    tables = {}
+    for x in names:
+        n = collections.Counter(g for r, t in zip(rows, grams) if r[1] == x and r[0] is not None for g in t)
+        if sum(n.values()) >= language.SMOOTH * language.BUCKETS:
+            whole = sum(n.values()) + language.SMOOTH * language.BUCKETS
+            tables[x] = [math.log((n[b] + language.SMOOTH) / whole) for b in range(language.BUCKETS)]
+    order = [*tables, "und"]
+    size = len(order)
+    evidence = []
+    for t in grams:
+        part = min(len(t), language.EFFECTIVE) / max(len(t), 1)
+        evidence.append([part * sum(tables[x][g] if x in tables else -math.log(language.BUCKETS) for g in t) for x in order])
+    pick = lambda v, t: size - 1 if not t or v[-1] == max(v) else v.index(max(v))
+    best = [pick(e, t) for e, t in zip(evidence, grams)]
+    tally = lambda keep: [float(sum(b == i for b, r in zip(best, rows) if keep(r))) for i in range(size)]
+    shares = lambda n, p, pull: [(a + pull * q) / (sum(n) + pull) for a, q in zip(n, p)]
+    flat = [(1 - language.NONE_PRIOR) / max(size - 1, 1)] * (size - 1) + [language.NONE_PRIOR]
+    corpus = shares(tally(lambda r: True), flat, language.PULL)
+    said = tally(lambda r: r[1] is not None)
+    out = []
+    for r, e, b, t in zip(rows, evidence, best, grams):
+        own = [float(i == b) for i in range(size)]
+        less = lambda n: [x - o for x, o in zip(n, own)]  # noqa: E731, B023
+        suffix = shares(tally(lambda x: x[3] == r[3]), corpus, language.PULL)  # noqa: B023
+        prior = shares(less(tally(lambda x: x[2] == r[2] and x[3] == r[3])), suffix, language.PULL)  # noqa: B023
+        fused = [x + math.log(p) for x, p in zip(e, prior)]
+        if r[1] is not None:
+            n = tally(lambda x: x[1] == r[1])  # noqa: B023
+            fused = [f + math.log((c + language.DECLARED_PULL * sum(n) / sum(said)) / (s + language.DECLARED_PULL)) for f, c, s in zip(fused, less(n), less(said))]
+        k = pick(fused, t)
+        out.append((order[k], 1 / sum(math.exp(f - max(fused)) for f in fused)))
+    return out
+
+
+def test_language_of_pages(spark):
+    """Language of pages from text, html's lang, host and suffix, against plain sums; evidence of host and suffix decides short texts."""
+    rng = random.Random(31)
+    vocabulary = {k: ["".join(rng.choice(a) for _ in range(rng.randint(2, 6))) for _ in range(80)] for k, a in (("en", "abcdefgh"), ("fr", "éèçlmnop"), ("de", "äößrstuv"))}
+    pages, rows = [], []
+    for i in range(150):
+        lang = ("en", "fr", "de")[i % 3]
+        suffix = {"en": "com", "fr": "fr", "de": "de"}[lang]
+        text = " ".join(rng.choice(vocabulary[lang]) for _ in range(rng.choice([2, 60, 90]))) if i % 29 else None
+        said = None if i % 4 == 0 else rng.choice(["en", lang, lang])
+        host = f"h{i % 5}.{suffix}" if i % 11 else None
+        pages.append((i, f"https://{host}/p{i}" if host else None, f"<html{f' lang={chr(34)}{said}-XX{chr(34)}' if said else ''}><body><p>{text or ''}</p></body></html>"))
+        rows.append((text or "", said, host, host and suffix))
+    out = {r.doc_id: r for r in language.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    expected = plain_fusion(rows)
+    assert len(out) == len(rows)
+    for i, (name, posterior) in enumerate(expected):
+        assert out[i].language == name and out[i].posterior == pytest.approx(posterior, abs=2e-3)
+    assert sum(out[i].language == ("en", "fr", "de")[i % 3] for i in range(150) if i % 29) > 135
+
+
+def test_too_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        language.identify(spark.createDataFrame([(i, "text", f"l{i}", "s") for i in range(3)], "doc_id long, text string, lang string, source string"))
+
+
 def test_quality(spark, docs, rows):
     out = {r.doc_id: r for r in quality.op5_repetition(spark, folder(spark, docs)).collect()}
     for r in rows:

@@ -440,7 +440,7 @@ def slots_of(skeleton: str, wrapper: str) -> tuple[list[int], str]:
     return out, " ".join(sorted({f"{x}:{out[i]}" for i, x in enumerate(tree.labels) if x in ("article", "main")}))
 
 
-_PARSED = "rid long, page_id long, url string, host string, shape long, content long, skeleton string, slots array<int>, places array<int>, chars array<int>, links array<int>, hashes array<long>, texts array<string>"
+_PARSED = "rid long, page_id string, url string, host string, shape long, content long, skeleton string, slots array<int>, places array<int>, chars array<int>, links array<int>, hashes array<long>, texts array<string>"
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
@@ -449,7 +449,7 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         names = [x.split()[0] for x in _PARSED.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.int64()), pa.list_(pa.string())]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.int64()), pa.list_(pa.string())]
         for batch in batches:
             for piece in slices(batch, "html"):
                 out = []
@@ -550,8 +550,8 @@ def in_template(slot: Column, hashed: Column) -> Column:
     return F.coalesce(F.array_contains("template", F.struct(slot.alias("slot"), hashed.alias("hash"))), F.lit(False))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row of pages (page_id, url, html).
+def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """page_id, url, text and n_chars of every row of pages (page_id, url, html); `key` names another column to go by.
 
     Null and empty html have an empty text. A null or hostless url belongs to one nameless
     host. Repeated rows give a row each and count once for the wrapper; ties in the merge
@@ -560,7 +560,7 @@ def extract(pages: DataFrame) -> DataFrame:
     their size.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    read = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"), host.alias("host"))
+    read = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("string").alias("page_id"), F.col("url"), F.col("html"), host.alias("host"))
     parsed = stash(parsed_pages(read), "parsed")
     met = parsed.join(with_checked_size(rules(parsed), 20_000), (F.col("host") == F.col("of_host")) & (F.col("shape") == F.col("of_shape")), "left")
     block = F.transform(
@@ -572,9 +572,9 @@ def extract(pages: DataFrame) -> DataFrame:
     in_links = lambda b: (b["place"] == 0) & F.coalesce(F.array_contains("navigation", b["slot"]), F.lit(False))
     kept = F.filter("blocks", lambda b: (b["place"].bitwiseAND(F.col("wanted")) == F.col("wanted")) & ~in_links(b))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return rest.withColumn("wanted", wanted).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return rest.withColumn("wanted", wanted).select(F.col("page_id").cast(pages.schema[key].dataType).alias(key), "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_wrapper(spark, sf_dir: str) -> DataFrame:
     """Main text of every row of `pages`: page_id, url, text, n_chars."""
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(table(spark, sf_dir, "pages").withColumn("page_id", F.col("page_id").cast("long")))

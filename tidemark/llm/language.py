@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, stash, table, texts, with_checked_size
+from tidemark.llm.html_extract import extract
 
-#: Languages at most: the most frequent labels.
-LANGUAGES = 64
+#: Labels at most; more of them are refused, since each has a table of 128 KB on every worker.
+LANGUAGES = 1024
 BUCKETS = 1 << 15
 #: Pseudo-count of each trigram; a language with fewer trigrams than all of them together has no table.
 SMOOTH = 0.05
@@ -49,32 +50,32 @@ def trigrams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log-likelihoods by bucket (the last row is the flat model).
 
-    The languages are the most frequent labels of the whole table, and every row of theirs is
-    counted. One whose trigrams weigh less than their smoothing is left out: its table would
+    The languages are the labels of the whole table, and every row of theirs is counted; more
+    than LANGUAGES labels raise. One whose trigrams weigh less than their smoothing is left out: its table would
     be the flat one in all but name. Both results have a fixed size bound: LANGUAGES rows of
     BUCKETS numbers.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r["lang"] for r in counted)
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} declared languages")
     flat = np.full((1, BUCKETS), -np.log(BUCKETS))
     if not names:
         return [], flat
     place = {x: i for i, x in enumerate(names)}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(names), BUCKETS), dtype=np.int64)
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
+            for piece in slices(batch, "text", 4 << 20):
                 of: dict[str, list[bytes]] = {}
                 for lang, raw in zip(piece.column(0).to_pylist(), texts(piece, "text"), strict=True):
                     of.setdefault(lang, []).append(raw)
                 for lang, raw in of.items():
-                    sums[place[lang]] += np.bincount(trigrams(raw)[0], minlength=BUCKETS)
-        lang, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[lang, bucket])], ["lang", "bucket", "n"])
+                    n = np.bincount(trigrams(raw)[0], minlength=BUCKETS)
+                    bucket = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), place[lang], np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n[bucket])], ["lang", "bucket", "n"])
 
-    labelled = rows.filter(F.col("lang").isin(names)).select("lang", "text")
+    labelled = rows.select("lang", "text")
     found = labelled.mapInArrow(tally, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros((len(names), BUCKETS))
     sums[found["lang"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
@@ -86,7 +87,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 def text_evidence(docs: DataFrame, tables: np.ndarray) -> DataFrame:
     """docs' columns but for text, with `evidence` (a number for each language and none) and `n_trigrams`."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(tables.T.astype(np.float32)))  # at most 65 x 32768 numbers
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray(tables.T.astype(np.float32)))  # LANGUAGES + 1 rows of BUCKETS numbers at most
     others = [f for f in docs.schema if f.name != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +115,11 @@ def argmax(values: Column) -> Column:
     return F.when(F.element_at(values, -1) == top, F.size(values) - 1).otherwise(F.array_position(values, top) - 1).cast("int")
 
 
+def but_own(counts: Column, best: Column) -> Column:
+    """Counts of texts by language without the row's own text, which is evidence already."""
+    return F.transform(counts, lambda n, i: n - (i == best).cast("double"))
+
+
 def log_shares(counts: Column, prior: Column, pull: float) -> Column:
     """Log of counts smoothed towards a distribution."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
@@ -126,8 +132,9 @@ def identify(docs: DataFrame, suffix: Column | None = None, least: float = LEAST
     docs has doc_id, text, lang (the declared language) and source (the host); `suffix` is
     the address suffix where there are addresses. A null declaration, host or suffix is
     no evidence by itself (nulls share one prior). A text without letters is in no
-    language, so null and empty texts are not kept. Ties go to no language, then to the
-    first by name. Repeated rows give a row each, an empty table none; other columns are not read.
+    language, so null and empty texts are not kept. Host and declaration are counted over
+    all other rows: a row's own text is not evidence twice. Ties go to no language, then to
+    the first by name. Texts of any length count whole. Repeated rows give a row each, an empty table none; other columns are not read.
     """
     names, tables = fit(docs)
     size = len(names) + 1
@@ -146,7 +153,7 @@ def identify(docs: DataFrame, suffix: Column | None = None, least: float = LEAST
     by_suffix = by_host.groupBy(F.col("suffix").alias("s")).agg(sums("n_host").alias("n_suffix"))
     by_suffix = by_suffix.select("s", F.transform(log_shares(F.col("n_suffix"), corpus, PULL), F.exp).alias("suffix_prior"))
     hosts = by_host.join(by_suffix, F.col("suffix").eqNullSafe(F.col("s"))).select(
-        F.col("host").alias("h"), F.col("suffix").alias("hs"), log_shares(F.col("n_host"), F.col("suffix_prior"), PULL).alias("log_prior")
+        F.col("host").alias("h"), F.col("suffix").alias("hs"), "n_host", "suffix_prior"
     )
     hosts = stash(hosts, "priors")
     # P(declared | language): smoothed towards the declaration's share of the corpus
@@ -155,10 +162,12 @@ def identify(docs: DataFrame, suffix: Column | None = None, least: float = LEAST
     per_language = F.array(*[F.lit(float(x)) for x in totals])
     everything = float(sum(totals)) or 1.0
     shared = F.aggregate("n_declared", F.lit(0.0), lambda a, x: a + x) / everything
-    declared = declared.select(F.col("declared").alias("d"), F.zip_with("n_declared", per_language, lambda n, t: F.ln((n + shared * DECLARED_PULL) / (t + DECLARED_PULL))).alias("log_declared"))
-    declared = stash(declared, "declared")
+    declared = stash(declared.select(F.col("declared").alias("d"), "n_declared", shared.alias("shared")), "declared")
 
     fused = scored.join(hosts, F.col("host").eqNullSafe(F.col("h")) & F.col("suffix").eqNullSafe(F.col("hs"))).join(declared, F.col("declared") == F.col("d"), "left")
+    own = lambda counts: but_own(F.col(counts) if isinstance(counts, str) else counts, F.col("text_best"))
+    fused = fused.withColumn("log_prior", log_shares(own("n_host"), F.col("suffix_prior"), PULL))
+    fused = fused.withColumn("log_declared", F.zip_with(own("n_declared"), own(per_language), lambda n, t: F.ln((n + F.col("shared") * DECLARED_PULL) / (t + DECLARED_PULL))))
     none = F.array(*[F.lit(0.0)] * size)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     fused = fused.withColumn("fused", add(add("evidence", "log_prior"), F.coalesce("log_declared", none))).withColumn("top", F.array_max("fused"))
@@ -180,3 +189,18 @@ def identified_documents(docs: DataFrame) -> DataFrame:
     found = with_checked_size(stash(found, "rejected"))
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")) & F.col("lang").eqNullSafe(F.col("__declared"))
     return docs.join(found, same, "left_anti")
+
+
+def identify_pages(pages: DataFrame) -> DataFrame:
+    """page_id (as doc_id), text_hash, declared, text_lang, language, posterior and kept of every row of pages.
+
+    The text is the page's main text, the declaration its html element's lang without
+    region, host and suffix are the address's; a null url or html has none of them.
+    """
+    host = F.nullif(F.lower(F.regexp_extract("url", r"//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    declared = F.nullif(F.lower(F.regexp_extract("html", r"""(?i)<html\b[^>]*\slang\s*=\s*["']?([a-z]+)""", 1)), F.lit(""))
+    read = pages.select(F.col("page_id").alias("doc_id"), "url", "html", F.struct(declared.alias("declared"), host.alias("host")).alias("m"))
+    rows = extract(read.select(F.to_json(F.struct("doc_id", "m")).alias("key"), "url", "html"), key="key")
+    of = F.from_json("key", "doc_id long, m struct<declared:string,host:string>")
+    docs = stash(rows.select(of["doc_id"].alias("doc_id"), "text", of["m"]["declared"].alias("lang"), of["m"]["host"].alias("source")), "page_texts")
+    return identify(docs, suffix=F.element_at(F.split("source", r"\."), -1))
