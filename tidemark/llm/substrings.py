@@ -251,15 +251,18 @@ def hot_windows(parts: DataFrame, window: int) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            for row in zip(*[batch.column(names.index(c)).to_pylist() for c in ("a", "n", "first", "doc_id", "text_hash", "words")], strict=True):
-                grams = rolled(np.frombuffer(row[5], dtype=np.uint64), window)
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for a, n, first, doc_id, text_hash, words in zip(*[batch.column(names.index(c)).to_pylist() for c in ("a", "n", "first", "doc_id", "text_hash", "words")], strict=True):
+                grams = rolled(np.frombuffer(words, dtype=np.uint64), window)
                 k = len(grams)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.view(np.int64)), pa.array([row[0]] * k, pa.int64()), pa.array([row[1]] * k, pa.int64()), pa.array(np.arange(row[2], row[2] + k, dtype=np.int32)), pa.array([row[3]] * k, pa.int64()), pa.array([row[4]] * k, pa.int64())],
-                    ["g", "a", "n", "start", "doc_id", "text_hash"],
-                )
-
-    windows = parts.mapInArrow(spread, "g long, a long, n long, start int, doc_id long, text_hash long")
+                for column, values in zip(columns, (grams.view(np.int64), np.full(k, a), np.full(k, n), np.arange(first, first + k), np.full(k, doc_id if doc_id is not None else 0), np.full(k, text_hash)), strict=True):
+                    column.append(values)
+                columns[4][-1] = pa.array(columns[4][-1], pa.int64()) if doc_id is not None else pa.nulls(k, pa.int64())
+            flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for i, c in enumerate(columns) if i != 4]
+            ids = pa.concat_arrays(columns[4]) if columns[4] else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2]), pa.array(flat[3].astype(np.int32)), ids, pa.array(flat[4])], ["g", "a", "n", "start", "doc_id", "text_hash"])
+
+    windows = stash(parts.mapInArrow(spread, "g long, a long, n long, start int, doc_id long, text_hash long"), "hot_windows")
     twice = windows.groupBy(F.col("g").alias("g2"), F.col("a").alias("a2")).agg(F.sum("n").alias("total")).filter("total > 1")
     return windows.filter("n = 1").join(twice, (F.col("g") == F.col("g2")) & (F.col("a") == F.col("a2"))).select("doc_id", "text_hash", "start")
 
