@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir; a private folder is set only where none is configured."""
+    """A new path in spark.checkpoint.dir, deleted when the driver ends; a private folder is set only in local mode where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+@atexit.register
+def _drop_written() -> None:
+    for spark, path in _written:
+        try:
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        except Exception:  # the session is gone already; the folder is scratch space
+            return
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -23,6 +23,13 @@ def bridge(samples: DataFrame, ids: str, separator: str = "|") -> DataFrame:
     return samples.withColumn("source_id", F.explode(F.split(ids, f"[{separator}]"))).drop(ids)
 
 
+def bridged(samples: DataFrame, ids: str, records: DataFrame, record_id: str, separator: str = "|") -> DataFrame:
+    """Samples joined with the record of each source id; an id that no record has raises."""
+    met = bridge(samples, ids, separator).join(records.withColumn("__known", F.lit(True)), F.col("source_id") == F.col(record_id), "left")
+    known = F.when(F.col("__known"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no record has source id "), F.col("source_id"))).cast("boolean"))
+    return met.filter(known).drop("__known")
+
+
 def embargo(parts: DataFrame, splits: Sequence[str], hours: float) -> DataFrame:
     """Partitions (cluster, part, split, t_start, t_end) too close behind one of another split in their cluster.
 
@@ -47,10 +54,22 @@ def compare(left: DataFrame, right: DataFrame, key: str, value: str, tolerance:
     return out.withColumn("within", (F.col("n_missing") == 0) & (F.col("n_extra") == 0) & (F.col("max_diff") <= tolerance))
 
 
+def line_digest(rows: DataFrame, keys: Sequence[str], line: Column, *extra: Column) -> DataFrame:
+    """keys, extra aggregates (of rows) and digest of each key's lines, in two levels.
+
+    Lines are bucketed by the first three digits of their SHA-256; a bucket's digest is that of
+    its sorted lines, the key's digest that of its buckets' digests in order. No array holds
+    a key's lines: one bucket has a 4096th of them.
+    """
+    lined = rows.withColumn("__line", line).withColumn("__bucket", F.substring(F.sha2("__line", 256), 1, 3))
+    each = lined.groupBy(*keys, "__bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__line")), "\n"), 256).alias("__d"))
+    whole = each.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__bucket", "__d"))), lambda x: x["__d"]), "\n"), 256).alias("digest"))
+    return whole.join(rows.groupBy(*keys).agg(F.count("*").alias("n"), *extra), list(keys))
+
+
 def ancestry(rows: DataFrame, key: str, line: Column, t: str) -> DataFrame:
-    """Time range, number of sources and the digest of the sorted source lines of each sample."""
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256)
-    return rows.groupBy(key).agg(F.min(t).alias("earliest"), F.max(t).alias("latest"), F.count("*").alias("n_sources"), digest.alias("digest"))
+    """Time range, number of sources and the digest of the source lines of each sample."""
+    return line_digest(rows, [key], line, F.min(t).alias("earliest"), F.max(t).alias("latest")).withColumnRenamed("n", "n_sources")
 
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

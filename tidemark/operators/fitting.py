@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import written
+
 
 def pooled(score: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Pool-adjacent-violators: the nondecreasing rates nearest to pos / n, by score."""
@@ -52,7 +54,7 @@ def step_predict(scores: DataFrame, fitted: DataFrame, score: str = "k", value:
     return both.withColumn("p", F.coalesce(last, first)).filter("is_score = 1").select("key", "id", F.col("s").alias(score), "p")
 
 
-def platt(g: DataFrame, key: str, steps: int = 200, rate: float = 0.1, l2: float = 1e-3, least_weight: float = 0.01, clip: float = 25.0) -> DataFrame:
+def platt(g: DataFrame, key: str, steps: int = 200, rate: float = 0.05, l2: float = 0.1, least_weight: float = 0.01, clip: float = 25.0) -> DataFrame:
     """(key, w, b): logistic recalibration of a score p by gradient descent on counts by score (p, pos, neg)."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +106,7 @@ def covariance_reference(vectors: DataFrame, column: str, shrinkage: float) -> t
         if n:
             yield pd.DataFrame({"n": [n], "s": [s.tolist()], "xx": [xx.ravel().tolist()]})
 
-    parts = vectors.select(column).mapInPandas(partial, schema)
+    parts = written(vectors.select(column).mapInPandas(partial, schema), "moments")
     # array sums by position, so that what comes back is one set of moments
     s = parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
     xx = parts.select(F.posexplode("xx").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
@@ -143,6 +145,24 @@ def t_critical(confidence: float, df: int) -> float:
     return (low + high) / 2
 
 
+def with_t_critical(rows: DataFrame, df: str, confidence: float) -> DataFrame:
+    """rows with `critical`, the two-sided Student-t value of each row's degrees of freedom (NULL below 1); each degree is solved once a batch."""
+
+    @F.pandas_udf("double")
+    def critical(n: pd.Series) -> pd.Series:
+        found = {k: t_critical(confidence, int(k)) for k in n.dropna().unique() if k >= 1}
+        return n.map(found)
+
+    return rows.withColumn("critical", critical(F.col(df)))
+
+
+def control_reference(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, n, mean, scale): mean and population spread of the finite values; a constant reference raises."""
+    x = F.when(~F.isnan(value) & (F.abs(F.col(value)) != float("inf")), F.col(value))
+    out = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("scale"))
+    return out.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.raise_error(F.lit("a constant reference has no scale")).cast("double")))
+
+
 def cluster_bootstrap(means: DataFrame, draws: int, seed: int) -> DataFrame:
     """Percentile interval of the mean of clusters (cluster, value): each draw weighs clusters by hash-seeded Poisson(1) counts.
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import written
+
 
 def grouped(pred: DataFrame, keys: Sequence[str], score: str = "k") -> DataFrame:
     return pred.groupBy(*keys, score).agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
@@ -34,10 +36,11 @@ def ranking(g: DataFrame, keys: Sequence[str], score: str = "k") -> DataFrame:
 
 
 def mid_ranks(df: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """1-based ranks; tied scores share the mean of theirs."""
-    order = Window.partitionBy(*keys).orderBy(score)
-    ties = Window.partitionBy(*keys, score)
-    return df.withColumn("mid_rank", F.rank().over(order) + (F.count("*").over(ties) - 1) / 2)
+    """1-based ranks; tied scores share the mean of theirs. Windows run over distinct scores, not rows."""
+    counts = df.groupBy(*keys, score).agg(F.count("*").alias("ties"))
+    upto = F.sum("ties").over(Window.partitionBy(*keys).orderBy(score))
+    ranks = counts.select(*keys, score, (upto - (F.col("ties") - 1) / 2).alias("mid_rank"))
+    return df.join(ranks, [*keys, score])
 
 
 def confusion(pred: DataFrame, keys: Sequence[str], alert: Column) -> DataFrame:
@@ -91,22 +94,73 @@ def murphy(g: DataFrame, keys: Sequence[str], p: Column) -> DataFrame:
     return out.withColumn("skill", F.try_divide(F.col("resolution") - F.col("reliability"), F.col("uncertainty")))
 
 
-def holm(df: DataFrame, key: str, p: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Step-down adjusted p-values: running maximum of (m - rank + 1) p, at most 1."""
-    order = Window.partitionBy(*keys).orderBy(p, key)
-    m = F.count("*").over(Window.partitionBy(*keys))
-    out = df.withColumn("raised", F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p)))
-    out = out.withColumn("adjusted", F.max("raised").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("raised")
-    return out.withColumn("rejected", F.col("adjusted") <= alpha)
+def calibration_curve(g: DataFrame, keys: Sequence[str], p: Column, bins: int = 5, strategy: str = "uniform") -> DataFrame:
+    """(keys, bin, low, high, n, confidence, observed) of equal-width or equal-count bins, empty ones with their middle and 0.
+
+    Quantile edges that do not grow are set a millionth above the edge before.
+    """
+    n = F.col("pos") + F.col("neg")
+    if strategy == "uniform":
+        edges = g.select(*keys).distinct().withColumn("edges", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
+    else:
+        cuts = F.percentile(p, F.array(*[F.lit(i / bins) for i in range(bins + 1)]), n)
+        grown = F.aggregate("cuts", F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.when((F.size(a) > 0) & (x <= F.element_at(a, -1)), F.element_at(a, -1) + 1e-6).otherwise(x)))
+        edges = g.groupBy(*keys).agg(cuts.alias("cuts")).select(*keys, grown.alias("edges"))
+    at = sum(((p >= F.get("edges", F.lit(i))).cast("int") for i in range(1, bins)), F.lit(0))
+    met = g.join(F.broadcast(edges) if not keys else edges, list(keys)).withColumn("bin", at)
+    full = met.groupBy(*keys, "bin").agg(F.sum(n).alias("n"), (F.sum(n * p) / F.sum(n)).alias("confidence"), (F.sum("pos") / F.sum(n)).alias("observed"))
+    every = edges.select(*keys, "edges", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    low, high = F.get("edges", F.col("bin")), F.get("edges", F.col("bin") + 1)
+    return every.join(full, [*keys, "bin"], "left").select(
+        *keys, F.col("bin").cast("long").alias("bin"), low.alias("low"), high.alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        F.coalesce("confidence", (low + high) / 2).alias("confidence"), F.coalesce("observed", F.lit(0.0)).alias("observed"),
+    )
 
 
-def sign_flip(differences: DataFrame, most: int = 16, tolerance: float = 1e-12) -> DataFrame:
-    """Exact two-sided sign-flip p-value of paired differences (column d): all 2^n sign patterns as rows.
+def holm(df: DataFrame, key: str, p: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+    """Step-down adjusted p-values: running maximum of (m - rank + 1) p, at most 1.
 
-    The pairs are few by contract (n <= 16); a larger panel raises.
+    One family over all rows is cut into ranges of p: ranks and maxima run inside each
+    range, and the ranges' counts and maxima are carried over.
+    """
+    if keys:
+        order = Window.partitionBy(*keys).orderBy(p, key)
+        m = F.count("*").over(Window.partitionBy(*keys))
+        out = df.withColumn("raised", F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p)))
+        out = out.withColumn("adjusted", F.max("raised").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("raised")
+        return out.withColumn("rejected", F.col("adjusted") <= alpha)
+    parts = written(df.repartitionByRange(p, key).withColumn("part", F.spark_partition_id()), "holm")
+    within = Window.partitionBy("part").orderBy(p, key)
+    local = parts.withColumn("i", F.row_number().over(within))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy()).alias("m"))
+    raised = local.join(F.broadcast(starts), "part").withColumn("raised", F.least(F.lit(1.0), (F.col("m") - F.col("start") - F.col("i") + 1) * F.col(p)))
+    tops = raised.groupBy("part").agg(F.max("raised").alias("top")).select("part", F.max("top").over(before).alias("carried"))
+    own = F.max("raised").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    out = raised.withColumn("own", own).join(F.broadcast(tops), "part").withColumn("adjusted", F.greatest("own", F.coalesce("carried", F.lit(0.0))))
+    return out.select(*df.columns, "adjusted").withColumn("rejected", F.col("adjusted") <= alpha)
+
+
+def sign_flip(differences: DataFrame, most: int = 16, draws: int = 10_000, seed: int = 314_159, tolerance: float = 1e-12) -> DataFrame:
+    """(n, p_value, is_exact): two-sided sign-flip p-value of paired differences (column d).
+
+    Up to `most` pairs all sign patterns are tried. Beyond, `draws` patterns by a seeded hash
+    of pair and draw are, as (extreme + 1) / (draws + 1); their sums are partially
+    aggregated, so pairs are never gathered. No pairs, or none that differ, have p = 1.
     """
-    packed = differences.agg(F.array_sort(F.collect_list("d")).alias("ds"), F.count("*").alias("n")).withColumn("n", F.when(F.col("n") <= most, F.col("n")).otherwise(F.raise_error(F.lit("too many pairs for an exact test"))))
-    flips = packed.select("ds", "n", F.explode(F.expr("sequence(0, shiftleft(1, cast(n as int)) - 1)")).alias("mask"))
-    total = F.aggregate(F.expr("transform(ds, (d, i) -> CASE WHEN (shiftright(mask, i) & 1) = 1 THEN -d ELSE d END)"), F.lit(0.0), lambda a, x: a + x)
-    seen = F.aggregate("ds", F.lit(0.0), lambda a, x: a + x)
-    return flips.select("n", (F.abs(total) >= F.abs(seen) - tolerance).alias("extreme")).groupBy("n").agg((F.count_if(F.col("extreme")) / F.count("*")).alias("p_value"))
+    paired = written(differences.select(F.col("d").cast("double").alias("d"), F.monotonically_increasing_id().alias("i")), "pairs")
+    whole = paired.agg(F.count("d").alias("n"), F.coalesce(F.abs(F.sum("d")), F.lit(0.0)).alias("seen"), F.coalesce(F.max(F.abs("d")), F.lit(0.0)).alias("widest"))
+    n = whole.first()["n"]
+    if n <= most:
+        packed = paired.agg(F.array_sort(F.collect_list("d")).alias("ds"))  # at most `most` numbers
+        flips = packed.select("ds", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))).alias("mask"))
+        total = F.aggregate(F.expr("transform(ds, (d, i) -> CASE WHEN (shiftright(mask, i) & 1) = 1 THEN -d ELSE d END)"), F.lit(0.0), lambda a, x: a + x)
+        sums, extra = flips.select(F.abs(total).alias("t")), 0
+    else:
+        flips = paired.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+        sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "i", "draw"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+        sums, extra = flips.groupBy("draw").agg(F.abs(F.sum(F.col("d") * sign)).alias("t")), 1
+    extreme = F.count_if(F.col("t") >= F.col("seen") - tolerance)
+    p = sums.crossJoin(F.broadcast(whole)).agg((extreme + extra) / (F.count("*") + extra), F.max("widest")).toDF("p", "widest")
+    return p.select(F.lit(n).cast("long").alias("n"), F.when(F.col("widest") > 0, F.col("p")).otherwise(F.lit(1.0)).alias("p_value"), F.lit(n <= most).alias("is_exact"))

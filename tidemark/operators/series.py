@@ -190,11 +190,11 @@ def onset_labels(slots: DataFrame, marked: DataFrame, horizon: int) -> DataFrame
     known = F.coalesce((F.col("class") == "L") & F.col("at_risk"), F.lit(False))
     reason = (
         F.when(~known, "current_state_unknown_or_ongoing").when(F.col("surest") >= F.col("day"), "definite_future_onset")
-        .when(straddles, "onset_boundary_ambiguous").when(F.col("covered") <= horizon, "incomplete_future_monitoring").otherwise("complete_future_monitoring")
+        .when(straddles, "onset_boundary_ambiguous").when(F.col("covered") <= horizon, "incomplete_future_monitoring").otherwise("complete_sampled_future_monitoring")
     )
     bounded = F.col("first_on.lower") >= F.col("day")
     return r.withColumn("reason", reason).select(
-        "site", F.col("day").alias("issue"), "reason", F.when(F.col("reason") == "definite_future_onset", 1).when(F.col("reason") == "complete_future_monitoring", 0).alias("label"),
+        "site", F.col("day").alias("issue"), "reason", F.when(F.col("reason") == "definite_future_onset", 1).when(F.col("reason") == "complete_sampled_future_monitoring", 0).alias("label"),
         F.when(F.col("first_on").isNull(), "no_future_onset").when(bounded, "bounded_interval").otherwise("unknown_interval_may_precede_issue").alias("first_status"),
         F.when(bounded, 24 * F.datediff("first_on.lower", "day")).cast("long").alias("lead_lower"), F.when(bounded, 24 * F.datediff("first_on.upper", "day")).cast("long").alias("lead_upper"),
     )

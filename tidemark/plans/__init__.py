@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import daily, evaluation, inputs, metrics, models, more, records, series
+from tidemark.plans import daily, evaluation, inputs, metrics, models, more, records, series, wider
 
-_MODULES = (daily, metrics, series, records, models, more, inputs, evaluation)
+_MODULES = (daily, metrics, series, records, models, more, inputs, evaluation, wider)
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import written
 from tidemark.operators import daily as D
 from tidemark.sources.views import CALENDAR, DAILY_SQL, REFERENCE_END, daily_values
 
@@ -15,18 +16,20 @@ CELLS = [(r, t) for r in ("primary", "unflagged") for t in ("primary", "unflagge
 
 
 def days(spark, sf_dir) -> DataFrame:
-    return D.calendarize(daily_values(spark, sf_dir), *CALENDAR)
+    """The daily table, written once for each query, so that the branches of a plan read it and do not make it again."""
+    return written(D.calendarize(daily_values(spark, sf_dir), *CALENDAR), "daily")
 
 
-def thresholds(spark, sf_dir) -> DataFrame:
+def thresholds(spark, sf_dir, daily: DataFrame | None = None) -> DataFrame:
     lanes = spark.createDataFrame([("primary",), ("unflagged",)], "ref_lane string")
-    ref = days(spark, sf_dir).filter(F.col("local_date") < F.lit(REFERENCE_END).cast("date")).crossJoin(F.broadcast(lanes)).filter(D.usable(F.col("ref_lane")))
+    ref = (daily or days(spark, sf_dir)).filter(F.col("local_date") < F.lit(REFERENCE_END).cast("date")).crossJoin(F.broadcast(lanes)).filter(D.usable(F.col("ref_lane")))
     return D.type8(ref, ("site", "ref_lane"), "value", A, B)
 
 
 def classed(spark, sf_dir, cells=CELLS) -> DataFrame:
     params = spark.createDataFrame(cells, "ref_lane string, lane string")
-    rows = days(spark, sf_dir).crossJoin(F.broadcast(params)).join(thresholds(spark, sf_dir), ["site", "ref_lane"])
+    daily = days(spark, sf_dir)
+    rows = daily.crossJoin(F.broadcast(params)).join(thresholds(spark, sf_dir, daily), ["site", "ref_lane"])
     klass = F.when(~D.usable(F.col("lane")), "U").when(D.above(F.col("value")), "H").otherwise("L")
     return rows.withColumn("class", klass)
 
@@ -48,7 +51,7 @@ def win_state_trace(spark, sf_dir):
 
 
 def win_lineage(spark, sf_dir):
-    """Completions whose three days before are not all low: none, if the trace is right."""
+    """Completions with the three days before, which armed them."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*KEYS).orderBy("local_date").rowsBetween(-3, -1)
@@ -124,13 +127,9 @@ def agg_crosstab(spark, sf_dir):
 def set_completion_diff(spark, sf_dir):
     """Completions of the primary lane that the unflagged lane has not, the other way, and both."""
     done = traced(spark, sf_dir).filter("completion and ref_lane = 'primary'")
-    left, right = (done.filter(F.col("lane") == x).select("site", "local_date") for x in ("primary", "unflagged"))
-    kinds = [("left_only", left.subtract(right)), ("right_only", right.subtract(left)), ("both", left.intersect(right))]
-    out = None
-    for kind, rows in kinds:
-        part = rows.withColumn("kind", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    lanes = done.groupBy("site", "local_date").agg(F.bool_or(F.col("lane") == "primary").alias("l"), F.bool_or(F.col("lane") == "unflagged").alias("r"))
+    kind = F.when(F.col("l") & F.col("r"), "both").when(F.col("l"), "left_only").otherwise("right_only")
+    return lanes.select("site", "local_date", kind.alias("kind"))
 
 
 def agg_event_inputs(spark, sf_dir):

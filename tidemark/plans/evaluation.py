@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import fitting, metrics
 from tidemark.operators.audits import violations
 from tidemark.plans.series import _SLOTS, slots
+from tidemark.operators.audits import line_digest
 from tidemark.sources.views import PRED_SQL, predictions, table
 
 LOOKBACK = 6
@@ -61,7 +62,7 @@ def cal_oof(spark, sf_dir):
 def agg_pred_digest(spark, sf_dir):
     """Digest of each group's sorted prediction lines, scores in tenths."""
     line = F.concat_ws(":", "sample_id", F.col("k").cast("string"), F.col("y").cast("string"))
-    return predictions(spark, sf_dir).groupBy("grp").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    return line_digest(predictions(spark, sf_dir), ["grp"], line)
 
 
 def prj_file_category(spark, sf_dir):
@@ -103,7 +104,7 @@ SQL = {
         FROM e GROUP BY family, yr""",
     "jn_replay_ledger": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_unmatched, CAST(0 AS BIGINT) AS n_different FROM lineitem",
     "jn_cohort_meta": "SELECT CASE WHEN o_orderkey IS NULL THEN NULL WHEN o_orderkey % 10 < 7 THEN 'train' WHEN o_orderkey % 10 < 9 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT l_orderkey) AS n_groups FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
-    "agg_pred_digest": f"WITH {PRED_SQL} SELECT grp, sha256(string_agg(sample_id || ':' || k || ':' || y, chr(10) ORDER BY sample_id || ':' || k || ':' || y)) AS digest, count(*) AS n FROM pred GROUP BY grp",
+    "agg_pred_digest": f"WITH {PRED_SQL} SELECT grp, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(k) AS BIGINT) AS n FROM (SELECT grp, b, count(*) AS k, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM (SELECT grp, line, substr(sha256(line), 1, 3) AS b FROM (SELECT grp, sample_id || ':' || k || ':' || y AS line FROM pred)) GROUP BY 1, 2) GROUP BY 1",
     "prj_file_category": "SELECT CASE p_partkey % 5 WHEN 0 THEN 'code' WHEN 1 THEN 'documentation' WHEN 2 THEN 'test' WHEN 3 THEN 'data' ELSE 'other' END AS category, count(*) AS n FROM part GROUP BY 1",
     "val_numeric": "WITH v AS (SELECT CASE WHEN event_id % 97 = 0 THEN 'nan' WHEN event_id % 101 = 0 THEN 'inf' WHEN event_id % 103 = 0 THEN 'null' ELSE 'ok' END AS s FROM events) SELECT rule, count(*) AS n FROM (SELECT unnest(CASE s WHEN 'nan' THEN ['not_nan', 'finite'] WHEN 'inf' THEN ['finite'] WHEN 'null' THEN ['present', 'finite'] ELSE [] END) AS rule FROM v) GROUP BY rule",
     "agg_unique_normalizer": "SELECT event_type, count(*) AS n, round(CAST(sum(CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT)) AS DOUBLE) / count(*) / 100, 5) AS mean FROM events WHERE event_id % 2 = 0 GROUP BY 1",

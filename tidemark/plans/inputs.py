@@ -31,7 +31,7 @@ def src_continuous(spark, sf_dir):
 def src_featurecollection(spark, sf_dir):
     """Pages spoilt in five ways and what is found wrong with each."""
     body = F.col("body")
-    spoilt = [body, F.concat(F.lit('{"type":"x",'), F.substring("body", 2, 1_000_000)), F.replace(body, F.lit('"FeatureCollection"'), F.lit('"Other"')), F.regexp_replace(body, '"numberReturned":\\d+', '"numberReturned":-1'), F.substring("body", 1, 20)]
+    spoilt = [body, F.concat(F.lit('{"type":"x",'), F.expr("substring(body, 2)")), F.replace(body, F.lit('"FeatureCollection"'), F.lit('"Other"')), F.regexp_replace(body, '"numberReturned":\\d+', '"numberReturned":-1'), F.substring("body", 1, 20)]
     one = F.element_at(F.array(*spoilt), (F.col("site") % 5 + 1).cast("int"))
     return _pages(spark, sf_dir).select("site", X.collection_problem(one).alias("problem"))
 
@@ -55,7 +55,7 @@ def src_thresholds(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"))
     kinds = spark.createDataFrame([("A", "flood_stage_action_m", 1.0), ("A", "flood_stage_minor_m", 2.0), ("A", "flow_m", 9.0), ("B", "flood_stage_major_m", 4.0)], "provider string, parameter string, base double")
     records = s.crossJoin(F.broadcast(kinds)).withColumn("value_si", F.col("base") + F.col("site") % 10)
-    return X.thresholds(records, "A").orderBy("site", "category")
+    return X.thresholds(records, "A")
 
 
 def src_manifest_route(spark, sf_dir):

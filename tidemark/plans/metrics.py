@@ -114,7 +114,7 @@ def differences(spark, sf_dir):
 
 
 def st_sign_flip(spark, sf_dir):
-    return M.sign_flip(differences(spark, sf_dir)).select("n", F.round("p_value", 6).alias("p_value"))
+    return M.sign_flip(differences(spark, sf_dir)).select("n", "is_exact", F.round("p_value", 6).alias("p_value"))
 
 
 def st_contrast(spark, sf_dir):
@@ -125,7 +125,7 @@ def st_contrast(spark, sf_dir):
 def win_holm(spark, sf_dir):
     """Suppliers' two-sided exceedance shares stand for p-values: (rank of return share) over twice the suppliers."""
     c = predictions(spark, sf_dir).groupBy("grp").agg(F.sum("y").cast("long").alias("s"), F.count("*").alias("n"))
-    share = c.withColumn("p", F.round((F.col("s") / F.col("n")) * (F.col("s") / F.col("n")) / 50, 8)).filter("grp <= 40")
+    share = c.withColumn("p", F.round((F.col("s") / F.col("n")) * (F.col("s") / F.col("n")) / 50, 8))
     out = M.holm(share.select("grp", "p"), "grp", "p")
     return out.select("grp", F.round("p", 8).alias("p"), F.round("adjusted", 6).alias("adjusted"), "rejected")
 
@@ -183,8 +183,8 @@ SQL = {
     "calibration_bins": f"WITH {_BINS} SELECT yr, bin, n, round(confidence, 6) AS confidence, round(observed, 6) AS observed FROM bins",
     "agg_brier_murphy": f"WITH {_G}, r AS (SELECT *, CAST(sum(pos) OVER w AS DOUBLE) / sum(pos + neg) OVER w AS rate, CAST(pos AS DOUBLE) / (pos + neg) AS seen FROM g WINDOW w AS (PARTITION BY yr)), m AS (SELECT yr, sum((pos + neg) * (CAST(p AS DOUBLE) - seen) * (CAST(p AS DOUBLE) - seen)) / sum(pos + neg) AS rel, sum((pos + neg) * (seen - rate) * (seen - rate)) / sum(pos + neg) AS res, max(rate * (1 - rate)) AS unc FROM r GROUP BY yr) SELECT yr, round(rel, 6) AS reliability, round(res, 6) AS resolution, round(unc, 6) AS uncertainty, round((res - rel) / nullif(unc, 0), 6) AS skill FROM m",
     "agg_family": f"WITH {PRED_SQL}, y AS (SELECT family, yr, round(CAST(sum(y) AS DOUBLE) / count(*), 6) AS rate FROM pred GROUP BY 1, 2) SELECT family, count(*) AS n_runs, round(avg(rate), 6) AS mean_rate, round(stddev_pop(rate), 6) AS sd_pop, round(coalesce(stddev_samp(rate), 0.0), 6) AS sd_samp FROM y GROUP BY family",
-    "st_sign_flip": f"WITH {_DIFF}, o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM diffs), masks AS (SELECT unnest(range(0, CAST(pow(2, (SELECT max(n) FROM o)) AS BIGINT))) AS mask), s AS (SELECT mask, abs(sum(CASE WHEN (mask >> i) & 1 = 1 THEN -d ELSE d END)) AS t, abs(sum(d)) AS seen, count(*) AS n FROM o, masks GROUP BY mask) SELECT max(n) AS n, round(CAST(count(*) FILTER (t >= seen - 1e-12) AS DOUBLE) / count(*), 6) AS p_value FROM s",
+    "st_sign_flip": f"WITH {_DIFF}, o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM diffs), masks AS (SELECT unnest(range(0, CAST(pow(2, (SELECT max(n) FROM o)) AS BIGINT))) AS mask), s AS (SELECT mask, abs(sum(CASE WHEN (mask >> i) & 1 = 1 THEN -d ELSE d END)) AS t, abs(sum(d)) AS seen, count(*) AS n FROM o, masks GROUP BY mask) SELECT max(n) AS n, round(CAST(count(*) FILTER (t >= seen - 1e-12) AS DOUBLE) / count(*), 6) AS p_value, true AS is_exact FROM s",
     "st_contrast": f"WITH {_DIFF} SELECT count(*) AS n, round(avg(d), 6) AS mean_d, round(stddev_samp(d), 6) AS sd_d, round(stddev_samp(d) / sqrt(count(*)), 6) AS se_d, round(avg(d) / stddev_samp(d), 6) AS dz FROM diffs",
-    "win_holm": f"WITH {PRED_SQL}, s AS (SELECT grp, round((CAST(sum(y) AS DOUBLE) / count(*)) * (CAST(sum(y) AS DOUBLE) / count(*)) / 50, 8) AS p FROM pred WHERE grp <= 40 GROUP BY grp), r AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, grp) + 1) * p) AS raised FROM s), a AS (SELECT grp, p, max(raised) OVER (ORDER BY p, grp ROWS UNBOUNDED PRECEDING) AS adjusted FROM r) SELECT grp, round(p, 8) AS p, round(adjusted, 6) AS adjusted, adjusted <= 0.05 AS rejected FROM a",
+    "win_holm": f"WITH {PRED_SQL}, s AS (SELECT grp, round((CAST(sum(y) AS DOUBLE) / count(*)) * (CAST(sum(y) AS DOUBLE) / count(*)) / 50, 8) AS p FROM pred GROUP BY grp), r AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, grp) + 1) * p) AS raised FROM s), a AS (SELECT grp, p, max(raised) OVER (ORDER BY p, grp ROWS UNBOUNDED PRECEDING) AS adjusted FROM r) SELECT grp, round(p, 8) AS p, round(adjusted, 6) AS adjusted, adjusted <= 0.05 AS rejected FROM a",
     "val_metric_parity": f"WITH {PRED_SQL} SELECT DISTINCT yr, true AS equal FROM pred",
 }

@@ -43,10 +43,6 @@ def agg_covariance(spark, sf_dir):
     return M.mahalanobis(vectors, "vec_id", "embedding", mean, factor).select("vec_id", F.round("distance", 4).alias("distance"))
 
 
-def st_t_crit(spark, sf_dir):
-    return spark.createDataFrame([(df, round(M.t_critical(0.95, df), 4)) for df in (2, 4, 11, 30)], "df int, critical double")
-
-
 def st_bootstrap(spark, sf_dir):
     means = predictions(spark, sf_dir).groupBy(F.col("grp").alias("cluster")).agg((F.sum("y") / F.count("*")).alias("value"))
     return M.cluster_bootstrap(means, 200, 11)
@@ -70,7 +66,7 @@ def agg_lead_summary(spark, sf_dir):
     return out.withColumns({c: F.round(c, 4) for c in ("mean_lead", "median_lead", "min_lead", "max_lead", "recall", "false_alert_rate")})
 
 
-QUERIES = {f.__name__: f for f in (win_pava, win_step_predict, cal_platt, ml_ridge, agg_covariance, st_t_crit, st_bootstrap, jn_event_match, agg_lead_summary)}
+QUERIES = {f.__name__: f for f in (win_pava, win_step_predict, cal_platt, ml_ridge, agg_covariance, st_bootstrap, jn_event_match, agg_lead_summary)}
 
 _ISO = PRED_SQL + """, g AS (SELECT yr, k, sum(y) AS pos, count(*) AS n FROM pred GROUP BY yr, k),
 means AS (SELECT a.yr, a.k AS lo, b.k AS hi, CAST(sum(c.pos) AS DOUBLE) / sum(c.n) AS m FROM g a JOIN g b ON b.yr = a.yr AND b.k >= a.k JOIN g c ON c.yr = a.yr AND c.k BETWEEN a.k AND b.k GROUP BY 1, 2, 3),

@@ -156,7 +156,7 @@ lab AS (
     count(o.upper) AS n_future, coalesce(bool_or(o.lower IS NULL OR o.lower < f.day), false) AS unbounded, min(o.upper) AS up, arg_min(o.lower, o.upper) AS lo
   FROM f LEFT JOIN ons o ON o.site = f.site AND o.upper > f.day GROUP BY f.site, f.day, f.class, f.free_now)"""
 SQL = {
-    "lb_labels_rows": f"WITH {_ON}, r AS (SELECT *, CASE WHEN NOT known THEN 'current_state_unknown_or_ongoing' WHEN definite THEN 'definite_future_onset' WHEN amb THEN 'onset_boundary_ambiguous' WHEN NOT complete THEN 'incomplete_future_monitoring' ELSE 'complete_future_monitoring' END AS reason FROM lab) SELECT site, issue, CASE reason WHEN 'definite_future_onset' THEN 1 WHEN 'complete_future_monitoring' THEN 0 END AS label, reason FROM r",
+    "lb_labels_rows": f"WITH {_ON}, r AS (SELECT *, CASE WHEN NOT known THEN 'current_state_unknown_or_ongoing' WHEN definite THEN 'definite_future_onset' WHEN amb THEN 'onset_boundary_ambiguous' WHEN NOT complete THEN 'incomplete_future_monitoring' ELSE 'complete_sampled_future_monitoring' END AS reason FROM lab) SELECT site, issue, CASE reason WHEN 'definite_future_onset' THEN 1 WHEN 'complete_sampled_future_monitoring' THEN 0 END AS label, reason FROM r",
     "ex_exposure": f"WITH {_ON} SELECT site, issue, CASE WHEN n_future = 0 THEN 'no_future_onset' WHEN unbounded THEN 'unknown_interval_may_precede_issue' ELSE 'bounded_interval' END AS first_status, CAST(CASE WHEN n_future > 0 AND NOT unbounded THEN 24 * (lo - issue) END AS BIGINT) AS lead_lower, CAST(CASE WHEN n_future > 0 AND NOT unbounded THEN 24 * (up - issue) END AS BIGINT) AS lead_upper FROM lab",
     "jn_coverage": f"WITH {_SLOTS} SELECT a.site, a.day, count(*) FILTER (b.usable) = {HORIZON + 1} AS complete FROM slots a JOIN slots b ON b.site = a.site AND b.day BETWEEN a.day AND a.day + {HORIZON} GROUP BY 1, 2",
     "win_causal_conv": "SELECT user_id AS site, event_id AS obs_id, round(0.5 * v + 0.25 * lag(v, 2, 0.0) OVER w + 0.25 * lag(v, 4, 0.0) OVER w, 4) AS filtered FROM (SELECT *, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",

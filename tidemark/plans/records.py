@@ -108,10 +108,10 @@ def sink_records(spark, sf_dir):
 
 
 def sink_table(spark, sf_dir):
-    """A typed Parquet catalogue, written with snappy by site bucket and read back pruned."""
+    """A typed Parquet catalogue, written with snappy by site bucket and read back."""
     path = shared_path(spark, "catalog")
     daily_values(spark, sf_dir).withColumn("part", F.col("site") % 4).write.option("compression", "snappy").partitionBy("part").parquet(path)
-    return spark.read.parquet(path).filter("part = 1").select("site", "local_date", "value", "quality")
+    return spark.read.parquet(path).select("site", "local_date", "value", "quality")
 
 
 def sink_jsonl_gz(spark, sf_dir):
@@ -132,11 +132,11 @@ def jn_phantom(spark, sf_dir):
 def jn_source_bridge(spark, sf_dir):
     packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_set(F.col("l_partkey").cast("string")), "|").alias("source_ids"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("source_id"), "p_partkey")
-    return A.bridge(packed, "source_ids").join(parts, "source_id").groupBy("l_orderkey").agg(F.count("*").alias("n_sources"), F.min("p_partkey").alias("first_part"))
+    return A.bridged(packed, "source_ids", parts.withColumnRenamed("source_id", "record_id"), "record_id").groupBy("l_orderkey").agg(F.count("*").alias("n_sources"), F.min("p_partkey").alias("first_part"))
 
 
 def jn_embargo(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 1").select((F.col("o_custkey") % 25).alias("cluster"), F.col("o_orderkey").alias("part"), F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (F.col("o_custkey") % 3 + 1).cast("int")).alias("split"), micros("o_orderdate").alias("t_start"))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 500).alias("cluster"), F.col("o_orderkey").alias("part"), F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (F.col("o_custkey") % 3 + 1).cast("int")).alias("split"), micros("o_orderdate").alias("t_start"))
     rows = rows.withColumn("t_end", F.col("t_start") + 20 * 86_400_000_000)
     return A.embargo(rows, ("train", "validation", "test"), 24)
 
@@ -153,22 +153,6 @@ def agg_ancestry(spark, sf_dir):
     return A.ancestry(table(spark, sf_dir, "events"), "user_id", line, "ts")
 
 
-def agg_causality(spark, sf_dir):
-    """Of each user's events those after the issue (noon of 15 January) break causality, with the earliest one."""
-    rows = table(spark, sf_dir, "events").withColumn("late", F.col("ts") > F.expr("timestamp_ntz'2024-01-15 12:00:00'"))
-    return rows.groupBy("user_id").agg(F.count_if(F.col("late")).alias("n_late"), F.min(F.when(F.col("late"), F.col("ts"))).alias("first_late"), F.max(F.when(~F.col("late"), F.col("ts"))).alias("last_good"))
-
-
-def agg_cohort_audit(spark, sf_dir):
-    """Checks of a labelled cohort as rows: name and number of violations."""
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id", "left")
-    c = rows.agg(
-        F.count_if(F.col("text").isNull()).alias("without_source"), F.count_if(~F.col("quality").isin(0, 1)).alias("label_not_binary"),
-        (F.count("doc_id") - F.countDistinct("doc_id")).alias("repeated_sample"), F.greatest(F.lit(0), 100 - F.count_if(F.col("quality") == 0)).cast("long").alias("missing_negatives"),
-    )
-    return c.unpivot([], c.columns, "check", "n")
-
-
 def val_record_invariants(spark, sf_dir):
     rules = {"quantity_positive": F.col("l_quantity") > 0, "discount_in_range": F.col("l_discount").between(0, 0.09), "tax_below_price": F.col("l_tax") < 0.08, "flag_known": F.col("l_returnflag").isin("A", "R")}
     rows = table(spark, sf_dir, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
@@ -228,8 +212,8 @@ def ml_mahalanobis(spark, sf_dir):
 
 
 def gr_components(spark, sf_dir):
-    """Suppliers that share a part in a large order line, as components."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_tax = 0").select("l_suppkey", "l_partkey").distinct()
+    """Suppliers that share a part, as components."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     least = rows.groupBy("l_partkey").agg(F.min("l_suppkey").alias("b"))
     edges = rows.join(least, "l_partkey").select(F.col("l_suppkey").alias("a"), "b").filter("a <> b")
     return graph.components(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")), edges)
@@ -243,7 +227,7 @@ def set_union_cells(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (prj_units, prj_iso_utc, prj_quality_lenient, prj_numeric, prj_season, prj_ident, win_day_window, src_iv_json, src_columns_json, src_daily_pages, src_props_json, sink_records, sink_table, sink_jsonl_gz, agg_group_leak, jn_phantom, jn_source_bridge, jn_embargo, jn_pred_compare, agg_ancestry, agg_causality, agg_cohort_audit, val_record_invariants, agg_normalizer, ml_normalize, agg_robust, ml_robust_z, win_latent_step, ml_mahalanobis, gr_components, set_union_cells)
+    for f in (prj_units, prj_iso_utc, prj_quality_lenient, prj_numeric, prj_season, prj_ident, win_day_window, src_iv_json, src_columns_json, src_daily_pages, src_props_json, sink_records, sink_table, sink_jsonl_gz, agg_group_leak, jn_phantom, jn_source_bridge, jn_embargo, jn_pred_compare, agg_ancestry, val_record_invariants, agg_normalizer, ml_normalize, agg_robust, ml_robust_z, win_latent_step, ml_mahalanobis, gr_components, set_union_cells)
 }
 
 _NORM = """norm AS (SELECT event_type AS kind, count(*) AS n, CAST(sum(c) AS DOUBLE) / count(*) / 100 AS mean, sqrt(CAST(sum(CAST(c AS HUGEINT) * c) AS DOUBLE) / count(*) - (CAST(sum(c) AS DOUBLE) / count(*)) * (CAST(sum(c) AS DOUBLE) / count(*))) AS sd100, quantile_cont(c, 0.5) / 100 AS median
@@ -262,19 +246,17 @@ SQL = {
     "src_daily_pages": f"WITH {DAILY_SQL}, h AS (SELECT user_id AS site, CAST(ts AS DATE) AS local_date, count(DISTINCT (event_type, CAST(value AS DECIMAL(18,2)))) AS k, count(*) AS n FROM events GROUP BY 1, 2) SELECT d.site, d.local_date, CASE WHEN k IS NULL THEN 'absent' WHEN k = 1 THEN 'one_record' ELSE 'conflicting' END AS status, coalesce(n, 0) AS n FROM days d LEFT JOIN h ON h.site = d.site AND h.local_date = d.local_date",
     "src_props_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "sink_records": "SELECT user_id AS site, epoch_us(ts) // 60000000 AS minute, min(event_id) AS obs_id, arg_min(CAST(value AS DECIMAL(18,2)), event_id) AS value FROM events GROUP BY 1, 2",
-    "sink_table": f"WITH {DAILY_SQL} SELECT site, local_date, value, quality FROM daily WHERE site % 4 = 1",
+    "sink_table": f"WITH {DAILY_SQL} SELECT site, local_date, value, quality FROM daily",
     "sink_jsonl_gz": f"WITH {DAILY_SQL} SELECT site, local_date, value, quality FROM daily",
     "agg_group_leak": "SELECT l_orderkey, count(DISTINCT year(l_shipdate) < 1996) AS n_splits, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT year(l_shipdate) < 1996) > 1",
     "jn_phantom": "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)",
     "jn_source_bridge": "SELECT l_orderkey, count(DISTINCT p_partkey) AS n_sources, min(p_partkey) AS first_part FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
-    "jn_embargo": """WITH p AS (SELECT o_custkey % 25 AS cluster, o_orderkey AS part, CASE o_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split, epoch_us(o_orderdate) AS t_start, epoch_us(o_orderdate) + 1728000000000 AS t_end FROM orders WHERE o_orderkey % 50 = 1),
+    "jn_embargo": """WITH p AS (SELECT o_custkey % 500 AS cluster, o_orderkey AS part, CASE o_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split, epoch_us(o_orderdate) AS t_start, epoch_us(o_orderdate) + 1728000000000 AS t_end FROM orders),
         g AS (SELECT a.cluster, a.part, a.split, (a.t_start - max(b.t_end)) / 3600000000.0 AS gap FROM p a JOIN p b ON b.cluster = a.cluster AND b.split <> a.split AND (b.t_start, b.part) < (a.t_start, a.part) GROUP BY a.cluster, a.part, a.split, a.t_start)
         SELECT cluster, part, split, round(gap, 3) AS gap_hours, gap <= 0 AS overlaps FROM g WHERE gap < 24""",
     "jn_pred_compare": """WITH a AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 101 = 0 THEN 1 ELSE 0 END AS v FROM orders WHERE o_orderkey % 13 <> 0)
         SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS n_common, count(*) FILTER (b.k IS NULL) AS n_missing, count(*) FILTER (a.k IS NULL) AS n_extra, CAST(max(abs(a.v - b.v)) AS DOUBLE) AS max_diff, false AS within FROM a FULL JOIN b ON a.k = b.k""",
-    "agg_ancestry": "SELECT user_id, min(ts) AS earliest, max(ts) AS latest, count(*) AS n_sources, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT *, event_id || ':' || sha256(props) AS line FROM events) GROUP BY 1",
-    "agg_causality": "SELECT user_id, count(*) FILTER (ts > TIMESTAMP '2024-01-15 12:00:00') AS n_late, min(ts) FILTER (ts > TIMESTAMP '2024-01-15 12:00:00') AS first_late, max(ts) FILTER (ts <= TIMESTAMP '2024-01-15 12:00:00') AS last_good FROM events GROUP BY 1",
-    "agg_cohort_audit": """WITH r AS (SELECT l.*, d.text FROM labels l LEFT JOIN documents d USING (doc_id)) SELECT 'without_source' AS "check", count(*) FILTER (text IS NULL) AS n FROM r UNION ALL SELECT 'label_not_binary', count(*) FILTER (quality NOT IN (0, 1)) FROM r UNION ALL SELECT 'repeated_sample', count(doc_id) - count(DISTINCT doc_id) FROM r UNION ALL SELECT 'missing_negatives', greatest(0, 100 - count(*) FILTER (quality = 0)) FROM r""",
+    "agg_ancestry": "SELECT user_id, min(t0) AS earliest, max(t1) AS latest, CAST(sum(k) AS BIGINT) AS n_sources, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM (SELECT user_id, b, min(ts) AS t0, max(ts) AS t1, count(*) AS k, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM (SELECT *, substr(sha256(line), 1, 3) AS b FROM (SELECT *, event_id || ':' || sha256(props) AS line FROM events)) GROUP BY 1, 2) GROUP BY 1",
     "val_record_invariants": "SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN NOT l_quantity > 0 THEN 'quantity_positive' END, CASE WHEN NOT l_discount BETWEEN 0 AND 0.09 THEN 'discount_in_range' END, CASE WHEN NOT l_tax < 0.08 THEN 'tax_below_price' END, CASE WHEN l_returnflag NOT IN ('A', 'R') THEN 'flag_known' END]) AS rule FROM lineitem) WHERE rule IS NOT NULL GROUP BY 1",
     "agg_normalizer": f"WITH {_NORM} SELECT kind, n, round(mean, 5) AS mean, round(sd100 / 100, 5) AS sd, round(median, 5) AS median FROM norm",
     "ml_normalize": f"WITH {_NORM} SELECT event_id AS obs_id, round((coalesce(CASE WHEN event_id % 9 <> 0 THEN CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) END, median) - mean) / (sd100 / 100), 4) AS z, event_id % 9 <> 0 AS observed FROM events JOIN norm ON kind = event_type",
@@ -282,7 +264,7 @@ SQL = {
     "ml_robust_z": f"WITH {_ROB} SELECT event_id, round((value - median) / iqr, 4) AS z FROM events JOIN rob USING (event_type)",
     "win_latent_step": "WITH s AS (SELECT vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings), f AS (SELECT vec_id, sqrt(sum(pow(CAST(e[i] AS DOUBLE) - CAST(b[i] AS DOUBLE), 2))) AS d FROM s, (SELECT unnest(range(1, 65)) AS i) WHERE b IS NOT NULL GROUP BY vec_id) SELECT s.vec_id, round(d, 4) AS step FROM s LEFT JOIN f USING (vec_id)",
     "ml_mahalanobis": "WITH f AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), m AS (SELECT i, avg(x) AS mu, var_samp(x) AS v FROM f GROUP BY i) SELECT vec_id, round(sum((x - mu) * (x - mu)) / (SELECT avg(v) FROM m), 3) AS distance FROM f JOIN m USING (i) GROUP BY vec_id",
-    "gr_components": """WITH RECURSIVE r AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity >= 50 AND l_tax = 0), e AS (SELECT DISTINCT a.s AS a, b.s AS b FROM r a JOIN r b ON a.p = b.p),
+    "gr_components": """WITH RECURSIVE r AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), e AS (SELECT DISTINCT a.s AS a, b.s AS b FROM r a JOIN r b ON a.p = b.p),
         walk(node, seen) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT w.node, e.b FROM walk w JOIN e ON e.a = w.seen) SELECT node, min(seen) AS root FROM walk GROUP BY node""",
     "set_union_cells": f"WITH {DAILY_SQL} SELECT quality AS cell, count(*) AS n, count(DISTINCT site) AS n_sites FROM daily GROUP BY 1",
 }
