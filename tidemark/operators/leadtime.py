@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +48,16 @@ def summary(matches: DataFrame, events: DataFrame) -> DataFrame:
     n = events.agg(F.count("*").alias("n_events"))
     out = m.crossJoin(F.broadcast(n))
     return out.withColumns({"recall": F.when(F.col("n_events") > 0, F.col("n_matched") / F.col("n_events")).otherwise(F.lit(0.0)), "false_alert_rate": F.when(F.col("n_alerts") > 0, 1 - F.col("n_matched") / F.col("n_alerts")).otherwise(F.lit(0.0))})
+
+
+def by_category(matches: DataFrame, events: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """(category, n_events, n_detected, recall, leads) of every named category, also those without events, whose recall is 0."""
+    mid = (F.col("lead_lower") + F.col("lead_upper")) / 2
+    found = matches.filter("event_id is not null").select("site", "event_id", mid.alias("lead"), F.lit(True).alias("hit"))
+    named = events.sparkSession.createDataFrame([(c,) for c in categories], "category string")
+    met = named.join(events.join(found, ["site", "event_id"], "left"), "category", "left")
+    out = met.groupBy("category").agg(
+        F.count("event_id").alias("n_events"), F.count("hit").alias("n_detected"), F.avg("lead").alias("mean_lead"), F.percentile("lead", F.lit(0.5)).alias("median_lead"),
+        F.min("lead").alias("min_lead"), F.max("lead").alias("max_lead"),
+    )
+    return out.withColumn("recall", F.when(F.col("n_events") > 0, F.col("n_detected") / F.col("n_events")).otherwise(F.lit(0.0)))

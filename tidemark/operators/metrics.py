@@ -129,16 +129,16 @@ def holm(df: DataFrame, key: str, p: str, keys: Sequence[str] = (), alpha: float
         out = df.withColumn("raised", F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p)))
         out = out.withColumn("adjusted", F.max("raised").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("raised")
         return out.withColumn("rejected", F.col("adjusted") <= alpha)
-    parts = written(df.repartitionByRange(p, key).withColumn("part", F.spark_partition_id()), "holm")
-    within = Window.partitionBy("part").orderBy(p, key)
-    local = parts.withColumn("i", F.row_number().over(within))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy()).alias("m"))
-    raised = local.join(F.broadcast(starts), "part").withColumn("raised", F.least(F.lit(1.0), (F.col("m") - F.col("start") - F.col("i") + 1) * F.col(p)))
-    tops = raised.groupBy("part").agg(F.max("raised").alias("top")).select("part", F.max("top").over(before).alias("carried"))
-    own = F.max("raised").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    out = raised.withColumn("own", own).join(F.broadcast(tops), "part").withColumn("adjusted", F.greatest("own", F.coalesce("carried", F.lit(0.0))))
+    parts = written(df.repartitionByRange(p, key).withColumn("__part", F.spark_partition_id()), "holm")
+    within = Window.partitionBy("__part").orderBy(p, key)
+    local = parts.withColumn("__i", F.row_number().over(within))
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"), F.sum("__size").over(Window.partitionBy()).alias("__m"))
+    raised = local.join(F.broadcast(starts), "__part").withColumn("__raised", F.least(F.lit(1.0), (F.col("__m") - F.col("__start") - F.col("__i") + 1) * F.col(p)))
+    tops = raised.groupBy("__part").agg(F.max("__raised").alias("__top")).select("__part", F.max("__top").over(before).alias("__carried"))
+    own = F.max("__raised").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    out = raised.withColumn("__own", own).join(F.broadcast(tops), "__part").withColumn("adjusted", F.greatest("__own", F.coalesce("__carried", F.lit(0.0))))
     return out.select(*df.columns, "adjusted").withColumn("rejected", F.col("adjusted") <= alpha)
 
 

@@ -66,7 +66,14 @@ def agg_lead_summary(spark, sf_dir):
     return out.withColumns({c: F.round(c, 4) for c in ("mean_lead", "median_lead", "min_lead", "max_lead", "recall", "false_alert_rate")})
 
 
-QUERIES = {f.__name__: f for f in (win_pava, win_step_predict, cal_platt, ml_ridge, agg_covariance, st_bootstrap, jn_event_match, agg_lead_summary)}
+def agg_lead_categories(spark, sf_dir):
+    """Recall and leads by category of event, told by the episode's peak."""
+    peaks = series.episodes(timed(spark, sf_dir), THRESHOLD).select("site", F.col("episode").alias("event_id"), F.when(F.col("peak_value") >= 99, "major").when(F.col("peak_value") >= 95, "moderate").when(F.col("peak_value") >= 90, "minor").otherwise("action").alias("category"))
+    out = leadtime.by_category(leadtime.match(_alerts(spark, sf_dir), _episodes(spark, sf_dir), 72), peaks, ("action", "minor", "moderate", "major"))
+    return out.withColumns({c: F.round(c, 4) for c in ("mean_lead", "median_lead", "min_lead", "max_lead", "recall")})
+
+
+QUERIES = {f.__name__: f for f in (agg_lead_categories, win_pava, win_step_predict, cal_platt, ml_ridge, agg_covariance, st_bootstrap, jn_event_match, agg_lead_summary)}
 
 _ISO = PRED_SQL + """, g AS (SELECT yr, k, sum(y) AS pos, count(*) AS n FROM pred GROUP BY yr, k),
 means AS (SELECT a.yr, a.k AS lo, b.k AS hi, CAST(sum(c.pos) AS DOUBLE) / sum(c.n) AS m FROM g a JOIN g b ON b.yr = a.yr AND b.k >= a.k JOIN g c ON c.yr = a.yr AND c.k BETWEEN a.k AND b.k GROUP BY 1, 2, 3),
