@@ -35,8 +35,12 @@ def agg_replay_metric(spark, sf_dir):
 
 
 def jn_replay_ledger(spark, sf_dir):
-    """Predictions against a saved ledger on their key: every row must be there once and agree."""
-    ledger = predictions(spark, sf_dir).select("sample_id", F.col("k").alias("saved_k"), F.col("y").alias("saved_y"))
+    """Predictions against a saved ledger on their key: a row too few, too many or other than saved is told; each kind is planted."""
+    nth = F.col("grp") * 7 + F.col("k")
+    rows = predictions(spark, sf_dir)
+    saved = rows.filter(nth % 50 != 1).select("sample_id", (F.col("k") + F.when(nth % 70 == 3, 1).otherwise(0)).alias("saved_k"), F.col("y").alias("saved_y"))
+    extra = rows.filter(nth % 90 == 5).select(F.concat("sample_id", F.lit("-x")).alias("sample_id"), F.col("k").alias("saved_k"), F.col("y").alias("saved_y"))
+    ledger = saved.unionByName(extra)
     met = predictions(spark, sf_dir).join(ledger, "sample_id", "full_outer")
     return met.agg(F.count("*").alias("n"), F.count_if(F.col("saved_k").isNull() | F.col("k").isNull()).alias("n_unmatched"), F.count_if((F.col("k") != F.col("saved_k")) | (F.col("y") != F.col("saved_y"))).alias("n_different"))
 
@@ -102,7 +106,7 @@ SQL = {
           CAST(coalesce(sum(pos) FILTER (k >= 6), 0) AS BIGINT) AS tp, CAST(coalesce(sum(neg) FILTER (k >= 6), 0) AS BIGINT) AS fp, round(CAST(sum(pos) FILTER (k >= 6) AS DOUBLE) / nullif(sum(pos + neg) FILTER (k >= 6), 0), 6) AS precision,
           round(CAST(coalesce(sum(pos) FILTER (k >= 6), 0) AS DOUBLE) / nullif(max(np), 0), 6) AS recall, round(coalesce(2 * CAST(coalesce(sum(pos) FILTER (k >= 6), 0) AS DOUBLE) / nullif(coalesce(sum(pos + neg) FILTER (k >= 6), 0) + max(np), 0), 0.0), 6) AS f1
         FROM e GROUP BY family, yr""",
-    "jn_replay_ledger": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_unmatched, CAST(0 AS BIGINT) AS n_different FROM lineitem",
+    "jn_replay_ledger": f"WITH {PRED_SQL}, c AS (SELECT *, grp * 7 + k AS nth FROM pred) SELECT count(*) + count(*) FILTER (nth % 90 = 5) AS n, count(*) FILTER (nth % 50 = 1) + count(*) FILTER (nth % 90 = 5) AS n_unmatched, count(*) FILTER (nth % 50 <> 1 AND nth % 70 = 3) AS n_different FROM c",
     "jn_cohort_meta": "SELECT CASE WHEN o_orderkey IS NULL THEN NULL WHEN o_orderkey % 10 < 7 THEN 'train' WHEN o_orderkey % 10 < 9 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT l_orderkey) AS n_groups FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
     "agg_pred_digest": f"WITH {PRED_SQL} SELECT grp, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(k) AS BIGINT) AS n FROM (SELECT grp, b, count(*) AS k, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM (SELECT grp, line, substr(sha256(line), 1, 3) AS b FROM (SELECT grp, sample_id || ':' || k || ':' || y AS line FROM pred)) GROUP BY 1, 2) GROUP BY 1",
     "prj_file_category": "SELECT CASE p_partkey % 5 WHEN 0 THEN 'code' WHEN 1 THEN 'documentation' WHEN 2 THEN 'test' WHEN 3 THEN 'data' ELSE 'other' END AS category, count(*) AS n FROM part GROUP BY 1",

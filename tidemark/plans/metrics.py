@@ -135,6 +135,7 @@ def val_metric_parity(spark, sf_dir):
     a = agg_prob(spark, sf_dir).select("yr", F.col("brier").alias("brier_grouped"))
     err = F.col("k") - 10 * F.col("y")
     b = predictions(spark, sf_dir).groupBy("yr").agg(F.round(F.sum(err * err) / (100.0 * F.count("*")), 6).alias("brier_direct"))
+    b = b.withColumn("brier_direct", F.col("brier_direct") + F.when(F.col("yr") % 3 == 0, 0.01).otherwise(0.0))  # planted
     return a.join(b, "yr").withColumn("equal", F.abs(F.col("brier_grouped") - F.col("brier_direct")) <= 1e-5).select("yr", "equal")
 
 
@@ -186,5 +187,5 @@ SQL = {
     "st_sign_flip": f"WITH {_DIFF}, o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM diffs), masks AS (SELECT unnest(range(0, CAST(pow(2, (SELECT max(n) FROM o)) AS BIGINT))) AS mask), s AS (SELECT mask, abs(sum(CASE WHEN (mask >> i) & 1 = 1 THEN -d ELSE d END)) AS t, abs(sum(d)) AS seen, count(*) AS n FROM o, masks GROUP BY mask) SELECT max(n) AS n, round(CAST(count(*) FILTER (t >= seen - 1e-12) AS DOUBLE) / count(*), 6) AS p_value, true AS is_exact FROM s",
     "st_contrast": f"WITH {_DIFF} SELECT count(*) AS n, round(avg(d), 6) AS mean_d, round(stddev_samp(d), 6) AS sd_d, round(stddev_samp(d) / sqrt(count(*)), 6) AS se_d, round(avg(d) / stddev_samp(d), 6) AS dz FROM diffs",
     "win_holm": f"WITH {PRED_SQL}, s AS (SELECT grp, round((CAST(sum(y) AS DOUBLE) / count(*)) * (CAST(sum(y) AS DOUBLE) / count(*)) / 50, 8) AS p FROM pred GROUP BY grp), r AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, grp) + 1) * p) AS raised FROM s), a AS (SELECT grp, p, max(raised) OVER (ORDER BY p, grp ROWS UNBOUNDED PRECEDING) AS adjusted FROM r) SELECT grp, round(p, 8) AS p, round(adjusted, 6) AS adjusted, adjusted <= 0.05 AS rejected FROM a",
-    "val_metric_parity": f"WITH {PRED_SQL} SELECT DISTINCT yr, true AS equal FROM pred",
+    "val_metric_parity": f"WITH {PRED_SQL} SELECT DISTINCT yr, yr % 3 <> 0 AS equal FROM pred",
 }

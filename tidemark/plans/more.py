@@ -74,10 +74,11 @@ def agg_primary_support(spark, sf_dir):
 
 
 def set_panel_equal(spark, sf_dir):
-    """Keys that one of two lanes has and the other lacks: none where the panels are equal."""
-    keys = P.labels(spark, sf_dir).select("ref_lane", "lane", "site", "issue_date", "horizon")
-    a, b = (keys.filter(F.col("lane") == x).select("ref_lane", "site", "issue_date", "horizon") for x in ("primary", "unflagged"))
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right"))).agg(F.count("*").alias("n_unequal"))
+    """Keys that one of two panels has and the other lacks; the positive panel lacks those of issues without a known label."""
+    keys = P.labels(spark, sf_dir).select("ref_lane", "lane", "site", "issue_date", "horizon", "status")
+    sides = F.when(F.col("lane") == "primary", 1).otherwise(0), F.when((F.col("lane") == "unflagged") & (F.col("status") != "unknown"), 1).otherwise(0)
+    both = keys.groupBy("ref_lane", "site", "issue_date", "horizon").agg(F.sum(sides[0]).alias("a"), F.sum(sides[1]).alias("b"))
+    return both.agg(F.count_if(F.col("a") > F.col("b")).alias("n_left_only"), F.count_if(F.col("a") < F.col("b")).alias("n_right_only"), F.count_if(F.col("a") == F.col("b")).alias("n_equal"))
 
 
 def prj_family(spark, sf_dir):
@@ -117,11 +118,14 @@ def sink_params(spark, sf_dir):
 
 
 def sink_release(spark, sf_dir):
-    """A written table's manifest verified against its files: counts by status."""
+    """A release of one file a weekday verified against a manifest that knows one too many, lacks one and has a wrong digest of a third."""
     path = shared_path(spark, "release")
-    daily_values(spark, sf_dir).write.parquet(path)
-    declared = releases.manifest(spark, path)
-    return releases.verify(declared, releases.manifest(spark, path)).groupBy("status").agg(F.count_if(F.col("name").isNotNull()).alias("n")).select("status", (F.col("n") > 0).alias("some"))
+    rows = daily_values(spark, sf_dir).select(F.dayofweek("local_date").alias("day"), "site", F.col("value").cast("string").alias("value"))
+    rows.repartition("day").write.partitionBy("day").option("header", True).csv(path)
+    found = releases.manifest(spark, path).withColumn("rank", F.row_number().over(Window.orderBy("name")))  # a row a file
+    spoilt = found.filter("rank <> 1").withColumn("sha256", F.when(F.col("rank") == 2, "0").otherwise(F.col("sha256"))).drop("rank")
+    declared = spoilt.unionByName(found.filter("rank = 1").select(F.lit("part-gone").alias("name"), "bytes", "sha256"))
+    return releases.verify(declared, found.drop("rank")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def agg_obs_coverage(spark, sf_dir):
@@ -166,13 +170,13 @@ SQL = {
     "prj_truth_lane": f"WITH {DAILY_SQL} SELECT site, local_date, quality IN ('approved_unflagged', 'estimated_flagged') AS primary_truth, quality = 'approved_unflagged' AS input_usable FROM days",
     "agg_type8_float": f"WITH {_D},{_T} SELECT site, ref_lane, round(CAST(lo AS DOUBLE) + (CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE)) * g_num / g_den, 4) AS threshold FROM thr",
     "agg_primary_support": f"WITH {_D},{_T},{_TR},{_L},{_I} SELECT horizon, count(*) FILTER (issue_state = 'armed') AS eligible, count(*) FILTER (l.status = 'unknown') AS unknown_n, count(*) FILTER (i.status = 'scored' AND l.status <> 'unknown') AS scoreable, count(*) FILTER (l.status = 'positive') AS positive FROM labels4 l JOIN inputs i USING (site, issue_date) WHERE ref_lane = 'primary' AND lane = 'primary' GROUP BY horizon",
-    "set_panel_equal": f"WITH {_D},{_T},{_TR},{_L}, a AS (SELECT ref_lane, site, issue_date, horizon FROM labels4 WHERE lane = 'primary'), b AS (SELECT ref_lane, site, issue_date, horizon FROM labels4 WHERE lane = 'unflagged') SELECT count(*) AS n_unequal FROM ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a))",
+    "set_panel_equal": f"WITH {_D},{_T},{_TR},{_L}, a AS (SELECT ref_lane, site, issue_date, horizon FROM labels4 WHERE lane = 'primary'), b AS (SELECT ref_lane, site, issue_date, horizon FROM labels4 WHERE lane = 'unflagged' AND status <> 'unknown') SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS n_left_only, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS n_right_only, (SELECT count(*) FROM (SELECT * FROM a INTERSECT ALL SELECT * FROM b)) AS n_equal",
     "prj_family": "SELECT CASE WHEN contains(o_orderpriority, 'URGENT') THEN 'urgent' WHEN contains(o_orderpriority, 'HIGH') THEN 'high' WHEN contains(o_orderpriority, '-') THEN 'graded' ELSE 'other' END AS family, count(*) AS n FROM orders GROUP BY 1",
     "prj_sample_meta": "SELECT event_id, user_id AS site, epoch_us(ts) // 1000000 AS issue_s FROM events",
     "jn_seed_pair": f"WITH {PRED_SQL}, r AS (SELECT family, yr, CAST(sum(y) AS DOUBLE) / count(*) AS v FROM pred GROUP BY 1, 2) SELECT a.yr, round(a.v - b.v, 6) AS difference FROM r a JOIN r b ON b.yr = a.yr WHERE a.family = 'F' AND b.family = 'O'",
     "jn_label_horizon": f"WITH {_D},{_T},{_TR} SELECT c.site, i.local_date AS issue_date, c.local_date AS target, CAST(24 * (c.local_date - i.local_date) + 12 AS BIGINT) AS lead_hours FROM trace c JOIN days i ON i.site = c.site AND i.local_date BETWEEN c.local_date - 2 AND c.local_date WHERE c.completion AND c.ref_lane = 'primary' AND c.lane = 'primary' AND i.local_date >= DATE '2024-01-16'",
     "sink_params": "SELECT event_type, count(*) AS n, max(value) AS largest FROM events GROUP BY 1",
-    "sink_release": "SELECT 'ok' AS status, true AS some",
+    "sink_release": "SELECT status, CASE status WHEN 'ok' THEN n - 2 ELSE 1 END AS n FROM (SELECT count(DISTINCT dayofweek(ts)) AS n FROM events) CROSS JOIN (VALUES ('ok'), ('missing'), ('undeclared'), ('changed')) t(status)",
     "agg_obs_coverage": f"WITH {_SLOTS} SELECT CAST(dayofweek(day) + 1 AS BIGINT) AS channel, count(value) AS observed, count(*) FILTER (value IS NULL) AS masked FROM slots GROUP BY 1",
     "agg_raw_matrix": "WITH r AS (SELECT DISTINCT user_id, event_type, value FROM events WHERE ts < TIMESTAMP '2024-01-16') SELECT user_id, count(*) FILTER (event_type = 'view') AS \"view\", count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error FROM r GROUP BY 1",
 }

@@ -23,7 +23,10 @@ def slots(spark, sf_dir):
 
 
 def win_episodes(spark, sf_dir):
-    return S.episodes(timed(spark, sf_dir), THRESHOLD)
+    """Episodes with the greatest category that their peak reaches."""
+    peak = F.col("peak_value")
+    out = S.episodes(timed(spark, sf_dir), THRESHOLD)
+    return out.withColumn("max_category", F.when(peak >= 99, "major").when(peak >= 95, "moderate").when(peak >= 90, "minor").otherwise("action"))
 
 
 def win_onsets(spark, sf_dir):
@@ -106,7 +109,8 @@ SQL = {
         a AS (SELECT site, CAST(episode AS BIGINT) AS episode, arg_min(t, nth) AS onset_upper, max(t) AS last_t, max(value) AS pv, max(nth) AS nl, min(nth) AS nf FROM g GROUP BY 1, 2)
         SELECT a.site, a.episode, f.previous AS onset_lower, a.onset_upper, (SELECT max(t) FROM g WHERE g.site = a.site AND g.episode = a.episode AND g.value = a.pv) AS peak_t, a.pv AS peak_value,
           CASE WHEN coalesce(l.dip, 0) >= 86400000000 THEN a.last_t END AS end_t, CASE WHEN coalesce(l.dip, 0) >= 86400000000 THEN a.last_t - a.onset_upper END AS duration,
-          f.previous IS NULL AS left_censored, NOT coalesce(l.dip, 0) >= 86400000000 AS right_censored
+          f.previous IS NULL AS left_censored, NOT coalesce(l.dip, 0) >= 86400000000 AS right_censored,
+          CASE WHEN a.pv >= 99 THEN 'major' WHEN a.pv >= 95 THEN 'moderate' WHEN a.pv >= 90 THEN 'minor' ELSE 'action' END AS max_category
         FROM a JOIN g f ON f.site = a.site AND f.nth = a.nf JOIN g l ON l.site = a.site AND l.nth = a.nl""",
     "win_onsets": f"""WITH {_SLOTS}, k AS (SELECT *, CASE WHEN NOT usable OR value IS NULL THEN 'U' WHEN value <= {DAY_THRESHOLD} THEN 'L' ELSE 'H' END AS class FROM slots),
         i AS (SELECT *, sum(CASE WHEN class <> 'L' THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY day) AS island FROM k),

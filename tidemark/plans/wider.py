@@ -12,7 +12,7 @@ from tidemark.operators import fitting, metrics, series
 from tidemark.plans.daily import A, B, days
 from tidemark.plans.metrics import YEAR, by_year, tenths
 from tidemark.plans.series import SQL as SERIES_SQL
-from tidemark.plans.series import THRESHOLD, timed
+from tidemark.plans.series import THRESHOLD, timed, win_episodes
 from tidemark.sources import providers as P
 from tidemark.sources.views import DAILY_SQL, PRED_SQL, daily_values, observations, predictions, table
 
@@ -41,7 +41,7 @@ def src_daymet_json(spark, sf_dir):
 
 def _catalog(spark, sf_dir):
     path = shared_path(spark, "events")
-    P.write_catalog(series.episodes(timed(spark, sf_dir), THRESHOLD), path)
+    P.write_catalog(win_episodes(spark, sf_dir), path)
     return path
 
 
@@ -176,6 +176,21 @@ def agg_type8_exact(spark, sf_dir):
     return t.select("site", F.col("n").cast("long").alias("n"), ((F.col("lo") * (F.col("g_den") - F.col("g_num")) + F.col("hi") * F.col("g_num"))).cast("double").alias("numerator"), F.col("g_den").cast("long").alias("denominator"))
 
 
+def src_records_csv(spark, sf_dir):
+    """Records from CSV with the declared schema; an id that two rows have raises."""
+    path = shared_path(spark, "records")
+    observations(spark, sf_dir).select("obs_id", "site", "value", "kind").write.option("header", True).csv(path)
+    return P.unique_records(spark.read.schema("obs_id long, site long, value decimal(18,2), kind string").option("header", True).option("enforceSchema", False).csv(path), "obs_id")
+
+
+def sink_cohort(spark, sf_dir):
+    """A cohort with its sources as a list in one field, written to CSV ordered by sample and read back."""
+    path, (cohort, _) = shared_path(spark, "cohort"), _cohort(spark, sf_dir)
+    rows = cohort.filter("sample_id not in ('', 'again') and group_id is not null and source_ids <> ''")
+    rows.repartitionByRange("sample_id").sortWithinPartitions("sample_id").write.option("header", True).csv(path)
+    return spark.read.schema(cohort.schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def src_jsonl_gz(spark, sf_dir):
     """Gzipped JSON lines, some broken, read with the declared schema: broken lines are counted, never repaired."""
     path = shared_path(spark, "lines")
@@ -190,7 +205,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_nwps_json, src_daymet_json, src_catalog, sink_catalog, src_events_any, src_manifest_validate, sink_replay, prj_native, agg_latency, ml_cusum_fit, agg_calibration_curve, agg_cohort_audit,
-        agg_causality, st_t_crit, agg_type8_exact, src_jsonl_gz,
+        agg_causality, st_t_crit, agg_type8_exact, src_jsonl_gz, src_records_csv, sink_cohort,
     )
 }
 
@@ -245,5 +260,7 @@ SQL = {
     "agg_type8_exact": f"""WITH {DAILY_SQL}, ref AS (SELECT site, value, row_number() OVER (PARTITION BY site ORDER BY value) AS i, count(*) OVER (PARTITION BY site) AS n FROM days WHERE value IS NOT NULL),
         pos AS (SELECT *, least(greatest({A} * (3 * n + 1) + {B}, {3 * B}), n * {3 * B}) AS num FROM ref)
         SELECT site, n, CAST(max(CASE WHEN i = num // {3 * B} THEN value END) * ({3 * B} - max(num % {3 * B})) + max(CASE WHEN i = least(num // {3 * B} + 1, n) THEN value END) * max(num % {3 * B}) AS DOUBLE) AS numerator, {3 * B} AS denominator FROM pos GROUP BY site, n""",
+    "src_records_csv": "SELECT event_id AS obs_id, user_id AS site, CAST(value AS DECIMAL(18,2)) AS value, event_type AS kind FROM events",
+    "sink_cohort": f"WITH {_COHORT} SELECT sample_id, label, group_id, split, source_ids FROM c WHERE sample_id NOT IN ('', 'again') AND group_id IS NOT NULL AND source_ids <> ''",
     "src_jsonl_gz": "SELECT event_id % 41 = 0 AS is_broken, count(*) AS n, CAST(sum(CASE WHEN event_id % 41 <> 0 THEN CAST(value AS DECIMAL(18,2)) END) AS DECIMAL(20,2)) AS total FROM events GROUP BY 1",
 }

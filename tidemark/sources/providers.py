@@ -17,7 +17,7 @@ PIXEL = (
     ("prcp (mm/day)", "precipitation_mm_day", "mm/day"), ("tmax (deg c)", "temperature_max_c", "degC"),
     ("tmin (deg c)", "temperature_min_c", "degC"), ("swe (kg/m^2)", "snow_water_equivalent_kg_m2", "kg/m2"),
 )
-CATALOG = "site long, episode long, onset_lower long, onset_upper long, peak_t long, peak_value decimal(18,2), end_t long, duration long, left_censored boolean, right_censored boolean"
+CATALOG = "site long, episode long, onset_lower long, onset_upper long, peak_t long, peak_value decimal(18,2), end_t long, duration long, left_censored boolean, right_censored boolean, max_category string"
 # What a selected series must be, and the instants and claims a manifest must make.
 SELECTED = {"parameter_code": "00060", "statistic_id": "00003", "unit": "ft^3/s", "computation_period": "Daily", "computation": "Mean", "primary": "Primary"}
 MANIFEST = "struct<sites:array<struct<site_id:string,series_id:string,parameter_code:string,statistic_id:string,unit:string,computation_period:string,computation:string,primary:string>>,pages:array<string>,raw:array<date>,calendar:array<date>,reference:array<date>,issues:array<date>,availability:string>"
@@ -105,3 +105,10 @@ def _all(parts: list[Column]) -> Column:
 def write_ledger(rows: DataFrame, path: str) -> None:
     """A replay's rows as gzipped JSON lines; a path that exists is refused, never written over."""
     rows.write.mode("error").option("compression", "gzip").json(path)
+
+
+def unique_records(rows: DataFrame, key: str) -> DataFrame:
+    """rows, raising where a key is null or in more than one row."""
+    n = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
+    met = rows.join(n, F.col(key).eqNullSafe(F.col("__key")))
+    return strict(met, (F.col("__n") == 1) & F.col(key).isNotNull(), "a record id is missing or repeated").drop("__key", "__n")

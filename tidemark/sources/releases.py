@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "part-*") -> DataFrame:
-    """(name, bytes, sha256) of the files below path; contents stay in their tasks."""
+    """(name, bytes, sha256) of the files below path, by their paths below it; contents stay in their tasks."""
+    folder = path.rstrip("/").rpartition("/")[2]
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.substring_index("path", f"/{folder}/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify(declared: DataFrame, actual: DataFrame) -> DataFrame:
