@@ -475,13 +475,98 @@ def brute_groups(rows: list[tuple]) -> tuple[list[int], dict]:
     return marks, {rows[i][0]: least[g] for i, g in enumerate(group)}
 
 
+def brute_near_copies(rows: list[tuple]) -> dict:
+    """The smallest doc_id that links of similarity 0.8 or more (sets of five-word shingles) reach."""
+    sets = []
+    for r in rows:
+        w = words(lower(r[1] or ""))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (a == b or 5 * len(a & b) >= 4 * len(a | b)) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {g: min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group)}
+    return {rows[i][0]: least[g] for i, g in enumerate(group)}
+
+
 def test_simhash(spark, docs, wide, rows):
     marks, group = brute_groups(rows)
     expected = collections.Counter((r[0], f"{m:016x}", group[r[0]]) for r, m in zip(rows, marks, strict=True))
     assert multiset(simhash.op9_simhash(spark, folder(spark, docs)), "doc_id", "fingerprint", "component_id") == expected
     heads = simhash.group_heads(wide)
     assert heads.columns == wide.columns
-    assert multiset(heads, "doc_id") == collections.Counter((x,) for x in set(group.values()))
+    assert multiset(heads, "doc_id") == collections.Counter((x,) for x in set(brute_near_copies(rows).values()))
+
+
+def edited(rng: random.Random, text: list[str], edits: int) -> list[str]:
+    out = list(text)
+    for k in range(edits):
+        at = rng.randrange(len(out))
+        if k % 3 == 0:
+            out[at] = f"new{rng.random()}"
+        elif k % 3 == 1:
+            out.insert(at, f"more{rng.random()}")
+        elif len(out) > 30:
+            del out[at]
+    return out
+
+
+def test_near_copies(spark):
+    """One of each group by the texts' own similarity; copies of copies, one large group, clean texts."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    found = [fresh(rng.randint(20, 500)) for _ in range(120)]
+    hot = fresh(200)
+    found += [edited(rng, hot, rng.randint(0, 3)) for _ in range(120)]
+    for i in range(60):
+        found.append(edited(rng, found[i], max(1, len(found[i]) // rng.choice((15, 40, 60, 150)))))
+    rng.shuffle(found)
+    rows = [(i, " ".join(x), "en", "s", 0) for i, x in enumerate(found)]
+    expected = set(brute_near_copies(rows).values())
+    kept = {r.doc_id for r in simhash.group_heads(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(expected) < 175
+    assert len(kept ^ expected) <= 1
+
+
+def test_wide_links(spark):
+    """Crowded buckets in shards, large groups in tiles: the components of all pairs, with no pair beyond the radius."""
+    import numpy as np
+
+    from tidemark.llm import near_copies
+    from tidemark.llm.common import stash
+
+    rng = random.Random(32)
+    marks = {rng.getrandbits(128) for _ in range(60)}
+    for base in sorted(marks)[:3]:
+        marks |= {base ^ sum(1 << b for b in rng.sample(range(128), rng.randint(1, 26))) for _ in range(130)}
+    marks = sorted(marks)
+    signed = [tuple(np.array([m & (2**64 - 1), m >> 64], np.uint64).view(np.int64).tolist()) for m in marks]
+    of = {s: m for s, m in zip(signed, marks)}
+    group = list(range(len(marks)))
+    for i, a in enumerate(marks):
+        for j in range(i):
+            if (a ^ marks[j]).bit_count() <= 23 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {frozenset(marks[i] for i in range(len(marks)) if group[i] == g) for g in set(group)}
+
+    def joined(pairs) -> set[frozenset]:
+        mine = {m: {m} for m in marks}
+        for a, b in pairs:
+            assert (a ^ b).bit_count() <= 23
+            if mine[a] is not mine[b]:
+                mine[a] |= mine[b]
+                for x in mine[b]:
+                    mine[x] = mine[a]
+        return {frozenset(x) for x in mine.values()}
+
+    fps = stash(spark.createDataFrame(signed, "f0 long, f1 long"), "test")
+    for shard in (4, 60, 4096):
+        assert joined((of[r.a0, r.a1], of[r.b0, r.b1]) for r in near_copies.links(fps, shard=shard).collect()) == want
+    bits = np.array(signed).view(np.uint64)
+    for pairs in (near_copies.small_forests(np.zeros(len(bits), int), bits, 23), near_copies.large_forest(bits, None, 23, tile=16)):
+        assert joined((marks[a], marks[b]) for a, b in pairs) == want
+        assert len(pairs) == len(marks) - len(want)
 
 
 def test_tiles(spark):

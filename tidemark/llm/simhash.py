@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, stash, table, texts, with_checked_size
 from tidemark.llm.components import components
+from tidemark.llm.near_copies import rooted_rows
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Runs of bits of the candidate search: C(7, 3) = 35 buckets a fingerprint, keys of 27 or 28 bits.
@@ -193,16 +194,15 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 def group_heads(docs: DataFrame) -> DataFrame:
     """docs with exactly one document of each near-duplicate group, all columns kept.
 
-    It is the group's first by doc_id (null last), then by text hash, then by a hash of all
+    Groups are those of `near_copies`: texts linked by a Jaccard similarity of 0.8 or more
+    of their five-word shingles, found by fingerprints of 128 bits. The one that stays is the group's first by doc_id (null last), then by text hash, then by a hash of all
     columns; rows equal in all three are copies, of which one stays. Rows without a doc_id
     are grouped by their texts as any other.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
     row_hash = F.xxhash64(*own, *[c.isNull() for c in own])  # xxhash64 alone passes over nulls
-    marked = stash(fingerprints(docs, row_hash=row_hash), "fingerprints")
-    of = groups_of(marked, RADIUS)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_hash")
-    rows = stash(marked.join(of, F.col("fp") == F.col("of")).select("root", order.alias("o")), "rooted")
+    rows = rooted_rows(docs, row_hash, order)
     first = rows.groupBy(F.col("root").alias("r")).agg(F.min("o").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     met = rows.join(with_checked_size(stash(first, "first")), F.col("root") == F.col("r"))
     key = [F.col("o.doc_id").alias("__doc"), F.col("o.text_hash").alias("__hash"), F.col("o.row_hash").alias("__row")]
