@@ -270,15 +270,15 @@ def hot_windows(parts: DataFrame, window: int) -> DataFrame:
 def finish_edges(docs: DataFrame, window: int) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text_hash, raw, spans, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch, "text"), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                words = raw.split()
-                gone = covering(len(words), [(x["first"], x["last"]) for x in spans] + [(x, x + window - 1) for x in starts or []])
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                out.append((doc_id, text_hash, len(words), int(gone.sum()), sha(kept), b" ".join(kept).decode()))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text_hash", "n_words", "n_removed", "kept_sha256", "kept"])
+            for piece in slices(batch, "text"):
+                out = []
+                for doc_id, text_hash, raw, spans, starts in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), texts(piece, "text"), piece.column(3).to_pylist(), piece.column(4).to_pylist(), strict=True):
+                    words = raw.split()
+                    gone = covering(len(words), [(x["first"], x["last"]) for x in spans] + [(x, x + window - 1) for x in starts or []])
+                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    out.append((doc_id, text_hash, len(words), int(gone.sum()), sha(kept), b" ".join(kept).decode()))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "text_hash", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return docs.mapInArrow(measure, "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string")
 
