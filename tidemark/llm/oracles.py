@@ -95,3 +95,57 @@ diag AS (
 SELECT doc_id, item_id, CAST(max(total) AS BIGINT) AS n_agree, CAST(max(best) AS BIGINT) AS best_window FROM diag
 WHERE n >= least({LEAST_TOKENS}, item_size) AND best >= CASE WHEN n >= {WINDOW} THEN {AGREE} ELSE ceil(n * 6 / 7.0) END GROUP BY 1, 2
 """
+
+
+def _lp(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_lp(x) for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: crc32 of the decimal doc_id, bit by bit.
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(0, 8) AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+)
+
+
+def _climb(name: str, of: str, depth: int) -> str:
+    """CTEs that climb `depth` levels: h the digest of the node over each row, fold that of the tampered leaf, proof the siblings met."""
+    out = [f"{name}0 AS (SELECT * FROM {of})"]
+    for k in range(depth):
+        pair = f"{name}{k}p"
+        out.append(f"{pair} AS (SELECT *, max(h) FILTER (i % 2 = 0) OVER w AS l, max(h) FILTER (i % 2 = 1) OVER w AS r FROM {name}{k} WINDOW w AS (PARTITION BY grp, i // 2))")
+        out.append(
+            f"{name}{k + 1} AS (SELECT * EXCLUDE (l, r) REPLACE (CASE WHEN m = 1 THEN h ELSE sha256(l || coalesce(r, '')) END AS h, "
+            "CASE WHEN m = 1 THEN fold WHEN i % 2 = 0 THEN sha256(fold || coalesce(r, '')) ELSE sha256(l || fold) END AS fold, "
+            "CASE WHEN m = 1 THEN proof WHEN i % 2 = 0 THEN proof || coalesce(r, '') ELSE proof || l END AS proof, "
+            f"i // 2 AS i, (m + 1) // 2 AS m) FROM {pair})"
+        )
+    return ", ".join(out)
+
+
+#: Languages of up to 2^24 documents, up to 2^10 languages.
+OP13_SQL = f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS grp, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS bent FROM documents),
+base AS (
+  SELECT doc_id, grp, leaf, leaf AS h, coalesce(bent, leaf) AS fold, '' AS proof, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY grp) AS m FROM leaves),
+{_climb("d", "base", 24)},
+subs AS (SELECT DISTINCT grp AS name, h FROM d24),
+sub_base AS (SELECT name, h, h AS fold, '' AS proof, '' AS grp, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS m FROM subs),
+{_climb("s", "sub_base", 10)},
+top AS (SELECT d.doc_id, d.leaf, d.h AS subroot, d.h, d.fold, d.proof, b.i, b.m, b.name FROM d24 d JOIN sub_base b ON b.name = d.grp),
+up AS (
+  SELECT t.doc_id, t.leaf, t.subroot, t.proof || s.proof AS proof, s.h AS root, t.fold, t.name FROM top t JOIN s10 s ON s.name = t.name),
+-- the way from subroots to the root, level by level, for the folded digest
+steps AS ({" UNION ALL ".join(f"SELECT name, {k} AS k, i, m, l, r FROM s{k}p" for k in range(10))}),
+path AS (SELECT name, list(struct_pack(i := i, m := m, l := l, r := r) ORDER BY k) AS p FROM steps GROUP BY name),
+folded AS (
+  SELECT u.*, list_reduce(list_prepend(u.fold, list_transform(p, lambda s: CASE WHEN s.m = 1 THEN '' WHEN s.i % 2 = 0 THEN '>' || coalesce(s.r, '') ELSE '<' || s.l END)),
+    lambda a, b: CASE WHEN b = '' THEN a WHEN b[1] = '>' THEN sha256(a || b[2:]) ELSE sha256(b[2:] || a) END) AS folded_root
+  FROM up u JOIN path USING (name))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
