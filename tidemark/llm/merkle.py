@@ -21,8 +21,12 @@ from tidemark.llm.common import stash, table
 FANOUT = 2
 #: Rows of a slice in which leaves are numbered, about.
 SLICE_ROWS = 100_000
-#: Levels whose largest group has more parents than this are joined by shuffle; above it Spark chooses by size.
-WIDE = 4096
+#: Levels of more nodes than this are joined by shuffle; for smaller ones Spark chooses by size.
+WIDE = 50_000
+#: Rows of a task that writes a small level, about.
+LEVEL_ROWS = 10_000
+#: Levels of the way down in one plan: its size, and what a lost executor repeats at most.
+STRIDE = 4
 PATH = "array<struct<before: string, after: string>>"
 
 
@@ -70,22 +74,36 @@ def parents(nodes: DataFrame, fanout: int, payload: list[str]) -> DataFrame:
     return above.withColumn("digest", F.sha2(F.array_join(F.transform("children", lambda c: c["digest"]), ""), 256))
 
 
+def level_sizes(nodes: DataFrame, fanout: int) -> list[int]:
+    """Nodes of all groups in each level above the nodes, up to the last that a group of more than one node needs."""
+    groups = nodes.filter("idx = 0").select("n")
+    most = groups.agg(F.max("n")).first()[0] or 0
+    spans, span = [], 1
+    while most > span:
+        span *= fanout
+        spans.append(span)
+    if not spans:
+        return []
+    # a group that is alone in the level below has no node here
+    return list(groups.agg(*[F.sum(F.when(F.col("n") > s // fanout, F.ceil(F.col("n") / s)).otherwise(0)).cast("long").alias(f"s{s}") for s in spans]).first())
+
+
 def levels(nodes: DataFrame, fanout: int, payload: list[str], label: str) -> list[tuple[DataFrame, int]]:
-    """Levels above the nodes up to the last one that a group of more than one node needs, each with its largest group."""
-    most = nodes.agg(F.max("n")).first()[0] or 0
+    """The levels above the nodes, each a written table with its number of rows."""
     out, at = [], nodes
-    while most > 1:
-        at = stash(parents(at.filter("n > 1"), fanout, payload), f"{label}{len(out)}")
-        most, payload = -(-most // fanout), []
-        out.append((at, most))
+    for size in level_sizes(nodes, fanout):
+        level = parents(at.filter("n > 1"), fanout, payload)
+        at = stash(level.coalesce(max(1, -(-size // LEVEL_ROWS))) if size < WIDE else level, f"{label}{len(out)}")
+        payload = []
+        out.append((at, size))
     return out
 
 
 def roots(nodes: DataFrame, above: list[tuple[DataFrame, int]]) -> DataFrame:
-    """(grp, digest) of each group: the node that is alone in its level."""
-    found = nodes.filter("n = 1").select("grp", "digest")
-    for level, _ in above:
-        found = found.unionByName(level.filter("n = 1").select("grp", "digest"))
+    """(grp, digest, height) of each group: the node that is alone in its level, and how many levels that is above the nodes."""
+    found = nodes.filter("n = 1").select("grp", "digest", F.lit(0).alias("height"))
+    for i, (level, _) in enumerate(above, 1):
+        found = found.unionByName(level.filter("n = 1").select("grp", "digest", F.lit(i).alias("height")))
     return found
 
 
@@ -98,11 +116,11 @@ def step(siblings: Column, mine: Column) -> Column:
     return F.struct(joined(F.filter(siblings, lambda c: c["at"] < mine)).alias("before"), joined(F.filter(siblings, lambda c: c["at"] > mine)).alias("after"))
 
 
-def descended(paths: DataFrame, level: DataFrame, most: int, payload: list[str]) -> DataFrame:
+def descended(paths: DataFrame, level: DataFrame, size: int, payload: list[str]) -> DataFrame:
     """Paths of a level's children from those of its nodes: (grp, idx, path, carried columns)."""
     carried = [c for c in paths.columns if c not in ("grp", "idx", "path")]
     inner = level.select(F.col("grp").alias("of_grp"), F.col("idx").alias("of_idx"), "children")
-    if most > WIDE:
+    if size > WIDE:
         inner = inner.hint("merge")
     joined = paths.join(inner, (F.col("grp") == F.col("of_grp")) & (F.col("idx") == F.col("of_idx")))
     each = joined.select("grp", *carried, "path", "children", F.explode("children").alias("c"))
@@ -111,19 +129,17 @@ def descended(paths: DataFrame, level: DataFrame, most: int, payload: list[str])
 
 
 def proofs(nodes: DataFrame, above: list[tuple[DataFrame, int]], tops: DataFrame, payload: list[str], label: str) -> DataFrame:
-    """The path of every node; tops (grp, path, carried columns) has the path of each group's root."""
+    """The path of every node; tops (grp, height, path, carried columns) has the path of each group's root."""
     at = tops.withColumn("idx", F.lit(0).cast("long"))
-    lone = at.drop("idx").join(nodes.filter("n = 1").select(F.col("grp").alias("of_grp"), "idx", *payload), F.col("grp") == F.col("of_grp")).drop("of_grp")
-    # a group's root stands in the level where it is alone; groups join the way down there
+    lone = nodes.filter("n = 1").select(F.col("grp").alias("of_grp"), *payload)
+    lone = at.filter("height = 0").drop("height").join(lone, F.col("grp") == F.col("of_grp")).drop("of_grp")
     down: DataFrame | None = None
-    for i in range(len(above) - 1, -1, -1):
-        level, most = above[i]
-        last = i == 0
-        starting = at.join(level.filter("n = 1").select(F.col("grp").alias("of_grp")), F.col("grp") == F.col("of_grp")).drop("of_grp")
-        down = starting if down is None else down.unionByName(starting)
-        down = descended(down, level, most, payload if last else [])
-        if i and i % 8 == 0:
-            down = stash(down, f"{label}{i}")  # so that a lost executor repeats eight levels at most
+    for i in range(len(above), 0, -1):
+        level, size = above[i - 1]
+        starting = at.filter(F.col("height") == i).drop("height")  # groups join the way down where their root is
+        down = descended(starting if down is None else down.unionByName(starting), level, size, payload if i == 1 else [])
+        if i > 1 and i % STRIDE == 1:
+            down = stash(down, f"{label}{i}")
     return lone if down is None else down.unionByName(lone)
 
 
@@ -142,14 +158,13 @@ def manifest(leaves: DataFrame, order: list[str], payload: list[str], fanout: in
     first = stash(leaves.withColumn("uid", F.monotonically_increasing_id()), "leaves")
     nodes = stash(numbered(first, [*order, "digest"], slice_rows).select("grp", "n", "idx", "digest", *payload), "nodes")
     above = levels(nodes, fanout, payload, "level")
-    sub = stash(roots(nodes, above).select(F.lit("").alias("grp"), "digest", F.col("grp").alias("name"), F.monotonically_increasing_id().alias("uid")), "subroots")
-    tops = stash(numbered(sub, ["name"], slice_rows).select("grp", "n", "idx", "digest", "name"), "tops")
-    over = levels(tops, fanout, ["name"], "top")
-    root = roots(tops, over).select("grp", F.array().cast(PATH).alias("path"), F.col("digest").alias("root"))
-    paths = proofs(tops, over, root, ["name"], "toppath")
-    paths = stash(paths.select(F.col("name").alias("grp"), "path", "root"), "subpaths")
-    subroots = sub.select(F.col("name").alias("sub_grp"), F.col("digest").alias("subroot"))
-    paths = paths.join(subroots, F.col("grp") == F.col("sub_grp")).drop("sub_grp")
+    sub = roots(nodes, above).select(F.lit("").alias("grp"), "digest", F.col("grp").alias("name"), F.col("height").alias("of_height"))
+    sub = stash(sub.withColumn("uid", F.monotonically_increasing_id()), "subroots")
+    tops = stash(numbered(sub, ["name"], slice_rows), "tops")
+    over = levels(tops, fanout, ["name", "of_height"], "top")
+    root = roots(tops, over).select("grp", "height", F.array().cast(PATH).alias("path"), F.col("digest").alias("root"))
+    paths = proofs(tops, over, root, ["digest", "name", "of_height"], "toppath")
+    paths = stash(paths.select(F.col("name").alias("grp"), F.col("of_height").alias("height"), "path", "root", F.col("digest").alias("subroot")), "subpaths")
     whole = proofs(nodes, above, paths, ["digest", *payload], "path")
     return whole.drop("grp", "idx")
 
