@@ -225,3 +225,18 @@ def test_merkle_manifest_small(spark):
     for rows in ([], [(7, "t", "en", "s", 1)], [(1, "t", "en", "s", 1), (2, "u", "fr", "s", None)], [(None, None, None, None, None)]):
         found = merkle.documents_manifest(spark.createDataFrame(rows, DOCS))
         assert collections.Counter(tuple(r) for r in found.collect()) == (plain_manifest(rows) if rows else collections.Counter())
+
+
+def test_decontamination_of_a_repetitive_document(spark):
+    """A document of one word again and again is compared on every diagonal, in work that grows with its length."""
+    from tidemark.llm import decontaminate
+
+    items = spark.createDataFrame([(1, "w " * 30), (2, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen")], "item_id long, text string")
+    took = {}
+    for n in (5_000, 20_000, 20_000):  # the first run compiles
+        docs = spark.createDataFrame([(1, "w " * n), (2, "x " * n + "one two three four five SIX seven eight nine 10 eleven twelve thirteen fourteen"), (3, "x " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        found = {(r.doc_id, r.item_id): (r.n_agree, r.best_window) for r in decontaminate.leaks(docs, items).collect()}
+        took[n] = time.perf_counter() - began
+        assert found == {(1, 1): (30, 13), (2, 2): (13, 12)}
+    assert took[20_000] < 60

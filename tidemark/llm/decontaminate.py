@@ -24,6 +24,8 @@ LEAST_TOKENS = 10
 LEAST_ITEM = 5
 #: Seeds of a benchmark that is broadcast; a larger one is joined by shuffle.
 BROADCAST_SEEDS = 200_000
+#: Tokens of a piece of a document in which diagonals look up their tokens.
+BLOCK = 64
 
 
 def tokens(text: str) -> Column:
@@ -71,13 +73,38 @@ def with_seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return each.select(*others, F.posexplode_outer("seeds").alias("pos", "seed")).filter("seed is not null")
 
 
-def same_tokens() -> Column:
-    """1 or 0 for each pair of tokens along a diagonal, where item and document overlap."""
-    begin = F.greatest(F.lit(0), -F.col("diagonal"))
-    length = F.least(F.size("item_tokens"), F.size("tokens") - F.col("diagonal")) - begin
-    return F.zip_with(
-        F.slice("item_tokens", begin + 1, length), F.slice("tokens", begin + F.col("diagonal") + 1, length), lambda a, b: (a == b).cast("int")
+def token_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, block, block_tokens): the texts' tokens in pieces of BLOCK, once for rows of equal id and text."""
+    cut = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / BLOCK).cast("int"))
+    each = cut.select("doc_id", "text_hash", F.posexplode(F.transform(starts, lambda b: F.slice("tokens", b * BLOCK + 1, BLOCK))).alias("block", "block_tokens"))
+    return each.groupBy("doc_id", "text_hash", "block").agg(F.first("block_tokens").alias("block_tokens"))
+
+
+def compared_diagonals(docs: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
+    """hits (doc_id, text_hash, item_id, item, diagonal) with `item_size` and `same`: 1 or 0 for each pair of tokens where item and document overlap.
+
+    A diagonal meets only the pieces of the document that the item would cover, so its rows
+    are bounded by the item, however long and repetitive the document is.
+    """
+    met = hits.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
+    texts = docs.join(met, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")), "left_semi")
+    sized = hits.join(items.select(F.col("item").alias("of"), F.size("item_tokens").alias("item_size")).distinct(), F.col("item") == F.col("of")).drop("of")
+    first = F.floor(F.greatest(F.col("diagonal"), F.lit(0)) / BLOCK).cast("int")
+    last = F.floor((F.col("diagonal") + F.col("item_size") - 1) / BLOCK).cast("int")
+    wanted = sized.withColumn("at", F.explode(F.sequence(first, F.greatest(first, last))))
+    pieces = token_blocks(texts).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "block", "block_tokens")
+    found = wanted.join(pieces, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash")) & (F.col("at") == F.col("block")))
+    found = found.join(items.select(F.col("item").alias("of"), "item_tokens").dropDuplicates(["of"]), F.col("item") == F.col("of"))
+    start = F.col("block") * BLOCK
+    begin = F.greatest(start, F.col("diagonal"))
+    length = F.greatest(F.lit(0), F.least(start + F.size("block_tokens"), F.col("diagonal") + F.col("item_size")) - begin)
+    same = F.zip_with(
+        F.slice("item_tokens", begin - F.col("diagonal") + 1, length), F.slice("block_tokens", begin - start + 1, length), lambda x, y: (x == y).cast("int")
     )
+    keys = ["doc_id", "text_hash", "item_id", "item", "diagonal", "item_size"]
+    whole = found.select(*keys, "block", same.alias("same")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "same"))).alias("parts"))
+    return whole.select(*keys, F.flatten(F.transform("parts", lambda p: p["same"])).alias("same"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: int = AGREE) -> DataFrame:
@@ -86,8 +113,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
     docs has doc_id and text, benchmark item_id and text. A null doc_id or item_id is kept
     as such, repeated rows of a document give one row an item. Null, empty and very short
     texts leak nothing. Items of LEAST_ITEM to 9 tokens leak where all but one in seven of
-    them are there in place. Texts of any length are looked through whole. Empty tables
-    give no rows.
+    them are there in place. Texts of any length are looked through whole, in work that grows
+    with their tokens times the item's. Empty tables give no rows.
     """
     items = stash(
         benchmark.select("item_id", tokens("text").alias("item_tokens")).filter(F.size("item_tokens") >= LEAST_ITEM).distinct(), "items"
@@ -100,15 +127,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
     read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens("text").alias("tokens"))
     hits = with_seeds(read, masks).join(seeds, "seed")
     hits = hits.select("doc_id", "text_hash", "item_id", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    hits = stash(hits, "hits").select(F.col("doc_id").alias("hit_doc"), F.col("text_hash").alias("hit_hash"), F.col("item_id").alias("hit_item"), F.col("item").alias("hit_key"), "diagonal")
-    # items join by id and content: item_id alone may be null or repeated
     keyed_items = items.withColumn("item", F.xxhash64("item_id", "item_tokens"))
-    plain = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    joined = plain.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_hash") == F.col("hit_hash")))
-    joined = joined.join(keyed_items, F.col("item") == F.col("hit_key"))
-    joined = joined.withColumn("tokens", tokens("text"))
-    # stashed: few rows, and a filter on it must not compute it again for each window
-    compared = stash(joined.select("doc_id", "text_hash", "item_id", F.size("item_tokens").alias("item_size"), same_tokens().alias("same")), "compared")
+    # stashed: a filter on it must not compute it again for each window
+    compared = stash(compared_diagonals(docs, stash(hits, "hits"), keyed_items), "compared")
     span = F.least(F.lit(window), F.size("same"))
     windows = F.transform(F.sequence(F.lit(1), F.size("same") - span + 1), lambda i: F.aggregate(F.slice("same", i, span), F.lit(0), lambda a, x: a + x))
     need = F.when(span >= window, F.lit(agree)).otherwise(F.ceil(span * 6 / 7))
