@@ -246,18 +246,31 @@ def test_violations(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Days shuffled over three waves, a start from the checkpoint for each: the chart of the ordered days."""
     rng = random.Random(6)
-    rows = [(s, DAY0 + dt.timedelta(d), None if rng.random() < 0.2 else rng.uniform(0, 10)) for s in range(5) for d in range(12)]
     schema = "site long, day date, value double"
-    for part in range(3):
-        spark.createDataFrame([r for r in rows if (r[1] - DAY0).days // 4 == part], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-        for f in os.listdir(f"{tmp_path}/in"):  # files in the order of their days
-            if f.startswith("part-") and not f.startswith("part-x"):
-                os.rename(f"{tmp_path}/in/{f}", f"{tmp_path}/in/part-x{part}.json")
-                os.utime(f"{tmp_path}/in/part-x{part}.json", (part * 1000 + 1, part * 1000 + 1))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
-    query = charts.stream_control_chart(stream, 5.0, 2.0).writeStream.format("memory").queryName("chart").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = {(r.site, r.day): (r.ewma, r.cusum, r.score) for r in spark.table("chart").collect()}
+    rows = [(s, DAY0 + dt.timedelta(d), None if rng.random() < 0.2 else rng.uniform(0, 10)) for s in range(5) for d in range(30)]
+    waves: list[list] = [[], [], [(None, DAY0 + dt.timedelta(90), None)]]
+    for r in rows:
+        waves[int((r[1] - DAY0).days + rng.randint(0, 9) > 16)].append(r)
+    seen = []
+    for wave in waves:
+        rng.shuffle(wave)
+        spark.createDataFrame(wave, schema).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        charts.run_available(spark, charts.stream_control_chart(stream, 5.0, 2.0), f"{tmp_path}/out", f"{tmp_path}/state")
+        seen.append(spark.read.schema(charts.OUTPUT).parquet(f"{tmp_path}/out").count())
+    assert 0 < seen[1] < seen[2] == len(rows)
+    got = {(r.site, r.day): (r.ewma, r.cusum, r.score) for r in spark.read.schema(charts.OUTPUT).parquet(f"{tmp_path}/out").collect()}
     batch = series.control_chart(spark.createDataFrame(rows, schema), 5.0, 2.0)
     assert got == {(r.site, r.day): (r.ewma, r.cusum, r.score) for r in batch.collect()}
+
+
+@pytest.mark.parametrize(("days", "message"), [([0, 1, 3], "does not follow"), ([0, 1, 1], "comes again")])
+def test_stream_refuses_holes_and_repeats(spark, tmp_path, days, message):
+    schema = "site long, day date, value double"
+    rows = [(1, DAY0 + dt.timedelta(d), 1.0) for d in days] + [(None, DAY0 + dt.timedelta(90), None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match=message):
+        charts.run_available(spark, charts.stream_control_chart(stream, 5.0, 2.0), f"{tmp_path}/out", f"{tmp_path}/state")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 
@@ -11,14 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
+@functools.cache
+def _private_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir, deleted when the driver ends; a private folder is set only in local mode where none is configured."""
+    """A new path in spark.checkpoint.dir, deleted when the driver ends; a private folder only in local mode where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _private_dir()
     path = f"{base.rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path

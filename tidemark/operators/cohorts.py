@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import written
+from tidemark.operators import quantiles
+
 SPLITS = ("train", "validation", "test")
 
 
@@ -68,10 +71,13 @@ def latency(rows: DataFrame, keys: Sequence[str], millis: str, order: str, warm_
     """
     first = _nth(rows, keys, order, warm_up)
     x = F.col(millis)
-    return rows.join(first, list(keys)).filter(F.col(order) > F.col("warm")).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean_ms"), F.stddev_pop(x).alias("sd_ms"), F.percentile(x, F.lit(0.5)).alias("p50_ms"), F.percentile(x, F.lit(0.95)).alias("p95_ms"),
+    counted = written(rows.join(first, list(keys)).filter(F.col(order) > F.col("warm")).select(*keys, millis), "runs")
+    middle = quantiles.quantiles(counted, keys, millis, [0.5, 0.95]).drop("n")
+    out = counted.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(x).alias("mean_ms"), F.stddev_pop(x).alias("sd_ms"),
         F.min(x).alias("min_ms"), F.max(x).alias("max_ms"), F.when(F.avg(x) > 0, 1000 / F.avg(x)).otherwise(F.lit(0.0)).alias("per_second"),
     )
+    return out.join(middle, list(keys)).withColumns({"p50_ms": F.col("q")[0], "p95_ms": F.col("q")[1]}).drop("q")
 
 
 def _nth(rows: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:

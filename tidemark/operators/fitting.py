@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.shared import written
+from tidemark.operators import isotonic as by_slices
 
 
 def pooled(score: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -32,12 +33,8 @@ def pooled(score: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def isotonic(g: DataFrame, key: str, score: str = "k") -> DataFrame:
-    """(key, score, fitted) from counts by score; a group here is a key's distinct scores."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[[key, score]].assign(fitted=pooled(pdf[score].to_numpy(), pdf["pos"].to_numpy(), (pdf["pos"] + pdf["neg"]).to_numpy()))
-
-    return g.groupBy(key).applyInPandas(fit, f"{key} {g.schema[key].dataType.simpleString()}, {score} {g.schema[score].dataType.simpleString()}, fitted double")
+    """(key, score, fitted) from counts by score; a key's scores are fitted slice by slice."""
+    return by_slices.isotonic(g, key, score)
 
 
 def step_predict(scores: DataFrame, fitted: DataFrame, score: str = "k", value: str = "fitted") -> DataFrame:

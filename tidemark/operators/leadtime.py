@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import written
+from tidemark.operators import quantiles
 from tidemark.operators.series import HOUR, ordered_scan
 
 
@@ -44,9 +46,11 @@ def match(alerts: DataFrame, events: DataFrame, horizon_hours: float) -> DataFra
 def summary(matches: DataFrame, events: DataFrame) -> DataFrame:
     """Recall, false-alert share and leads over all sites; recall without events is 0."""
     mid = (F.col("lead_lower") + F.col("lead_upper")) / 2
-    m = matches.agg(F.count("*").alias("n_alerts"), F.count("event_id").alias("n_matched"), F.avg(mid).alias("mean_lead"), F.percentile(mid, F.lit(0.5)).alias("median_lead"), F.min(mid).alias("min_lead"), F.max(mid).alias("max_lead"))
+    matches = written(matches, "matches")
+    median = quantiles.quantiles(matches.select(mid.alias("lead")), [], "lead", [0.5]).select(F.col("q")[0].alias("median_lead"))
+    m = matches.agg(F.count("*").alias("n_alerts"), F.count("event_id").alias("n_matched"), F.avg(mid).alias("mean_lead"), F.min(mid).alias("min_lead"), F.max(mid).alias("max_lead"))
     n = events.agg(F.count("*").alias("n_events"))
-    out = m.crossJoin(F.broadcast(n))
+    out = m.crossJoin(F.broadcast(n)).join(F.broadcast(median), F.lit(True), "left")  # a row each
     return out.withColumns({"recall": F.when(F.col("n_events") > 0, F.col("n_matched") / F.col("n_events")).otherwise(F.lit(0.0)), "false_alert_rate": F.when(F.col("n_alerts") > 0, 1 - F.col("n_matched") / F.col("n_alerts")).otherwise(F.lit(0.0))})
 
 
@@ -56,8 +60,10 @@ def by_category(matches: DataFrame, events: DataFrame, categories: Sequence[str]
     found = matches.filter("event_id is not null").select("site", "event_id", mid.alias("lead"), F.lit(True).alias("hit"))
     named = events.sparkSession.createDataFrame([(c,) for c in categories], "category string")
     met = named.join(events.join(found, ["site", "event_id"], "left"), "category", "left")
+    met = written(met, "leads")
+    medians = quantiles.quantiles(met, ["category"], "lead", [0.5]).select(F.col("category").alias("of"), F.col("q")[0].alias("median_lead"))
     out = met.groupBy("category").agg(
-        F.count("event_id").alias("n_events"), F.count("hit").alias("n_detected"), F.avg("lead").alias("mean_lead"), F.percentile("lead", F.lit(0.5)).alias("median_lead"),
+        F.count("event_id").alias("n_events"), F.count("hit").alias("n_detected"), F.avg("lead").alias("mean_lead"),
         F.min("lead").alias("min_lead"), F.max("lead").alias("max_lead"),
-    )
+    ).join(F.broadcast(medians), F.col("category") == F.col("of"), "left").drop("of")
     return out.withColumn("recall", F.when(F.col("n_events") > 0, F.col("n_detected") / F.col("n_events")).otherwise(F.lit(0.0)))

@@ -19,6 +19,13 @@ def win_pava(spark, sf_dir):
     return M.isotonic(by_year(spark, sf_dir), "yr").withColumn("fitted", F.round("fitted", 6))
 
 
+def win_pava_prices(spark, sf_dir):
+    """The isotonic fit over continuous scores: a group has nearly as many distinct scores as rows."""
+    scored = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("yr"), F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").cast("long").alias("y"))
+    counts = scored.groupBy("yr", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return M.isotonic(counts, "yr", "score").withColumn("fitted", F.round("fitted", 6))
+
+
 def win_step_predict(spark, sf_dir):
     fitted = M.isotonic(by_year(spark, sf_dir), "yr").filter("k % 2 = 1").withColumnRenamed("yr", "key")
     scores = predictions(spark, sf_dir).select(F.col("yr").alias("key"), "k", F.col("sample_id").alias("id"))
@@ -73,7 +80,7 @@ def agg_lead_categories(spark, sf_dir):
     return out.withColumns({c: F.round(c, 4) for c in ("mean_lead", "median_lead", "min_lead", "max_lead", "recall")})
 
 
-QUERIES = {f.__name__: f for f in (agg_lead_categories, win_pava, win_step_predict, cal_platt, ml_ridge, agg_covariance, st_bootstrap, jn_event_match, agg_lead_summary)}
+QUERIES = {f.__name__: f for f in (agg_lead_categories, win_pava, win_pava_prices, win_step_predict, cal_platt, ml_ridge, agg_covariance, st_bootstrap, jn_event_match, agg_lead_summary)}
 
 _ISO = PRED_SQL + """, g AS (SELECT yr, k, sum(y) AS pos, count(*) AS n FROM pred GROUP BY yr, k),
 means AS (SELECT a.yr, a.k AS lo, b.k AS hi, CAST(sum(c.pos) AS DOUBLE) / sum(c.n) AS m FROM g a JOIN g b ON b.yr = a.yr AND b.k >= a.k JOIN g c ON c.yr = a.yr AND c.k BETWEEN a.k AND b.k GROUP BY 1, 2, 3),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as C
 from tidemark.functions.shared import shared_path
 from tidemark.operators import audits as A
-from tidemark.operators import graph
+from tidemark.operators import graph, quantiles
 from tidemark.operators.series import micros
 from tidemark.sources.views import DAILY_SQL, daily_values, observations, table
 
@@ -163,8 +163,9 @@ def normalizer(spark, sf_dir):
     cents = (F.col("value") * 100).cast("long")
     rows = observations(spark, sf_dir).withColumn("c", cents)
     n = F.count("*")
-    s = rows.groupBy("kind").agg(n.alias("n"), (F.sum("c") / n / 100).alias("mean"), F.sum("c").alias("s1"), F.sum(F.col("c").cast("decimal(38,0)") * F.col("c")).cast("double").alias("s2"), F.percentile("c", F.lit(0.5)).alias("m"))
-    return s.select("kind", "n", "mean", F.sqrt(F.col("s2") / F.col("n") - (F.col("s1") / F.col("n")) * (F.col("s1") / F.col("n"))).alias("sd100"), (F.col("m") / 100).alias("median"))
+    s = rows.groupBy("kind").agg(n.alias("n"), (F.sum("c") / n / 100).alias("mean"), F.sum("c").alias("s1"), F.sum(F.col("c").cast("decimal(38,0)") * F.col("c")).cast("double").alias("s2"))
+    m = quantiles.quantiles(rows, ["kind"], "c", [0.5]).select("kind", F.col("q")[0].alias("m"))
+    return s.join(m, "kind").select("kind", "n", "mean", F.sqrt(F.col("s2") / F.col("n") - (F.col("s1") / F.col("n")) * (F.col("s1") / F.col("n"))).alias("sd100"), (F.col("m") / 100).alias("median"))
 
 
 def agg_normalizer(spark, sf_dir):
@@ -180,8 +181,8 @@ def ml_normalize(spark, sf_dir):
 
 
 def robust(spark, sf_dir):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(q.alias("q")).select("event_type", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    q = quantiles.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.25, 0.5, 0.75])
+    return q.select("event_type", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
 def agg_robust(spark, sf_dir):

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import shared_path, written
 from tidemark.operators import daily as D
 from tidemark.operators import series as S
+from tidemark.streaming.charts import OUTPUT, run_available, stream_control_chart
 from tidemark.sources.views import CALENDAR, DAILY_SQL, daily_values, observations
 
 THRESHOLD, DAY_THRESHOLD = 80, 120
@@ -59,6 +61,21 @@ def win_continuous_spc(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("ewma", "cusum", "score")})
 
 
+def win_stream_spc(spark, sf_dir):
+    """The same chart as an event-time stream: days come shuffled in waves, and the query starts three times from its checkpoint."""
+    days = slots(spark, sf_dir).select("site", "day", F.when(F.col("usable"), F.col("value").cast("double")).alias("value"))
+    place = F.datediff("day", F.lit(CALENDAR[0]).cast("date"))
+    wave = F.floor((place + F.pmod(F.xxhash64("site", "day"), F.lit(10))) / 10).cast("int")  # up to ten days late
+    waves = written(days.withColumn("wave", wave), "waves")
+    source, out, state = (shared_path(spark, x) for x in ("slots", "chart", "chart_state"))
+    heartbeat = spark.range(1).select(F.lit(None).cast("long").alias("site"), F.lit("2024-03-31").cast("date").alias("day"), F.lit(None).cast("double").alias("value"))
+    for batch in (waves.filter("wave <= 1"), waves.filter("wave > 1"), heartbeat):
+        batch.select("site", "day", "value").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("site long, day date, value double").parquet(source)
+        run_available(spark, stream_control_chart(stream, MEAN * 2, SCALE * 2), out, state)
+    return spark.read.schema(OUTPUT).parquet(out).withColumns({c: F.round(c, 6) for c in ("ewma", "cusum", "score")})
+
+
 def win_roc(spark, sf_dir):
     """Rate of change an hour between neighbouring observations of a site."""
     w = Window.partitionBy("site").orderBy("t", "obs_id")
@@ -98,7 +115,7 @@ _SLOTS = DAILY_SQL + ", slots AS (SELECT site, local_date AS day, value, quality
 
 QUERIES = {
     f.__name__: f
-    for f in (win_episodes, win_onsets, win_persist_alert, jn_asof_filter, win_cooldown, win_ewma_cusum, win_continuous_spc, win_roc, win_unique_rows, win_calendar, ml_persistence, agg_tabular_features)
+    for f in (win_episodes, win_onsets, win_persist_alert, jn_asof_filter, win_cooldown, win_ewma_cusum, win_continuous_spc, win_stream_spc, win_roc, win_unique_rows, win_calendar, ml_persistence, agg_tabular_features)
 }
 SQL = {
     "win_episodes": f"""WITH {_OBS}, r AS (SELECT *, value >= {THRESHOLD} AS above, lag(t) OVER w AS previous FROM obs WINDOW w AS (PARTITION BY site ORDER BY t, obs_id)),
@@ -143,3 +160,5 @@ SQL = {
     "ml_persistence": f"WITH {_OBS} SELECT site, step, arg_max(value, (t, obs_id)) AS forecast FROM obs, (SELECT unnest(range(1, 4)) AS step) GROUP BY 1, 2",
     "agg_tabular_features": f"WITH {_OBS} SELECT site, (t - 1704067200000000) // 604800000000 AS week, arg_min(value, (t, obs_id)) AS first_v, arg_max(value, (t, obs_id)) AS last_v, min(value) AS min_v, max(value) AS max_v, count(*) AS n, arg_max(value, (t, obs_id)) - arg_min(value, (t, obs_id)) AS rise FROM obs GROUP BY 1, 2",
 }
+
+SQL["win_stream_spc"] = SQL["win_continuous_spc"]
