@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import daily, evaluation, inputs, metrics, models, more, records, series, wider
+from tidemark.plans import daily, evaluation, inputs, metrics, models, more, records, series, whole, wider
 
-_MODULES = (daily, metrics, series, records, models, more, inputs, evaluation, wider)
+_MODULES = (daily, metrics, series, records, models, more, inputs, evaluation, wider, whole)
 
 
 def queries() -> dict:

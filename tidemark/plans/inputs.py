@@ -10,17 +10,20 @@ from tidemark.plans.records import _FORMS
 from tidemark.sources import decoders as X
 from tidemark.sources.views import observations, table
 
+#: Observation ids that one page may hold.
+PAGE_IDS = 4096
+
 
 def _pages(spark, sf_dir):
-    """One continuous feature page a site; every seventh value is missing, every fifth flagged."""
+    """Continuous feature pages of at most PAGE_IDS observations of a site; every seventh value is missing, every fifth flagged."""
     rows = observations(spark, sf_dir).withColumn("t", micros("ts"))
     props = F.to_json(F.struct(
         F.col("site").cast("string").alias("site"), F.lit("ft^3/s").alias("unit"), "t", F.when(F.col("obs_id") % 7 != 0, F.col("value").cast("string")).alias("value"),
         F.when(F.col("obs_id") % 11 == 0, "Working").otherwise("Approved").alias("approval_status"), F.when(F.col("obs_id") % 5 == 0, F.lit("ICE")).alias("qualifier"),
     ))
-    packed = rows.select("site", F.struct(F.col("obs_id").cast("string").alias("id"), props.alias("properties")).alias("f")).groupBy("site").agg(F.array_sort(F.collect_list("f")).alias("features"))
+    packed = rows.select("site", F.floor(F.col("obs_id") / PAGE_IDS).cast("long").alias("page"), F.struct(F.col("obs_id").cast("string").alias("id"), props.alias("properties")).alias("f")).groupBy("site", "page").agg(F.array_sort(F.collect_list("f")).alias("features"))
     body = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.size("features").alias("numberReturned"), "features"))
-    return packed.select("site", body.alias("body")).withColumn("sha256", F.sha2("body", 256))
+    return packed.select("site", "page", body.alias("body")).withColumn("sha256", F.sha2("body", 256))
 
 
 def src_continuous(spark, sf_dir):
@@ -29,11 +32,13 @@ def src_continuous(spark, sf_dir):
 
 
 def src_featurecollection(spark, sf_dir):
-    """Pages spoilt in five ways and what is found wrong with each."""
+    """Pages spoilt in ten ways, some of them deep inside, and what is found wrong with each."""
     body = F.col("body")
-    spoilt = [body, F.concat(F.lit('{"type":"x",'), F.expr("substring(body, 2)")), F.replace(body, F.lit('"FeatureCollection"'), F.lit('"Other"')), F.regexp_replace(body, '"numberReturned":\\d+', '"numberReturned":-1'), F.substring("body", 1, 20)]
-    one = F.element_at(F.array(*spoilt), (F.col("site") % 5 + 1).cast("int"))
-    return _pages(spark, sf_dir).select("site", X.collection_problem(one).alias("problem"))
+    inside = lambda text: F.replace(body, F.lit('"features":['), F.lit(text + ',"features":['))
+    spoilt = [body, F.concat(F.lit('{"type":"x",'), F.expr("substring(body, 2)")), F.replace(body, F.lit('"FeatureCollection"'), F.lit('"Other"')), F.regexp_replace(body, '"numberReturned":\\d+', '"numberReturned":-1'), F.substring("body", 1, 20),
+        inside('"links":[{"rel":"next","href":"a","rel":"prev"}]'), inside('"meta":{"a":{"b":[1,{"k":0,"\\u006b":1}]}}'), inside('"meta":[1,NaN]'), inside('"meta":{"high":1e999}'), inside('"meta":{"a":{"k":1},"b":{"k":1},"c":"{\\"k\\":1,\\"k\\":2}"}')]
+    one = F.element_at(F.array(*spoilt), (F.col("site") % 10 + 1).cast("int"))
+    return _pages(spark, sf_dir).select("site", "page", X.collection_problem(one).alias("problem"))
 
 
 def prj_quality_strict(spark, sf_dir):
@@ -77,7 +82,8 @@ def src_cohort_csv(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (src_continuous, src_featurecollection, prj_quality_strict, src_capture, src_thresholds, src_manifest_route, src_cohort_csv)}
 SQL = {
     "src_continuous": "SELECT user_id AS site, event_id AS obs_id, epoch_us(ts) AS t, CASE WHEN event_id % 7 <> 0 THEN round(CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) * 0.028316846592, 6) END AS value_si, CASE WHEN event_id % 7 = 0 THEN 'missing_value' WHEN event_id % 11 = 0 THEN 'unknown_approval' WHEN event_id % 5 = 0 THEN 'qualifier_requires_review' END AS exclusion, event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 5 <> 0 AS usable FROM events",
-    "src_featurecollection": "SELECT DISTINCT user_id AS site, CASE user_id % 5 WHEN 1 THEN 'duplicate_key' WHEN 2 THEN 'not_a_feature_collection' WHEN 3 THEN 'count_mismatch' WHEN 4 THEN 'invalid_json' END AS problem FROM events",
+    "src_featurecollection": f"""SELECT DISTINCT user_id AS site, event_id // {PAGE_IDS} AS page, CASE user_id % 10 WHEN 1 THEN 'duplicate_key' WHEN 2 THEN 'not_a_feature_collection' WHEN 3 THEN 'count_mismatch' WHEN 4 THEN 'invalid_json'
+        WHEN 5 THEN 'duplicate_key' WHEN 6 THEN 'duplicate_key' WHEN 7 THEN 'non_finite_number' WHEN 8 THEN 'non_finite_number' END AS problem FROM events""",
     "prj_quality_strict": "SELECT event_id, CASE event_id % 6 WHEN 2 THEN 'approved_estimated' WHEN 3 THEN 'not_approved_or_unknown_status' WHEN 5 THEN 'approved_unflagged' ELSE 'approved_unknown_qualifier' END AS quality FROM events",
     "src_capture": """WITH r AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations)
         SELECT conv_id AS site, turn AS sequence, 'hash' AS reason FROM r WHERE conv_id % 17 = 0 UNION ALL SELECT conv_id, turn, 'size' FROM r WHERE conv_id % 19 = 0 UNION ALL SELECT conv_id, turn, 'next_link' FROM r WHERE nt IS NOT NULL AND nt <> turn + 1""",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import CUBIC_FEET, FEET, decimal_value, quality_class
+from tidemark.sources.strict_json import json_problem
 
 FEATURES = "struct<type:string,numberReturned:int,features:array<struct<id:string,properties:string>>>"
 
@@ -18,11 +19,11 @@ def strict(df: DataFrame, ok: Column, message: str) -> DataFrame:
 
 
 def collection_problem(body: Column) -> Column:
-    """Reason why a page is no sound feature collection, else NULL: syntax, type, count, or a key twice at the top."""
+    """Reason why a page is no sound feature collection, else NULL: strict JSON at any depth, type, count."""
     c = F.from_json(body, FEATURES)
-    keys = F.json_object_keys(body)
+    syntax = json_problem(body)
     return (
-        F.when(keys.isNull(), "invalid_json").when(F.size(keys) != F.size(F.array_distinct(keys)), "duplicate_key")
+        F.when(syntax.isNotNull(), syntax).when(F.json_object_keys(body).isNull(), "invalid_json")
         .when(~c["type"].eqNullSafe(F.lit("FeatureCollection")), "not_a_feature_collection").when(c["features"].isNull(), "features_missing")
         .when(~c["numberReturned"].eqNullSafe(F.size(c["features"])), "count_mismatch")
     )
