@@ -17,6 +17,7 @@ block, and the next round's parts go on from there. Every training row takes par
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
@@ -24,20 +25,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, stash, table, texts
 
 #: Tokens with a softmax of their own, in classes of WIDTH; classes of the other tokens.
-TOP, WIDTH, SHAPES = 4096, 64, 16
+TOP, WIDTH, SHAPES = 4096, 64, 32
 CLASSES = TOP // WIDTH + SHAPES
 #: Tokens at most whose counts are sent to the workers (12 bytes each).
 HEAD = 1 << 18
 #: Buckets of the class features (token before, pair before, skips of two and three) and of the token feature; row numbers fit in 16 bits.
 BUCKETS, INNER = (1 << 12, 1 << 12, 1 << 12, 1 << 12), 1 << 8
 #: Training tokens of a part, about; rounds of gradient updates; batches of a part and tokens of a batch, at least and most.
-PART, ROUNDS, STEPS, BATCH = 1 << 20, 4, 48, (1 << 10, 1 << 15)
+PART, ROUNDS, STEPS, BATCH = 1 << 20, 4, 64, (1 << 10, 1 << 15)
 #: Step size, and what the squared gradients of a row start at.
 RATE, CALM = 0.1, 10.0
 #: Where weights start: pseudo-counts of the class and the token counts, and each class feature's share of its log ratio.
@@ -63,7 +65,7 @@ def encoded(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"  " + b" ".join(words) + b" ", dtype=np.uint8)
     ends = np.flatnonzero(joined == 32)[2:] if words else np.zeros(0, np.int64)
     last = joined[ends - 1].astype(np.uint32) * np.uint32(0x9E3779B1) + joined[ends - 2].astype(np.uint32) * np.uint32(0x85EBCA77)
-    return hashes, (last >> np.uint32(28)).astype(np.int64), np.array([len(x) for x in split], dtype=np.int64)
+    return hashes, (last >> np.uint32(27)).astype(np.int64), np.array([len(x) for x in split], dtype=np.int64)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -350,8 +352,13 @@ def as_blocks(arrays: list[np.ndarray], part: int, kind: type) -> list[tuple[int
     return [(i, part, flat[a : a + BLOCK].tobytes()) for i, a in enumerate(range(0, len(flat), BLOCK))]
 
 
-def block_sums(rows: DataFrame, kind: type) -> tuple[list[np.ndarray], int]:
-    """Sums of all parts' arrays, and how many parts there are; each task adds up some blocks as they stream by."""
+def block_sums(rows: DataFrame, kind: type, parts: int) -> tuple[list[np.ndarray], int]:
+    """Sums of all parts' arrays, and how many parts there are.
+
+    In two levels: each block's parts are summed in some sqrt(parts) groups, then the
+    groups' sums, so no task meets more than that many of either.
+    """
+    groups = max(1, math.isqrt(parts))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, n, total = None, 0, None
@@ -366,11 +373,22 @@ def block_sums(rows: DataFrame, kind: type) -> tuple[list[np.ndarray], int]:
             yield summed(done)
         yield summed([(block, n, total.tobytes())] if block is not None else [])
 
+    def add_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for block, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                k, total = found.get(block, (0, 0.0))
+                found[block] = k + n, total + np.frombuffer(raw.as_buffer(), dtype=np.float64)
+        yield summed([(block, n, total.tobytes()) for block, (n, total) in sorted(found.items())])
+
     def summed(done: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*done, strict=True)) or [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["block", "n", "values"])
 
-    found = rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(add, _SUMMED).toArrow().sort_by("block")  # of the weights' size
+    # a group is keyed with its block: a task's rows come sorted, one sum at a time
+    keyed = rows.withColumn("group", F.pmod("part", F.lit(groups)))
+    first = keyed.repartition("block", "group").sortWithinPartitions("block", "group").select("block", "group", "numbers").mapInArrow(add, _SUMMED)
+    found = first.repartition("block").mapInArrow(add_again, _SUMMED).toArrow().sort_by("block")  # of the weights' size
     shapes = [(b, CLASSES) for b in BUCKETS] + [(INNER * TOP // WIDTH, WIDTH)]
     if not found.num_rows:
         return [np.zeros(x) for x in shapes], 0
@@ -413,12 +431,13 @@ def fit(train: DataFrame, model: Model) -> None:
             found = joint_counts(shared.value, codes, lengths)
             sums = found if sums is None else [a + b for a, b in zip(sums, found, strict=True)]
         if sums is not None:
-            for block, _, raw in as_blocks(sums, 0, np.int64):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([raw], pa.binary())], ["block", "part", "numbers"])
+            me = TaskContext.get().partitionId()
+            for block, _, raw in as_blocks(sums, me, np.int64):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([me], pa.int32()), pa.array([raw], pa.binary())], ["block", "part", "numbers"])
 
     parts = max(1, round(model.total / PART / ROUNDS)) * ROUNDS
     dealt = train.withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(parts)).cast("int"))
-    counts, _ = block_sums(train.select("codes").coalesce(max(1, parts)).mapInArrow(tally, _BLOCKS), np.int64)
+    counts, _ = block_sums(train.select("codes").coalesce(max(1, parts)).mapInArrow(tally, _BLOCKS), np.int64, parts)
     shared.destroy()
     start_weights(model, counts)
 
@@ -430,7 +449,7 @@ def fit(train: DataFrame, model: Model) -> None:
     for k in range(ROUNDS):
         current = spark.sparkContext.broadcast(model.fitted())
         mine = dealt.filter(F.pmod("part", F.lit(ROUNDS)) == k).select("part", "rid", "codes")
-        changes, n = block_sums(mine.groupBy("part").applyInPandas(learn, _BLOCKS), np.float16)
+        changes, n = block_sums(mine.groupBy("part").applyInPandas(learn, _BLOCKS), np.float16, parts)
         for w, change in zip(model.weights, changes, strict=True):
             w += (change / max(n, 1)).astype(np.float32)
             np.clip(w, -LARGEST, LARGEST, out=w)

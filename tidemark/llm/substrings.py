@@ -29,6 +29,8 @@ from tidemark.llm.common import BASE, mixed, rolled, slices, stash, table, texts
 WINDOW, GRAM = 35, 8
 #: Distinct segments of an anchor that one automaton holds, about 100,000 words.
 HOT = 2000
+#: Bytes of segments' words that become Python objects together. Spark's batches have up to 64 MB, whose windows took gigabytes.
+PIECE = 2 << 20
 
 _INVERSE = pow(int(BASE), -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -213,24 +215,28 @@ def shard_windows(parts: DataFrame, window: int) -> DataFrame:
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, anchor = [], None
         for batch in batches:
-            out: list[tuple] = []
-            names = batch.schema.names
-            for row in zip(*[batch.column(names.index(c)).to_pylist() for c in ("a", "n", "first", "doc_id", "text_hash", "words")], strict=True):
-                if row[0] != anchor:
-                    out += matched(held, window)
-                    held, anchor = [], row[0]
-                held.append(row)
-            yield pairs(out)
-        yield pairs(matched(held, window))
-
-    def pairs(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["doc_id", "text_hash", "start"])
+            for piece in slices(batch, "words", PIECE):
+                names = piece.schema.names
+                for row in zip(*[piece.column(names.index(c)).to_pylist() for c in ("a", "n", "first", "doc_id", "text_hash", "words")], strict=True):
+                    if row[0] != anchor:
+                        yield from pairs(matched(held, window))
+                        held, anchor = [], row[0]
+                    held.append(row)
+        yield from pairs(matched(held, window))
+
+    def pairs(found: list[tuple[int | None, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """An anchor's windows: as many as its shard has words at most."""
+        if found:
+            sizes = [len(starts) for _, _, starts in found]
+            ids = pa.array([x for x, _, _ in found], pa.int64()).take(pa.array(np.repeat(np.arange(len(found)), sizes)))
+            hashes = np.repeat(np.array([h for _, h, _ in found], dtype=np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(hashes), pa.array(np.concatenate([x for _, _, x in found]).astype(np.int32))], ["doc_id", "text_hash", "start"])
 
     return routed.mapInArrow(match, schema)
 
 
-def matched(rows: list[tuple], window: int) -> list[tuple]:
+def matched(rows: list[tuple], window: int) -> list[tuple[int | None, int, np.ndarray]]:
+    """doc_id, text_hash and the repeated windows of each edge of an anchor that has some."""
     if len(rows) < 2:
         return []
     automaton = SuffixAutomaton()
@@ -241,7 +247,9 @@ def matched(rows: list[tuple], window: int) -> list[tuple]:
     out = []
     for (_, n, first, doc_id, text_hash, _), sequence in zip(rows, sequences, strict=True):
         if n == 1:
-            out += [(doc_id, text_hash, first + i - window + 1) for i, x in enumerate(automaton.statistics(sequence)) if x >= window]
+            at = np.flatnonzero(np.array(automaton.statistics(sequence)) >= window)
+            if len(at):
+                out.append((doc_id, text_hash, first + at - window + 1))
     return out
 
 
@@ -249,7 +257,7 @@ def hot_windows(parts: DataFrame, window: int) -> DataFrame:
     """The same for anchors with many segments: windows counted by hash."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, "words", PIECE)):
             names = batch.schema.names
             columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for a, n, first, doc_id, text_hash, words in zip(*[batch.column(names.index(c)).to_pylist() for c in ("a", "n", "first", "doc_id", "text_hash", "words")], strict=True):
