@@ -1,7 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
 Text: byte-trigram likelihoods of each language, and of a flat model for what is no
-language at all. To these come the declared markup language (how often each language's
+language at all; a text is never judged by a table that it is counted in. To these come the declared markup language (how often each language's
 texts declare what), the address suffix and the host, as priors smoothed hierarchically:
 host towards its suffix, suffix towards the whole corpus. All counts are grouped
 aggregates over the whole table, those of the trigram tables as well.
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import slices, stash, table, texts, with_checked_size
 from tidemark.llm.html_extract import extract
 
-#: Labels at most; more of them are refused, since each has a table of 128 KB on every worker.
-LANGUAGES = 1024
 BUCKETS = 1 << 15
-#: Pseudo-count of each trigram; a language with fewer trigrams than all of them together has no table.
-SMOOTH = 0.05
+#: A text is judged by tables of the labelled texts in other folds than its own.
+FOLDS = 4
+#: Labels whose tables are on the workers together (512 KB each); more of them take more passes.
+SHARD = 64
 #: Trigrams of one text count as so many independent ones at most: their errors go together.
 EFFECTIVE = 120.0
 #: Pseudo-counts of the priors and of the declared-language table.
@@ -47,48 +47,57 @@ def trigrams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (mixed >> np.uint32(17)).astype(np.int64), np.bincount(doc[keep + 1], minlength=len(raw))
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-likelihoods by bucket (the last row is the flat model).
+def fold(text_hash: Column) -> Column:
+    """The part of the table that a text is in; equal texts are in the same."""
+    return F.pmod(text_hash, F.lit(FOLDS)).cast("int")
 
-    The languages are the labels of the whole table, and every row of theirs is counted; more
-    than LANGUAGES labels raise. One whose trigrams weigh less than their smoothing is left out: its table would
-    be the flat one in all but name. Both results have a fixed size bound: LANGUAGES rows of
-    BUCKETS numbers.
-    """
+
+def declared_labels(docs: DataFrame) -> dict[str, int]:
+    """How many texts each label of the table declares; one number a label."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = sorted(r["lang"] for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} declared languages")
-    flat = np.full((1, BUCKETS), -np.log(BUCKETS))
+    return {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+
+
+def fit(docs: DataFrame, names: list[str]) -> np.ndarray:
+    """Log-likelihoods by fold, bucket and language, each from the labelled texts of all other folds.
+
+    Every row of these languages is counted. What a language has not seen weighs as much as
+    it has kinds of trigrams (Witten and Bell), spread over all buckets: less than half the
+    flat model's share for each bucket however small the language, so that junk is never
+    nearer to a rare label than to none. The result has FOLDS x SHARD x BUCKETS numbers at most.
+    """
     if not names:
-        return [], flat
+        return np.zeros((FOLDS, BUCKETS, 0), dtype=np.float32)
     place = {x: i for i, x in enumerate(names)}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
-                of: dict[str, list[bytes]] = {}
-                for lang, raw in zip(piece.column(0).to_pylist(), texts(piece, "text"), strict=True):
-                    of.setdefault(lang, []).append(raw)
-                for lang, raw in of.items():
+                of: dict[tuple[int, str], list[bytes]] = {}
+                for part, lang, raw in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), texts(piece, "text"), strict=True):
+                    of.setdefault((part, lang), []).append(raw)
+                for (part, lang), raw in of.items():
                     n = np.bincount(trigrams(raw)[0], minlength=BUCKETS)
                     bucket = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), place[lang], np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n[bucket])], ["lang", "bucket", "n"])
-
-    labelled = rows.select("lang", "text")
-    found = labelled.mapInArrow(tally, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros((len(names), BUCKETS))
-    sums[found["lang"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
-    enough = sums.sum(axis=1) >= SMOOTH * BUCKETS
-    smooth = sums[enough] + SMOOTH
-    return [x for x, e in zip(names, enough.tolist(), strict=True) if e], np.vstack([np.log(smooth / smooth.sum(axis=1, keepdims=True)), flat])
-
-
-def text_evidence(docs: DataFrame, tables: np.ndarray) -> DataFrame:
-    """docs' columns but for text, with `evidence` (a number for each language and none) and `n_trigrams`."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(tables.T.astype(np.float32)))  # LANGUAGES + 1 rows of BUCKETS numbers at most
-    others = [f for f in docs.schema if f.name != "text"]
+                    keys = [pa.array(np.full(len(bucket), x, np.int32)) for x in (part, place[lang])]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(bucket.astype(np.int32)), pa.array(n[bucket])], ["fold", "lang", "bucket", "n"])
+
+    labelled = docs.filter(F.col("lang").isin(names) & F.col("text").isNotNull()).select(fold(F.xxhash64("text")).alias("fold"), "lang", "text")
+    found = labelled.mapInArrow(tally, "fold int, lang int, bucket int, n long").groupBy("fold", "lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros((FOLDS, BUCKETS, len(names)))
+    sums[found["fold"].to_numpy(), found["bucket"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
+    others = sums.sum(axis=0) - sums
+    kinds = (others > 0).sum(axis=1, keepdims=True)
+    total = others.sum(axis=1, keepdims=True) + kinds
+    shares = np.where(total > 0, (others + kinds / BUCKETS) / np.maximum(total, 1), 0.5 / BUCKETS)
+    return np.log(shares).astype(np.float32)
+
+
+def text_evidence(docs: DataFrame, tables: np.ndarray, name: str) -> DataFrame:
+    """docs (with text_hash and text) with the column `name`, a number for each language of the tables, and `n_trigrams`."""
+    width = tables.shape[2]
+    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(tables.reshape(FOLDS * BUCKETS, width)))  # see fit for its bound
+    others = [f for f in docs.schema if f.name != "n_trigrams"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loglik = shared.value
@@ -96,16 +105,17 @@ def text_evidence(docs: DataFrame, tables: np.ndarray) -> DataFrame:
             for piece in slices(batch, "text", 1 << 20):
                 raw = texts(piece, "text")
                 bucket, n = trigrams(raw)
-                sums = np.zeros((len(raw), loglik.shape[1]))
+                part = np.mod(piece.column(piece.schema.get_field_index("text_hash")).to_numpy(zero_copy_only=False), FOLDS)
+                sums = np.zeros((len(raw), width))
                 full = np.flatnonzero(n)
-                if len(full):
+                if len(full) and width:
                     starts = np.concatenate(([0], np.cumsum(n)[:-1]))[full]
-                    sums[full] = np.add.reduceat(loglik[bucket], starts, axis=0, dtype=np.float64)
+                    sums[full] = np.add.reduceat(loglik[bucket + np.repeat(part * BUCKETS, n)], starts, axis=0, dtype=np.float64)
                 sums *= (np.minimum(n, EFFECTIVE) / np.maximum(n, 1))[:, None]
-                evidence = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([*[piece.column(piece.schema.get_field_index(f.name)) for f in others], evidence, pa.array(n)], [*[f.name for f in others], "evidence", "n_trigrams"])
+                evidence = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * width, pa.int32()), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([*[piece.column(piece.schema.get_field_index(f.name)) for f in others], evidence, pa.array(n)], [*[f.name for f in others], name, "n_trigrams"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", evidence array<double>, n_trigrams long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + f", {name} array<double>, n_trigrams long"
     return docs.mapInArrow(score, schema)
 
 
@@ -132,20 +142,32 @@ def identify(docs: DataFrame, suffix: Column | None = None, least: float = LEAST
     docs has doc_id, text, lang (the declared language) and source (the host); `suffix` is
     the address suffix where there are addresses. A null declaration, host or suffix is
     no evidence by itself (nulls share one prior). A text without letters is in no
-    language, so null and empty texts are not kept. Host and declaration are counted over
+    language, so null and empty texts are not kept. Texts are judged by tables of other
+    folds' texts, any number of labels of any size has its table. Host and declaration are counted over
     all other rows: a row's own text is not evidence twice. Ties go to no language, then to
     the first by name. Texts of any length count whole. Repeated rows give a row each, an empty table none; other columns are not read.
     """
-    names, tables = fit(docs)
+    labels = declared_labels(docs)
+    names = sorted(labels)
     size = len(names) + 1
     read = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("lang").alias("declared"), F.col("source").alias("host"),
         (F.lit(None).cast("string") if suffix is None else suffix).alias("suffix"), "text",
     )
-    scored = stash(text_evidence(read, tables).withColumn("text_best", F.when(F.col("n_trigrams") > 0, argmax(F.col("evidence"))).otherwise(F.lit(size - 1))), "evidence")
+    shards = [names[i : i + SHARD] for i in range(0, len(names), SHARD)] or [[]]
+    for i, some in enumerate(shards):
+        read = text_evidence(read, fit(docs, some), f"evidence{i}")
+    none_evidence = F.least(F.col("n_trigrams").cast("double"), F.lit(EFFECTIVE)) * -float(np.log(BUCKETS))
+    evidence = F.concat(*[F.col(f"evidence{i}") for i in range(len(shards))], F.array(none_evidence))
+    # before any host is known: labels weigh by their texts, what is in no language by NONE_PRIOR
+    total = sum(labels.values()) + len(names)
+    weights = [(1 - NONE_PRIOR) * (labels[x] + 1) / total for x in names] + [NONE_PRIOR]
+    flat = F.array(*[F.lit(float(x)) for x in weights])
+    read = read.withColumn("evidence", evidence).drop("text", *[f"evidence{i}" for i in range(len(shards))])
+    likely = F.zip_with("evidence", flat, lambda e, w: e + F.ln(w))
+    scored = stash(read.withColumn("text_best", F.when(F.col("n_trigrams") > 0, argmax(likely)).otherwise(F.lit(size - 1))), "evidence")
 
     tally = F.array(*[F.sum((F.col("text_best") == i).cast("double")) for i in range(size)])
-    flat = F.array(*[F.lit((1.0 - NONE_PRIOR) / max(size - 1, 1) if i < size - 1 else NONE_PRIOR) for i in range(size)])
     by_host = stash(scored.groupBy("host", "suffix").agg(tally.alias("n_host")), "hosts")
     sums = lambda column: F.array(*[F.coalesce(F.sum(F.get(column, F.lit(i))), F.lit(0.0)) for i in range(size)])
     whole = by_host.agg(sums("n_host").alias("n")).select(F.transform(log_shares(F.col("n"), flat, PULL), F.exp)).first()[0]
@@ -183,6 +205,11 @@ def op4_language(spark, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def page_languages(spark, sf_dir: str) -> DataFrame:
+    """The same for `pages`, with the address suffix as evidence: page_id, declared, text_lang, language, posterior, kept."""
+    return identify_pages(table(spark, sf_dir, "pages")).withColumnRenamed("doc_id", "page_id").drop("text_hash")
+
+
 def identified_documents(docs: DataFrame) -> DataFrame:
     """docs without the texts that are in no language or too uncertain, all columns kept."""
     found = identify(docs).filter("not kept").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("declared").alias("__declared")).distinct()

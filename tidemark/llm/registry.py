@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.decontaminate import op8_spaced_seeds
 from tidemark.llm.html_extract import op6_wrapper
-from tidemark.llm.language import op4_language
+from tidemark.llm.language import op4_language, page_languages
 from tidemark.llm.language_model import op3_maxent
 from tidemark.llm.merkle import op13_merkle
 from tidemark.llm.mixing import OP1_SQL, op1_mixing
@@ -31,6 +31,7 @@ QUERIES = {
     "op11_vector_codes": op11_vector_codes,
     "op12_personal_data": op12_personal_data,
     "op13_merkle": op13_merkle,
+    "page_languages": page_languages,
 }
 
 SQL = {"op1_mixing": OP1_SQL, "op2_substrings": OP2_SQL, "op5_repetition": OP5_SQL, "op7_warc": OP7_SQL, "op8_spaced_seeds": OP8_SQL, "op11_vector_codes": OP11_SQL, "op13_merkle": OP13_SQL}
