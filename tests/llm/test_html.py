@@ -67,10 +67,36 @@ def test_page_forms(spark):
         ("<table><tr><td>a<td>b<tr><td>c</table><ul><li>x<li>y<ul><li>z</ul></ul>tail", "a\nb\nc\nx\ny\nz\ntail"),
         ("<script>var a = '<p>no</p>';</script><style>p{}</style>x<textarea>no</textarea><!-- <p>no</p> -->y", "xy"),
         ("", ""), ("<", "<"), ("</p></div>x", "x"),
+        (f"<body><form id=x><input><label>Find</label><article><h1>T</h1><p>{long}</p></article><button>go</button></form></body>", f"T\n{long}"),
+        (f"<body><form method=post><p>{long}</p><select><option>no</select></form></body>", long),
+        (f"<body><p>{long}</p><form><label>Name</label><p>Sign up here</p></form></body>", long),
+        (f"<body><div role=alert><main><p>{long}</p></main></div></body>", long),
+        (f"<body><nav><ul><li><a href=/a>Home page</a></li><li><a href=/b>News</a></li></ul><article><p>{long}</p></article></body>", long),
+        (f"<body><nav><ul><li><a href=/a>Home page</a></li></ul><p>{long}</p></body>", long),
+        (f"<body><aside><p>Side box</p></aside><nav><a href=/a>x</a></nav><p>{long}</p></body>", long),
     ]
     assert extracted(spark, [(f"h{i}.example", f) for i, (f, _) in enumerate(forms)]) == [t for _, t in forms]
 
 
+def test_the_wrapper_finds_the_content_without_its_tag_and_classes(spark, monkeypatch):
+    """Articles renamed to div and classes taken away: the alignment finds the same texts, and without its rules adverts come in."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join(rng.choice(["river", "stage", "flood", "gauge", "rain", "crest", "level"]) + str(rng.randint(0, 99)) for _ in range(n))
+    marked, bare, texts = [], [], []
+    for i in range(40):
+        title, parts = prose(4), [prose(rng.randint(15, 40)) for _ in range(rng.randint(2, 5))]
+        links = "".join(f"<li><a href=/{k}>{prose(1)}</a></li>" for k in range(5))
+        inside = f"<h1>{title}</h1>{''.join(f'<p>{p}</p>' for p in parts)}"
+        page = f"<body><nav><ul>{links}</ul></nav><div class=ad>{prose(4)}</div><article>{inside}</article><div class=legal>{prose(3)}</div></body>"
+        marked.append((f"h{i % 2}.example", page))
+        bare.append((f"h{i % 2}.example", re.sub(r"(</?)article", r"\1div", re.sub(r" class=\w+", "", page))))
+        texts.append("\n".join([title, *parts]))
+    assert extracted(spark, marked) == texts and extracted(spark, bare) == texts
+    real = html_extract.rules
+    monkeypatch.setattr(html_extract, "rules", lambda parsed: real(parsed).filter("false"))
+    assert not set(extracted(spark, bare)) & set(texts)
+
+
 def brute_wrapper(sources: list[str]) -> list[str]:
     """Slots by their path of tags and classes; for pages of flat, regular markup that is what alignment finds."""
     pages = []

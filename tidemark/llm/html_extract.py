@@ -8,8 +8,12 @@ holds a host. Each skeleton is then matched with its host's wrapper, which names
 alike on all pages, and the wrapper's slots are judged by counts over all of them:
 
 - a text that nearly all pages with that slot show there is template;
-- whether the host's articles, its main elements or its bodies are the content is decided
-  by where the varying text of the pages with the same content slots stands;
+- the content's root is found from the top down: while one inner slot holds most of the
+  varying text that is no link, it is there. So a container of the content is found
+  whatever its tag and names are;
+- for pages that have little in that root, whether the host's articles, its main elements
+  or its bodies are the content is decided by where the varying text of the pages with the
+  same content slots stands;
 - in bodies without either, slots that hold mostly links are navigation.
 
 Blocks in the remaining, varying slots are content. What markup itself declares to be
@@ -31,12 +35,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stash, table, with_checked_size
+from tidemark.llm.common import slices, stash, table
 
 #: Distinct pages that a slot needs to be judged, and the share of them that must show a text for it to be template.
 LEAST_PAGES, CONSTANT = 4, 0.9
 #: Share of link characters from which a slot outside article and main is navigation.
 LINKS = 0.66
+#: Share of the varying text under a slot that one of its children must hold for the content to be looked for there.
+DENSE = 0.9
 #: Slots of a skeleton, in breadth-first order; what lies deeper counts to the slot above it. Twice as many in a wrapper.
 SLOTS = 1000
 #: Skeletons that one match of the tournament merges.
@@ -56,6 +62,9 @@ LANDMARKS = frozenset("html body main article section header footer nav aside ta
 # Elements and roles that are no content; a header is none outside article and main.
 NO_CONTENT = frozenset("nav footer aside form script style noscript template iframe object embed svg canvas button select textarea input label dialog menu head title audio video map noembed noframes".split())
 NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
+#: What may stand around a whole page though it is no content by itself, and what swallows the page where its end tag is missing.
+AROUND, AROUND_ROLES, SWALLOWS = frozenset("form dialog label button fieldset".split()), frozenset("form dialog alertdialog alert".split()), frozenset("nav aside footer header menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 # Class and id names that are no content, alone or with each other and with the words below.
 NO_CONTENT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets related recommended share sharing social comment comments disqus respond reply replies pagination pager toolbar skip".split()
@@ -69,10 +78,11 @@ _DIGIT = re.compile(r"[\d.]")
 
 
 class Node:
-    __slots__ = ("tag", "classes", "ids", "role", "children")
+    __slots__ = ("tag", "classes", "ids", "role", "children", "closed")
 
     def __init__(self, tag: str, attributes: str) -> None:
         self.tag, self.classes, self.ids, self.role = tag, "", "", ""
+        self.closed = False  # by its own end tag
         self.children: list[Node | str] = []
         if attributes and attributes.strip(" /"):
             for name, a, b, c in _NAMED.findall(attributes):
@@ -114,6 +124,7 @@ def parse(source: str) -> Node:
                 i = len(stack) - 1
                 while stack[i].tag != tag:
                     i -= 1
+                stack[i].closed = True
                 close(i)
             continue
         if tag in CLOSES_P and opened["p"] > 0:
@@ -197,6 +208,40 @@ def is_content(node: Node, inner: bool) -> bool:
     return not declared_other(f"{node.classes} {node.ids}")
 
 
+def page_frames(root: Node) -> set[int]:
+    """id() of elements that markup calls no content but that are the page's frame.
+
+    A form, dialog, label or button around an article, a main element or most of the page's
+    text is passed through, its controls are not; so is a nav, aside, footer or header that
+    is never closed and has swallowed an article, a main element or running text.
+    """
+    order, work = [], [(root, False)]
+    mass: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    while work:
+        node, in_link = work.pop()
+        order.append(node)
+        own = sum(len(x.strip()) for x in node.children if isinstance(x, str))
+        mass[id(node)], linked[id(node)], holds[id(node)] = own, own if in_link else 0, False
+        work += [(x, in_link or x.tag == "a") for x in node.children if not isinstance(x, str)]
+    for node in reversed(order):
+        for x in node.children:
+            if not isinstance(x, str):
+                mass[id(node)] += mass[id(x)]
+                linked[id(node)] += linked[id(x)]
+                holds[id(node)] |= holds[id(x)] or is_main(x) or is_article(x)
+    out = set()
+    for node in order:
+        at = id(node)
+        if node.tag in AROUND or node.role in AROUND_ROLES:
+            if holds[at] or 2 * mass[at] > mass[id(root)] and 2 * linked[at] < mass[at]:
+                out.add(at)
+        elif node.tag in SWALLOWS and not node.closed and (holds[at] or 2 * linked[at] < mass[at]):
+            out.add(at)
+    return out
+
+
 class Tree:
     """Slots in breadth-first order: label, parent and the pages that have it; the first is the root."""
 
@@ -256,8 +301,8 @@ def folded(root: Node) -> tuple[Tree, dict[int, int]]:
     return Tree(labels, parents), slot
 
 
-#: Bits of a block's place.
-IN_MAIN, IN_ARTICLE = 1, 2
+#: Bits of a block's place; of one inside an unclosed nav or the like only what is no list of links is content.
+IN_MAIN, IN_ARTICLE, DOUBTFUL = 1, 2, 4
 Block = tuple[int, int, int, str]
 
 
@@ -276,10 +321,11 @@ def blocks(root: Node, slot: dict[int, int]) -> list[Block]:
         nonlocal links
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
-        if text:
+        if text and not (place & DOUBTFUL and 2 * links > len(text)):
             out.append([at, place, min(links, len(text)), text, article])
         links = 0
 
+    frames = page_frames(root)
     work: list[tuple] = [(root, 0, 0, False, False)]
     while work:
         item, at, place, linked, ends = work.pop()
@@ -290,13 +336,13 @@ def blocks(root: Node, slot: dict[int, int]) -> list[Block]:
         elif isinstance(item, str):
             held.append(item)
             links += len(item.strip()) if linked else 0
-        elif not is_content(item, place > 0):
+        elif not is_content(item, place & (IN_MAIN | IN_ARTICLE) > 0) and id(item) not in frames:
             if item.tag in BLOCK:
                 close(at, place)
         elif item.tag == "br":
             held.append(" ")
         else:
-            inner = place | (IN_MAIN if is_main(item) else 0) | (IN_ARTICLE if is_article(item) else 0)
+            inner = place | (DOUBTFUL if item.tag in SWALLOWS and id(item) in frames else 0) | (IN_MAIN if is_main(item) else 0) | (IN_ARTICLE if is_article(item) else 0)
             block = item.tag in BLOCK or inner != place
             below = slot.get(id(item), at)
             if block:
@@ -500,11 +546,39 @@ def chars_in(place: int) -> Column:
 
 
 PLACES = {"whole": 0, "main": IN_MAIN, "article": IN_ARTICLE, "both": IN_MAIN | IN_ARTICLE}
+def content_root(wrapper: str, mass: dict[int, int]) -> list[int]:
+    """The wrapper's slots of the content: the root found from the top down, and all below it.
+
+    An article or main element is not left again, nor a slot whose child to go to stands
+    behind a heading of its own level, which belongs to it.
+    """
+    tree = Tree.read(wrapper)
+    total = [mass.get(i, 0) for i in range(len(tree.labels))]
+    for i in range(len(total) - 1, 0, -1):  # children come after their parents
+        total[tree.parents[i]] += total[i]
+    at = 0
+    while total[at]:
+        tag = tree.labels[at].split(".")[0]
+        inner = [x for x in tree.kids[at] if tree.kids[x] and total[x] >= DENSE * total[at]]
+        if tag in ("article", "main") or not inner:
+            break
+        before = tree.kids[at][: tree.kids[at].index(inner[0])]
+        if at and tag != "body" and any(tree.labels[x].split(".")[0] in HEADINGS and total[x] for x in before):
+            break
+        at = inner[0]
+    if not at:
+        return []
+    below = [at]
+    for x in below:
+        below += tree.kids[x]
+    return sorted(below)
+
+
 _NAMED_ARROW = ["host", "shape", "named", "kind"]
 
 
-def named_slots(parsed: DataFrame) -> DataFrame:
-    """(host, shape, named, kind): the wrapper's slots of each distinct skeleton, stashed."""
+def named_slots(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, shape, named, kind): the wrapper's slots of each distinct skeleton; and (host, wrapper); both stashed."""
     shapes = stash(parsed.groupBy("host", "shape").agg(F.min("skeleton").alias("skeleton")), "shapes")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,13 +586,14 @@ def named_slots(parsed: DataFrame) -> DataFrame:
             found = [slots_of(s, w) for s, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.string())], _NAMED_ARROW)
 
-    met = shapes.join(wrappers(shapes), "host").select("host", "shape", "skeleton", "wrapper")
-    return stash(met.mapInArrow(match, "host string, shape long, named array<int>, kind string"), "named")
+    trees = stash(wrappers(shapes), "wrappers")
+    met = shapes.join(trees, "host").select("host", "shape", "skeleton", "wrapper")
+    return stash(met.mapInArrow(match, "host string, shape long, named array<int>, kind string"), "named"), trees
 
 
 def rules(parsed: DataFrame) -> DataFrame:
-    """What hosts' wrappers say of the pages of each (of_host, of_shape): named slots, template (slot, hash), navigation slots, content place; null where there is no rule."""
-    named = named_slots(parsed)
+    """What hosts' wrappers say of the pages of each (of_host, of_shape): named slots, template (slot, hash), navigation slots, content slots, content place; null where there is no rule."""
+    named, trees = named_slots(parsed)
     key = F.struct("slot", "hash")
     block = F.transform(
         F.arrays_zip("slots", "places", "chars", "links", "hashes"),
@@ -541,9 +616,19 @@ def rules(parsed: DataFrame) -> DataFrame:
 
     summed = vary.select("host", "kind", *[chars_in(p).alias(x) for x, p in PLACES.items()]).groupBy("host", "kind").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in PLACES])
     places = stash(summed.filter(F.col("n") >= LEAST_PAGES).select("host", "kind", place_of(*[F.col(x) for x in PLACES]).alias("wanted")), "places")
-    found = named.join(places, ["host", "kind"], "left").join(constant, "host", "left").join(loose, "host", "left")
-    found = found.filter("wanted is not null or template is not null or navigation is not null")
-    return stash(found.select(F.col("host").alias("of_host"), F.col("shape").alias("of_shape"), "named", "wanted", "template", "navigation"), "rules")
+
+    masses = vary.select("host", F.inline("blocks")).groupBy("host", "slot").agg(F.sum(F.col("chars") - F.col("links")).alias("mass")).join(pages, ["host", "slot"], "left_semi")
+    masses = masses.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "mass"))).alias("masses"))  # bounded by a wrapper's slots
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [content_root(w, dict(m)) for w, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["host", "inside"])
+
+    inside = trees.join(masses, "host").select("host", "wrapper", "masses").mapInArrow(look, "host string, inside array<int>").filter(F.size("inside") > 0)
+    found = named.join(places, ["host", "kind"], "left").join(constant, "host", "left").join(loose, "host", "left").join(stash(inside, "insides"), "host", "left")
+    found = found.filter("wanted is not null or template is not null or navigation is not null or inside is not null")
+    return stash(found.select(F.col("host").alias("of_host"), F.col("shape").alias("of_shape"), "named", "wanted", "template", "navigation", "inside"), "rules")
 
 
 def in_template(slot: Column, hashed: Column) -> Column:
@@ -562,7 +647,7 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     read = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("string").alias("page_id"), F.col("url"), F.col("html"), host.alias("host"))
     parsed = stash(parsed_pages(read), "parsed")
-    met = parsed.join(with_checked_size(rules(parsed), 20_000), (F.col("host") == F.col("of_host")) & (F.col("shape") == F.col("of_shape")), "left")
+    met = parsed.join(rules(parsed), (F.col("host") == F.col("of_host")) & (F.col("shape") == F.col("of_shape")), "left")
     block = F.transform(
         F.arrays_zip("slots", "places", "chars", "hashes", "texts"),
         lambda b: F.struct(F.get("named", b["slots"]).alias("slot"), b["places"].alias("place"), b["chars"].alias("chars"), b["hashes"].alias("hash"), b["texts"].alias("text")),
@@ -570,9 +655,13 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     rest = met.withColumn("blocks", block).withColumn("blocks", F.filter("blocks", lambda b: ~in_template(b["slot"], b["hash"])))
     wanted = F.coalesce("wanted", place_of(*[chars_in(p) for p in PLACES.values()]))
     in_links = lambda b: (b["place"] == 0) & F.coalesce(F.array_contains("navigation", b["slot"]), F.lit(False))
-    kept = F.filter("blocks", lambda b: (b["place"].bitwiseAND(F.col("wanted")) == F.col("wanted")) & ~in_links(b))
+    own = F.filter("blocks", lambda b: (b["place"].bitwiseAND(F.col("wanted")) == F.col("wanted")) & ~in_links(b))
+    of_root = F.filter("blocks", lambda b: F.array_contains("inside", b["slot"]))
+    chars = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda a, b: a + b["chars"])
+    rest = rest.withColumn("wanted", wanted).withColumn("own", own).withColumn("root", F.when(F.col("inside").isNotNull(), of_root))
+    kept = F.when(F.col("root").isNotNull() & (3 * chars("root") >= chars("own")), F.col("root")).otherwise(F.col("own"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return rest.withColumn("wanted", wanted).select(F.col("page_id").cast(pages.schema[key].dataType).alias(key), "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return rest.select(F.col("page_id").cast(pages.schema[key].dataType).alias(key), "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_wrapper(spark, sf_dir: str) -> DataFrame:
