@@ -65,8 +65,11 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, most:
     """
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumns({"digest": digest(html), "bytes": F.octet_length(html).cast("long")})
-    first = keyed.groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first_id"))
-    rows = keyed.join(first, F.col("digest") == F.col("of"))
+    # only payloads that occur more than once are looked up; with a written table Spark knows whether it is small enough to
+    # broadcast, and html is shuffled only where it is not
+    twice = keyed.groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    rows = keyed.join(stash(twice.select("of", "least"), "payloads"), F.col("digest") == F.col("of"), "left")
+    rows = rows.withColumn("first_id", F.when(F.col("of").isNull(), F.col("page_id")).otherwise(F.col("least"))).drop("least")
     revisit = (F.col("bytes") >= least) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     body = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html"))
