@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import daily, evaluation, inputs, metrics, models, more, networks, records, series, whole, wider
+from tidemark.plans import daily, evaluation, inputs, metrics, models, more, networks, records, series, stricter, whole, wider
 
-_MODULES = (daily, metrics, series, records, models, more, inputs, evaluation, wider, whole, networks)
+_MODULES = (daily, metrics, series, records, models, more, inputs, evaluation, wider, whole, networks, stricter)
 
 
 def queries() -> dict:

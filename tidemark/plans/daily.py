@@ -47,7 +47,7 @@ def labels(spark, sf_dir) -> DataFrame:
 
 
 def win_state_trace(spark, sf_dir):
-    return traced(spark, sf_dir, CELLS[:1]).select("site", "local_date", "class", "state_before", "state_after", "transition", F.col("below_run").cast("long").alias("below_run"), F.when(F.col("completion"), F.col("ordinal")).cast("long").alias("completion_no"))
+    return traced(spark, sf_dir).select("site", "ref_lane", "lane", "local_date", "class", "state_before", "state_after", "transition", F.col("below_run").cast("long").alias("below_run"), F.when(F.col("completion"), F.col("ordinal")).cast("long").alias("completion_no"))
 
 
 def win_lineage(spark, sf_dir):
@@ -113,9 +113,9 @@ def jn_panel_pair(spark, sf_dir):
 
 
 def agg_transition(spark, sf_dir):
-    """Counts of each step between states, by site and over all sites."""
-    steps = traced(spark, sf_dir, CELLS[:1])
-    return steps.rollup("state_before", "state_after", "site").agg(F.count("*").alias("n"), F.grouping_id().alias("g")).filter("g in (0, 1)").drop("g")
+    """Counts of each step between states of each cell, by site and over all sites."""
+    steps = traced(spark, sf_dir)
+    return steps.rollup("ref_lane", "lane", "state_before", "state_after", "site").agg(F.count("*").alias("n"), F.grouping_id().alias("g")).filter("g in (0, 1)").drop("g")
 
 
 def agg_crosstab(spark, sf_dir):
@@ -229,7 +229,7 @@ QUERIES = {
     for f in (win_state_trace, win_lineage, win_calendarize, agg_ref_threshold, win_issue_labels, jn_asof_latest, jn_prev_closed_day, agg_input_age, agg_no_score, agg_threshold_support, agg_support_cells, jn_panel_pair, agg_transition, agg_crosstab, set_completion_diff, agg_event_inputs)
 }
 SQL = {
-    "win_state_trace": f"WITH {_D},{_T},{_TR} SELECT site, local_date, class, state_before, state_after, transition, CAST(least(low_run, 3) AS BIGINT) AS below_run, CAST(CASE WHEN completion THEN ordinal END AS BIGINT) AS completion_no FROM trace WHERE ref_lane = 'primary' AND lane = 'primary'",
+    "win_state_trace": f"WITH {_D},{_T},{_TR} SELECT site, ref_lane, lane, local_date, class, state_before, state_after, transition, CAST(least(low_run, 3) AS BIGINT) AS below_run, CAST(CASE WHEN completion THEN ordinal END AS BIGINT) AS completion_no FROM trace",
     "win_lineage": f"WITH {_D},{_T},{_TR} SELECT c.site, c.ref_lane, c.lane, c.local_date, string_agg(CAST(b.local_date AS VARCHAR) || b.class, ',' ORDER BY b.local_date) AS arming FROM trace c JOIN trace b ON b.site = c.site AND b.ref_lane = c.ref_lane AND b.lane = c.lane AND b.local_date BETWEEN c.local_date - 3 AND c.local_date - 1 WHERE c.completion GROUP BY ALL",
     "win_calendarize": f"WITH {_D} SELECT site, local_date, value, quality FROM days",
     "agg_ref_threshold": f"WITH {_D},{_T} SELECT site, ref_lane, n, lo, hi, g_num, g_den FROM thr",
@@ -241,7 +241,7 @@ SQL = {
     "agg_threshold_support": f"WITH {_D} SELECT site, count(*) AS n_days, count(*) FILTER (quality = 'approved_unflagged') AS n_approved, count(*) FILTER (quality = 'estimated_flagged') AS n_estimated, count(*) FILTER (quality = 'missing_date') AS n_missing FROM days WHERE local_date < DATE '2024-01-16' GROUP BY site",
     "agg_support_cells": f"WITH {_D},{_T},{_TR},{_L} SELECT ref_lane, lane, horizon, count(*) AS n, count(*) FILTER (status = 'positive') AS n_positive, count(*) FILTER (status = 'negative') AS n_negative, count(*) FILTER (status = 'unknown') AS n_unknown, count(*) FILTER (issue_state = 'armed') AS n_eligible FROM labels4 GROUP BY ALL",
     "jn_panel_pair": f"WITH {_D},{_T},{_TR},{_L} SELECT a.status AS left_status, b.status AS right_status, horizon, count(*) AS n FROM (SELECT * FROM labels4 WHERE ref_lane = 'primary' AND lane = 'primary') a FULL JOIN (SELECT * FROM labels4 WHERE ref_lane = 'primary' AND lane = 'unflagged') b USING (site, issue_date, horizon) GROUP BY ALL",
-    "agg_transition": f"WITH {_D},{_T},{_TR} SELECT state_before, state_after, site, count(*) AS n FROM trace WHERE ref_lane = 'primary' AND lane = 'primary' GROUP BY GROUPING SETS ((state_before, state_after, site), (state_before, state_after))",
+    "agg_transition": f"WITH {_D},{_T},{_TR} SELECT ref_lane, lane, state_before, state_after, site, count(*) AS n FROM trace GROUP BY GROUPING SETS ((ref_lane, lane, state_before, state_after, site), (ref_lane, lane, state_before, state_after))",
     "agg_crosstab": f"WITH {_D},{_T},{_TR},{_L},{_I} SELECT ref_lane, lane, horizon, l.status, issue_state, i.status AS input_status, count(*) AS n FROM labels4 l JOIN inputs i USING (site, issue_date) GROUP BY ALL",
     "set_completion_diff": f"""WITH {_D},{_T},{_TR},
         a AS (SELECT site, local_date FROM trace WHERE completion AND ref_lane = 'primary' AND lane = 'primary'), b AS (SELECT site, local_date FROM trace WHERE completion AND ref_lane = 'primary' AND lane = 'unflagged')
