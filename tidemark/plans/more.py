@@ -10,7 +10,7 @@ from tidemark.operators import series as S
 from tidemark.plans import daily as P
 from tidemark.plans.series import _SLOTS, DAY_THRESHOLD, slots, timed
 from tidemark.sources import releases
-from tidemark.sources.views import DAILY_SQL, PRED_SQL, daily_values, predictions, table
+from tidemark.sources.views import CALENDAR, DAILY_SQL, PRED_SQL, REFERENCE_END, daily_values, observations, predictions, table
 
 HORIZON = 3
 
@@ -39,13 +39,16 @@ def win_causal_conv(spark, sf_dir):
 
 
 def win_issue_calendar(spark, sf_dir):
-    d = spark.sql("SELECT explode(sequence(date'2024-01-16', date'2024-01-30')) AS d")
-    return d.select((F.unix_seconds(F.col("d").cast("timestamp")) + 43_200).alias("issue_s"))
+    """The noon issues of every site that has observations."""
+    sites = observations(spark, sf_dir).select("site").distinct()
+    days = F.explode(F.sequence(F.lit(REFERENCE_END).cast("date"), F.date_sub(F.lit(CALENDAR[1]).cast("date"), 1))).alias("d")
+    return sites.select("site", days).select("site", (F.unix_date("d").cast("long") * 86_400 + 43_200).alias("issue_s"))
 
 
 def win_expected_closures(spark, sf_dir):
-    """Dates that close in (issue, issue + h] of each noon issue, from the calendar alone."""
-    d = spark.sql("SELECT explode(sequence(date'2024-01-16', date'2024-01-30')) AS issue_date").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in (24, 48, 72)])))
+    """Dates that close in (issue, issue + h] of the noon issue of each day with an event."""
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("issue_date")).distinct()
+    d = days.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in (24, 48, 72)])))
     return d.select("issue_date", F.col("horizon").cast("long").alias("horizon"), F.explode(F.sequence(F.lit(0), (F.col("horizon") / 24).cast("int") - 1)).alias("k")).select("issue_date", "horizon", F.date_add("issue_date", F.col("k")).alias("closing"))
 
 
@@ -164,8 +167,8 @@ SQL = {
     "ex_exposure": f"WITH {_ON} SELECT site, issue, CASE WHEN n_future = 0 THEN 'no_future_onset' WHEN unbounded THEN 'unknown_interval_may_precede_issue' ELSE 'bounded_interval' END AS first_status, CAST(CASE WHEN n_future > 0 AND NOT unbounded THEN 24 * (lo - issue) END AS BIGINT) AS lead_lower, CAST(CASE WHEN n_future > 0 AND NOT unbounded THEN 24 * (up - issue) END AS BIGINT) AS lead_upper FROM lab",
     "jn_coverage": f"WITH {_SLOTS} SELECT a.site, a.day, count(*) FILTER (b.usable) = {HORIZON + 1} AS complete FROM slots a JOIN slots b ON b.site = a.site AND b.day BETWEEN a.day AND a.day + {HORIZON} GROUP BY 1, 2",
     "win_causal_conv": "SELECT user_id AS site, event_id AS obs_id, round(0.5 * v + 0.25 * lag(v, 2, 0.0) OVER w + 0.25 * lag(v, 4, 0.0) OVER w, 4) AS filtered FROM (SELECT *, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
-    "win_issue_calendar": "SELECT CAST(epoch(d) AS BIGINT) + 43200 AS issue_s FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-16', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS d)",
-    "win_expected_closures": "SELECT CAST(d AS DATE) AS issue_date, CAST(h AS BIGINT) AS horizon, CAST(c AS DATE) AS closing FROM (SELECT unnest(generate_series(DATE '2024-01-16', DATE '2024-01-30', INTERVAL 1 DAY)) AS d), (SELECT unnest([24, 48, 72]) AS h), (SELECT unnest(generate_series(DATE '2024-01-10', DATE '2024-02-05', INTERVAL 1 DAY)) AS c) WHERE c + INTERVAL 24 HOUR > d + INTERVAL 12 HOUR AND c + INTERVAL 24 HOUR <= d + INTERVAL 12 HOUR + to_hours(h)",
+    "win_issue_calendar": "SELECT site, CAST(epoch(d) AS BIGINT) + 43200 AS issue_s FROM (SELECT DISTINCT user_id AS site FROM events), (SELECT unnest(generate_series(TIMESTAMP '2024-01-16', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS d)",
+    "win_expected_closures": "SELECT CAST(d AS DATE) AS issue_date, CAST(h AS BIGINT) AS horizon, CAST(c AS DATE) AS closing FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), (SELECT unnest([24, 48, 72]) AS h), LATERAL (SELECT unnest(generate_series(d - INTERVAL 3 DAY, d + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS c) WHERE c + INTERVAL 24 HOUR > d + INTERVAL 12 HOUR AND c + INTERVAL 24 HOUR <= d + INTERVAL 12 HOUR + to_hours(h)",
     "win_pagination": "SELECT linked, count(*) AS n FROM (SELECT lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) = turn + 1 AS linked FROM conversations) GROUP BY 1",
     "prj_truth_lane": f"WITH {DAILY_SQL} SELECT site, local_date, quality IN ('approved_unflagged', 'estimated_flagged') AS primary_truth, quality = 'approved_unflagged' AS input_usable FROM days",
     "agg_type8_float": f"WITH {_D},{_T} SELECT site, ref_lane, round(CAST(lo AS DOUBLE) + (CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE)) * g_num / g_den, 4) AS threshold FROM thr",

@@ -50,8 +50,8 @@ def prj_ident(spark, sf_dir):
 
 
 def win_day_window(spark, sf_dir):
-    """Civil days of two years in three zones, with the ones that cannot be mapped (compared in tests with known cases)."""
-    days = spark.sql("SELECT explode(sequence(date'2017-01-01', date'2018-12-31')) AS day")
+    """Every day with an order as a civil day of three zones, with the ones that cannot be mapped (compared in tests with known cases)."""
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     out = None
     for zone in ("America/New_York", "America/Sao_Paulo", "America/Havana"):
         d = C.civil_day(F.col("day"), zone)
