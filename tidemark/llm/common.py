@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,14 +20,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 _stashed: list[tuple[SparkSession, str]] = []
 
 
+@functools.cache
+def _private_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a private one only in local mode where none is configured (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _private_dir()
     return base.rstrip("/")
 
 
