@@ -39,8 +39,8 @@ def _drop_written() -> None:
             return
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table read back: lineage ends here."""
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table read back, in folders by a column if one is named: lineage ends here."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*([by] if by else [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

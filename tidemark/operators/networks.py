@@ -31,10 +31,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
-def gelu(x: np.ndarray) -> np.ndarray:
-    """x times the normal distribution's cumulated density, by the error function itself."""
+def normal_share(x: np.ndarray) -> np.ndarray:
+    """The normal distribution's cumulated density, by the error function itself."""
     flat = (x / math.sqrt(2.0)).ravel()
-    return 0.5 * x * (1.0 + np.fromiter(map(math.erf, flat.tolist()), dtype=float, count=len(flat)).reshape(x.shape))
+    return 0.5 * (1.0 + np.fromiter(map(math.erf, flat.tolist()), dtype=float, count=len(flat)).reshape(x.shape))
+
+
+def gelu(x: np.ndarray) -> np.ndarray:
+    return x * normal_share(x)
 
 
 def affine(w: Weights, name: str, x: np.ndarray) -> np.ndarray:
@@ -142,6 +146,19 @@ def entity_lstm(w: Weights, x: np.ndarray, static: np.ndarray) -> np.ndarray:
     return finite(affine(w, "class.1", np.maximum(affine(w, "class.0", hidden), 0.0)))[:, 0]
 
 
+def stacked(batch: pa.RecordBatch, first: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Rows of equal shapes and their nested columns from `first` on as arrays, some BATCH_NUMBERS numbers at a time."""
+    parts = [[np.array(v, dtype=bool if isinstance(v[0], list) and isinstance(v[0][0], bool) else float) for v in c.to_pylist()] for c in batch.columns[first:]]
+    by_shape: dict[tuple, list[int]] = {}
+    for i in range(batch.num_rows):
+        by_shape.setdefault(tuple(p[i].shape for p in parts), []).append(i)
+    for rows in by_shape.values():
+        most = max(1, BATCH_NUMBERS // max(1, sum(p[rows[0]].size for p in parts)))
+        for k in range(0, len(rows), most):
+            some = rows[k : k + most]
+            yield some, [np.stack([p[i] for i in some]) for p in parts]
+
+
 def applied(samples: DataFrame, weights: Weights, run: Callable[..., np.ndarray], columns: tuple[str, ...], key: str = "sample") -> DataFrame:
     """(sample, score) of run(weights, arrays...) over the named nested array columns; a null in one of them raises.
 
@@ -155,16 +172,9 @@ def applied(samples: DataFrame, weights: Weights, run: Callable[..., np.ndarray]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [[np.array(v, dtype=bool if isinstance(v[0], list) and isinstance(v[0][0], bool) else float) for v in batch.column(i + 1).to_pylist()] for i in range(len(columns))]
             out = np.zeros(batch.num_rows)
-            by_length: dict[tuple, list[int]] = {}
-            for i in range(batch.num_rows):
-                by_length.setdefault(tuple(p[i].shape for p in parts), []).append(i)
-            for rows in by_length.values():
-                most = max(1, BATCH_NUMBERS // max(1, sum(p[rows[0]].size for p in parts)))
-                for k in range(0, len(rows), most):
-                    some = rows[k : k + most]
-                    out[some] = run(held.value, *[np.stack([p[i] for i in some]) for p in parts])
+            for rows, arrays in stacked(batch, 1):
+                out[rows] = run(held.value, *arrays)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], [key, "score"])
 
     return samples.select(key, *columns).mapInArrow(scored, f"{key} {kind}, score double")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import corruption, networks
+from tidemark.functions.shared import shared_path, written
+from tidemark.operators import corruption, gradients, networks, training
 from tidemark.sources.views import CALENDAR, observations
 
 #: Spread of the weights below. No trained weights are published; these stand for them.
 SPREAD, WIDTH, HIDDEN, HEADS = 0.3, 16, 8, 2
 RATE, SPAN, SEED = 0.2, 12, 11
+#: Days whose mean is the label, share of cells that masked training hides, and how long both models are trained.
+WEEK, MASKED, FIT = 7, 0.25, training.Settings(epochs=4, patience=2, blocks=2)
 
 
 def cells(spark, sf_dir):
@@ -116,6 +121,67 @@ class _Score:
         return networks.reconstruction_score(w, x, seen, self.how, HEADS)
 
 
+class _Lstm:
+    """Cross entropy of every epoch; steps are relative to a window's first."""
+
+    def __call__(self, epoch: int):
+        return self.loss
+
+    @staticmethod
+    def loss(w, x, static, label):
+        return gradients.entity_lstm_loss(w, x - x[:, :1], static, label)
+
+
+class _Masked:
+    """Squared error of cells that an epoch's draw hides, another draw each epoch."""
+
+    def __call__(self, epoch: int):
+        return functools.partial(self.loss, SEED + epoch * 1000)
+
+    @staticmethod
+    def loss(seed, w, x, seen, sample):
+        return gradients.masked_loss(w, x, seen, training.drawn_mask(seed, sample[:, 0], seen, MASKED), HEADS)
+
+
+def labelled(spark, sf_dir):
+    """Windows but for their last week, whether that week's observed values have a mean above 50, and which sites are for validation."""
+    rows = windows(spark, sf_dir)
+    kept = lambda c: F.expr(f"slice({c}, 1, size({c}) - {WEEK})").alias(c)
+    last = F.flatten(F.slice("x", -WEEK, WEEK))  # a missing cell is 0, the scaled mean of 50
+    label = (F.aggregate(last, F.lit(0.0), lambda a, v: a + v) > 0).cast("double")
+    return rows.select("sample", kept("x"), kept("seen"), "static", F.array(label).alias("label"), F.array(F.col("sample").cast("double")).alias("id"), (F.pmod(F.col("sample"), F.lit(5)) == 0).alias("validation"))
+
+
+def trained_lstm(samples):
+    w = drawn(lstm_shapes(_channels(samples), 2, HIDDEN))
+    return training.train(samples, w, _Lstm(), ("x", "static", "label"), FIT)
+
+
+def nn_train(spark, sf_dir):
+    """Losses of both models' training by epoch: the entity-aware LSTM and the masked reconstruction."""
+    samples = written(labelled(spark, sf_dir), "labelled")
+    n = _channels(samples)
+    masked = training.train(samples, drawn(encoder_shapes(2 * n, WIDTH) | head_shapes("reconstruct", WIDTH, n)), _Masked(), ("x", "seen", "id"), FIT)
+    rows = [(name, e.epoch, round(e.train_loss, 6), round(e.validation_loss, 6), e.epoch == t.best_epoch) for name, t in (("ealstm", trained_lstm(samples)), ("masked", masked)) for e in t.trace]
+    return spark.createDataFrame(rows, "model string, epoch int, train_loss double, validation_loss double, best boolean")
+
+
+def nn_replay(spark, sf_dir):
+    """A trained model saved, read back and run again: every site's probability by both, and whether they are the same."""
+    samples = written(labelled(spark, sf_dir), "labelled")
+    t, path = trained_lstm(samples), shared_path(spark, "model")
+    training.save(spark, t.weights, path)
+    again = training.load(spark, path, {n: v.shape for n, v in t.weights.items()})
+    first, second = (networks.applied(samples, w, _relative_lstm, ("x", "static")) for w in (t.weights, again))
+    p = lambda c: F.round(1 / (1 + F.exp(-F.col(c))), 6)
+    rows = first.join(second.withColumnRenamed("score", "replayed"), "sample").join(samples.select("sample", "label", "validation"), "sample")
+    return rows.select("sample", "validation", F.element_at("label", 1).cast("int").alias("label"), p("score").alias("p"), p("replayed").alias("p_replayed"), (F.col("score") == F.col("replayed")).alias("same"))
+
+
+def _relative_lstm(w, x, static):
+    return networks.entity_lstm(w, x - x[:, :1], static)
+
+
 _U = "(CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) / 4294967296.0)"
 _CELLS = """
 daily AS (SELECT user_id AS sample, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS t, event_type AS channel, count(*) AS n FROM events GROUP BY ALL),
@@ -124,7 +190,7 @@ cells AS (
   FROM (SELECT DISTINCT user_id AS sample FROM events) s CROSS JOIN (SELECT DISTINCT event_type AS channel FROM events) k CROSS JOIN (SELECT unnest(range(0, 30)) AS t) t
   LEFT JOIN daily d ON d.sample = s.sample AND d.t = t.t AND d.channel = k.channel)"""
 
-QUERIES = {f.__name__: f for f in (nn_corrupt, nn_ealstm, nn_tcn, nn_score_a)}
+QUERIES = {f.__name__: f for f in (nn_corrupt, nn_ealstm, nn_tcn, nn_score_a, nn_train, nn_replay)}
 SQL = {
     "nn_corrupt": f"""WITH {_CELLS},
 told AS (
