@@ -274,3 +274,20 @@ def test_stream_refuses_holes_and_repeats(spark, tmp_path, days, message):
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     with pytest.raises(Exception, match=message):
         charts.run_available(spark, charts.stream_control_chart(stream, 5.0, 2.0), f"{tmp_path}/out", f"{tmp_path}/state")
+
+
+def test_steps_over_slices(spark):
+    """Thresholds and scores cut into slices of a few rows, null keys and scores included; no frame looks ahead through a whole key."""
+    rng = random.Random(4)
+    marks = [(k, x, rng.random()) for k in ("a", "b", None) for x in rng.sample(range(100), 30)]
+    asked = [(k, rng.choice([None, *range(-5, 110)]), f"{i}") for i, k in enumerate(rng.choices(["a", "b", "c", None], k=400))]
+    fitted = spark.createDataFrame(marks, "key string, k long, fitted double")
+    out = fitting.step_predict(spark.createDataFrame(asked, "key string, k long, id string"), fitted, slice_rows=7)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+
+    def expected(key, s):
+        mine = sorted((x, v) for k, x, v in marks if k == key)
+        below = [v for x, v in mine if s is not None and x <= s]
+        return below[-1] if below else mine[0][1] if mine else None
+
+    assert {(r.key, r.id, r.k, r.p) for r in out.collect()} == {(k, i, s, expected(k, s)) for k, s, i in asked}

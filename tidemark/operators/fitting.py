@@ -37,18 +37,28 @@ def isotonic(g: DataFrame, key: str, score: str = "k") -> DataFrame:
     return by_slices.isotonic(g, key, score)
 
 
-def step_predict(scores: DataFrame, fitted: DataFrame, score: str = "k", value: str = "fitted") -> DataFrame:
+def step_predict(scores: DataFrame, fitted: DataFrame, score: str = "k", value: str = "fitted", slice_rows: int = by_slices.SLICE_ROWS) -> DataFrame:
     """The fitted value of the rightmost threshold at or below each score; below all the first one.
 
-    Thresholds and scores are one sorted stream per key, so no inequality join is needed.
+    Thresholds and distinct scores are one sorted stream, cut by range into slices; a slice
+    takes over the last threshold before it. Samples then meet their score's value.
     """
-    marks = fitted.select("key", F.col(score).alias("s"), F.lit(0).alias("is_score"), F.col(value).alias("v"), F.lit(None).cast("string").alias("id"))
-    rows = scores.select("key", F.col(score).alias("s"), F.lit(1).alias("is_score"), F.lit(None).cast("double").alias("v"), "id")
-    w = Window.partitionBy("key").orderBy("s", "is_score")
-    both = rows.unionByName(marks)
-    last = F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn("p", F.coalesce(last, first)).filter("is_score = 1").select("key", "id", F.col("s").alias(score), "p")
+    marks = written(fitted.select("key", F.col(score).alias("s"), F.lit(0).alias("is_score"), F.col(value).alias("v")), "marks")
+    asked = scores.select("key", F.col(score).alias("s")).distinct().select("key", "s", F.lit(1).alias("is_score"), F.lit(None).cast("double").alias("v"))
+    both = written(marks.unionByName(asked), "steps")
+    parts = max(1, -(-both.count() // slice_rows))
+    sliced = written(both.repartitionByRange(parts, "key", "s", "is_score").withColumn("slice", F.spark_partition_id()), "step_slices")
+    # what a slice takes over: a row a key and slice
+    by_slice = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sliced.groupBy("key", "slice").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.struct("s", "is_score"))).alias("end"))
+    before = ends.select(F.col("key").alias("__key"), F.col("slice").alias("__slice"), F.last("end", ignorenulls=True).over(by_slice).alias("before"))
+    first = marks.filter("v is not null").groupBy(F.col("key").alias("__first_key")).agg(F.min_by("v", F.struct("s", "is_score")).alias("first"))
+    own = F.last("v", ignorenulls=True).over(Window.partitionBy("key", "slice").orderBy("s", "is_score").rowsBetween(Window.unboundedPreceding, 0))
+    told = sliced.withColumn("own", own).filter("is_score = 1")
+    told = told.join(before, F.col("key").eqNullSafe(F.col("__key")) & (F.col("slice") == F.col("__slice"))).join(first, F.col("key").eqNullSafe(F.col("__first_key")), "left")
+    told = written(told.select(F.col("key").alias("__key"), F.col("s").alias("__s"), F.coalesce("own", "before", "first").alias("p")), "steps_told")
+    met = scores.join(told, F.col("key").eqNullSafe(F.col("__key")) & F.col(score).eqNullSafe(F.col("__s")))
+    return met.select("key", "id", score, "p")
 
 
 def platt(g: DataFrame, key: str, steps: int = 200, rate: float = 0.05, l2: float = 0.1, least_weight: float = 0.01, clip: float = 25.0) -> DataFrame:
