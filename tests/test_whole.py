@@ -7,12 +7,14 @@ import io
 import os
 import random
 import tarfile
+from datetime import date
 from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.digits import fraction_text
+from tidemark.operators import panels
 from tidemark.sources import archives, replays
 
 
@@ -126,3 +128,14 @@ def test_replay_set(spark, tmp_path):
     with open(manifest, "w") as f:
         f.write('{"a": 3}')
     assert {r.name for r in replays.verify_replay_set(spark, out, manifest).collect() if r.status != "ok"} == {"manifest"}
+
+
+def test_pairs_of_cells_that_both_have(spark):
+    """A site without a threshold in one lane has no pair with it, as in SQL; a repeated label raises."""
+    cells = [("primary", "primary"), ("unflagged", "primary")]
+    day = date(2024, 1, 20)
+    rows = [(site, *cell, day, 24, "negative", "armed") for site in (1, 2) for cell in cells if (site, cell[0]) != (2, "unflagged")]
+    kind = "site long, ref_lane string, lane string, issue_date date, horizon int, status string, issue_state string"
+    assert [r.site for r in panels.paired(spark.createDataFrame(rows, kind), cells).collect()] == [1]
+    with pytest.raises(Exception, match="repeats a key"):
+        panels.paired(spark.createDataFrame([*rows, rows[0]], kind), cells).collect()

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import season
-from tidemark.sources.decoders import strict
 
 CELL = ("ref_lane", "lane")
 STATUSES = ("positive", "negative", "unknown")
@@ -59,7 +58,10 @@ def cell_pairs(cells: Sequence[tuple[str, str]]) -> list[tuple[str, str, str, st
 
 
 def paired(labels: DataFrame, cells: Sequence[tuple[str, str]]) -> DataFrame:
-    """Labels of both cells of each pair by site, issue and horizon; a panel that one of them lacks raises."""
+    """Labels of both cells of each pair by site, issue and horizon, where both have one; two of one cell raise.
+
+    A cell has no panel of a site whose reference gives it no threshold.
+    """
     spark = labels.sparkSession
     pairs = spark.createDataFrame(cell_pairs(cells), "l_ref string, l_lane string, r_ref string, r_lane string, contrast string")
     facts = labels.select("site", "issue_date", "horizon", *CELL, "status", "issue_state", (F.col("issue_state") == "armed").alias("eligible"))
@@ -70,7 +72,9 @@ def paired(labels: DataFrame, cells: Sequence[tuple[str, str]]) -> DataFrame:
     pair = ["l_ref", "l_lane", "r_ref", "r_lane", "contrast", "site", "issue_date", "horizon"]
     one = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     met = rows.groupBy(*pair).agg(F.count_if(F.col("side") == "l").alias("n_l"), F.count_if(F.col("side") == "r").alias("n_r"), *[one(s, c).alias(f"{s}_{c}") for s in ("l", "r") for c in ("status", "eligible", "issue_state")])
-    return strict(met, (F.col("n_l") == 1) & (F.col("n_r") == 1), "the cells' panels have different keys").drop("n_l", "n_r")
+    # one expression, so that no filter is moved before the check
+    repeated = F.raise_error(F.lit("a cell's panel repeats a key")).cast("boolean")
+    return met.filter(F.when((F.col("n_l") > 1) | (F.col("n_r") > 1), repeated).otherwise((F.col("n_l") == 1) & (F.col("n_r") == 1))).drop("n_l", "n_r")
 
 
 def transitions(labels: DataFrame, targets: DataFrame, cells: Sequence[tuple[str, str]]) -> DataFrame:
