@@ -151,3 +151,9 @@ def test_leads_by_category(spark):
     found = spark.createDataFrame([(1, 9, 0, 2, 10.0, 14.0), (2, 8, 0, 1, 4.0, 4.0), (2, 7, 0, None, None, None)], "site long, obs_id long, t long, event_id long, lead_lower double, lead_upper double")
     out = {r.category: (r.n_events, r.n_detected, r.recall, r.mean_lead, r.median_lead, r.min_lead, r.max_lead) for r in leadtime.by_category(found, events, ("action", "minor", "major")).collect()}
     assert out == {"action": (0, 0, 0.0, None, None, None, None), "minor": (1, 0, 0.0, None, None, None, None), "major": (2, 2, 1.0, 8.0, 8.0, 4.0, 12.0)}
+
+
+def test_a_manifest_is_parsed_once(spark):
+    out = spark.range(3).select(providers.manifest_problem(F.concat(F.lit('{"pages":["p"],"n":'), F.col("id").cast("string"), F.lit("}"))).alias("problem"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert {r.problem for r in out.collect()} == {"sites_missing"}

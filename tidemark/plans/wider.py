@@ -83,7 +83,8 @@ def src_manifest_validate(spark, sf_dir):
         F.when(k == 12, F.array(text("2000-01-01"))).otherwise(span("2000-01-01", "2000-06-01", (9, "1999-01-01"), (11, "2000-09-01"))).alias("reference"),
         span("2000-07-01", "2000-12-30", (-1, None), (10, "2001-02-01")).alias("issues"),
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", P.manifest_problem(F.to_json(manifest)).alias("problem"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism * 4, "c_custkey")  # a small file a core
+    return rows.select("c_custkey", P.manifest_problem(F.to_json(manifest)).alias("problem"))
 
 
 def sink_replay(spark, sf_dir):

@@ -77,7 +77,11 @@ def event_intervals(spark: SparkSession, source: str | DataFrame | Sequence[Mapp
 
 def manifest_problem(manifest: Column) -> Column:
     """The first reason why a capture manifest (JSON) cannot be replayed, else NULL."""
-    m = F.from_json(manifest, MANIFEST)
+    # bound by a lambda, so that a manifest is parsed once and not again for each field and rule
+    return F.get(F.transform(F.array(F.from_json(manifest, MANIFEST)), _problem), 0)
+
+
+def _problem(m: Column) -> Column:
     sites, at = m["sites"], lambda name, i: F.get(m[name], i)
     ids, series = F.transform(sites, lambda s: s["site_id"]), F.transform(sites, lambda s: s["series_id"])
     empty = lambda a: F.exists(a, lambda x: F.coalesce(F.trim(x), F.lit("")) == "")
