@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,31 @@ def test_the_encoder_sees_no_future_and_refuses_what_is_not_finite():
     x[0, 0, 0] = np.nan
     with pytest.raises(ValueError, match="finite"):
         networks.encode(w, x, 2)
+
+
+def test_batches_become_arrays_piece_by_piece(monkeypatch):
+    """Rows keep their places, and no piece has more numbers than a layer works on together."""
+    rng = np.random.default_rng(3)
+    rows = [rng.random((int(n), 2)).tolist() for n in rng.integers(1, 4, 500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(rows)], ["sample", "x"])
+    monkeypatch.setattr(networks, "BATCH_NUMBERS", 64)
+    seen, pieces = {}, 0
+    for places, (x,) in networks.stacked(batch, 1):
+        assert x.size <= 64
+        pieces += 1
+        seen |= dict(zip(places, x.tolist(), strict=True))
+    assert [seen[i] for i in range(500)] == rows
+    assert pieces >= sum(len(r) * 2 for r in rows) // 64
+
+
+def test_a_score_of_each_kind_by_one_rebuilding(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    w = plan.drawn(plan.encoder_shapes(4, plan.WIDTH) | plan.head_shapes("reconstruct", plan.WIDTH, 2))
+    x, seen = rng.standard_normal((3, 6, 2)), rng.random((3, 6, 2)) < 0.7
+    calls = []
+    whole = networks.step_errors
+    monkeypatch.setattr(networks, "step_errors", lambda *a: calls.append(1) or whole(*a))
+    found = plan._scores(w, x, seen)
+    assert len(calls) == 1
+    for i, how in enumerate(plan.HOW):
+        assert np.allclose(found[:, i], networks.reconstruction_score(w, x, seen, how, plan.HEADS), rtol=1e-12)
