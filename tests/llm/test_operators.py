@@ -696,3 +696,17 @@ def test_rare_labels(spark):
     got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert {got[i].language for i in rare} == {"fr"} and {got[i].language for i in range(6000)} == {"en"}
     assert {(got[i].text_lang, got[i].language, got[i].kept) for i, *_ in junk} == {("und", "und", False)}
+
+
+def test_near_copies_lose_no_pair(spark):
+    """Short texts, whose fingerprints lie far apart, texts with a line in common and a family: the brute-force groups, exactly."""
+    rng = random.Random(77)
+    fresh = lambda n: [f"u{rng.randrange(5000)}" for _ in range(n)]
+    line = fresh(9)
+    found = [fresh(rng.randint(9, 40)) for _ in range(90)] + [line + fresh(rng.randint(1, 4)) for _ in range(60)]
+    found += [edited(rng, x, 1) for x in found[:90] for _ in range(2)]
+    hot = fresh(60)
+    found += [edited(rng, hot, rng.randint(0, 5)) for _ in range(90)]
+    rows = [(i, " ".join(x), "en", "s", 0) for i, x in enumerate(found)] + [(900, None, "en", "s", 0), (901, " ", "en", "s", 0)]
+    expected = set(brute_near_copies(rows).values())
+    assert {r.doc_id for r in simhash.group_heads(spark.createDataFrame(rows, DOCS)).collect()} == expected

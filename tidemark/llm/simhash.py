@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, stash, table, texts, with_checked_size
 from tidemark.llm.components import components
-from tidemark.llm.near_copies import rooted_rows
+from tidemark.llm.near_texts import rooted_rows
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Runs of bits of the candidate search: C(7, 3) = 35 buckets a fingerprint, keys of 27 or 28 bits.
@@ -194,8 +194,8 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 def group_heads(docs: DataFrame) -> DataFrame:
     """docs with exactly one document of each near-duplicate group, all columns kept.
 
-    Groups are those of `near_copies`: texts linked by a Jaccard similarity of 0.8 or more
-    of their five-word shingles, found by fingerprints of 128 bits. The one that stays is the group's first by doc_id (null last), then by text hash, then by a hash of all
+    Groups are those of `near_texts`: texts linked by a Jaccard similarity of 0.8 or more
+    of their five-word shingles, by an exact set join. The one that stays is the group's first by doc_id (null last), then by text hash, then by a hash of all
     columns; rows equal in all three are copies, of which one stays. Rows without a doc_id
     are grouped by their texts as any other.
     """
