@@ -710,3 +710,46 @@ def test_near_copies_lose_no_pair(spark):
     rows = [(i, " ".join(x), "en", "s", 0) for i, x in enumerate(found)] + [(900, None, "en", "s", 0), (901, " ", "en", "s", 0)]
     expected = set(brute_near_copies(rows).values())
     assert {r.doc_id for r in simhash.group_heads(spark.createDataFrame(rows, DOCS)).collect()} == expected
+
+
+def test_near_rows_by_sketches():
+    """Sketches leave no pair out that is similar enough, few others in, whatever the sizes; crowded shingles pair by shards as without."""
+    import numpy as np
+
+    from tidemark.llm import near_texts
+
+    gen = np.random.default_rng(5)
+    fresh = lambda n: gen.integers(-(1 << 63), (1 << 63) - 1, n)
+    sets = []
+    for size in (1, 3, 9, 31, 33, 60, 64, 130, 500, 1030):
+        base = fresh(size)
+        sets += [np.unique(np.concatenate((base[gen.random(size) >= gen.random() * 0.3], fresh(int(size * gen.random() * 0.2) + 1)))) for _ in range(24)]
+    sets.sort(key=len)
+    n = np.array([len(x) for x in sets])
+    sketches = [near_texts.sketch(x) for x in sets]
+    shared = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    similar = {(a, b) for b in range(len(sets)) for a in range(b) if 9 * shared(a, b) >= 4 * (n[a] + n[b])}
+    for root, side in ((np.arange(len(n)), None), (np.arange(len(n)) // 2, np.arange(len(n)) % 3)):
+        found = [x for a, b, _ in near_texts.near_rows(n, root, side, sketches, tile=32) for x in zip(a.tolist(), b.tolist(), strict=True)]
+        allowed = {(a, b) for a, b in similar if root[a] != root[b] and (side is None or side[a] != side[b])}
+        assert len(found) == len(set(found)) and allowed <= set(found)
+        assert len(found) < 2 * len(allowed)
+
+
+def test_large_family_is_paired_sparsely(spark):
+    """Of a family at one shingle each text is held against its closest one first, not against all."""
+    import numpy as np
+
+    from tidemark.llm import near_texts
+
+    gen = np.random.default_rng(6)
+    base = gen.integers(-(1 << 63), (1 << 63) - 1, 100)
+    sets = [np.unique(np.concatenate((base[gen.random(100) > 0.05], gen.integers(-(1 << 63), (1 << 63) - 1, 3)))) for _ in range(300)]
+    rows = spark.createDataFrame([(h, i, len(x), bytearray(near_texts.sketch(x)), i) for h in (1, 2) for i, x in enumerate(sets)], "h long, node long, n int, sketch binary, root long")
+    for shard in (64, 4096):
+        first = near_texts.many_pairs(rows, True, shard).select("a", "b").distinct().collect()
+        assert {x for r in first for x in r} == set(range(300)) and len(first) <= (300 if shard > 300 else 300 * 5)
+        every = {tuple(r) for r in near_texts.many_pairs(rows, False, shard).select("a", "b").collect()}
+        assert {(a, b) for b in range(300) for a in range(b) if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))} <= every
+        one = rows.withColumn("root", near_texts.F.lit(0).cast("long"))
+        assert near_texts.many_pairs(one, False, shard).count() == 0
