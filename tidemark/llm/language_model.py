@@ -44,6 +44,8 @@ PART, ROUNDS, STEPS, BATCH = 1 << 20, 4, 64, (1 << 10, 1 << 15)
 RATE, CALM = 0.1, 10.0
 #: Where weights start: pseudo-counts of the class and the token counts, and each class feature's share of its log ratio.
 PULL, INNER_PULL, SHARES = 100.0, 100.0, (0.4, 0.4, 0.4, 0.4)
+#: Rows of a batch that meet one row of weights: more than so many are summed alone.
+LONG = 32
 #: Bound of every weight.
 LARGEST = 15.0
 #: Numbers of one block of weights on its way to the sums.
@@ -173,7 +175,7 @@ def log_probability(fitted: Fitted, codes: np.ndarray, lengths: np.ndarray) -> n
     first = fitted.weights[0] + fitted.bias
     tokens = (fitted.weights[-1].reshape(INNER, -1, WIDTH) + fitted.inner_bias).reshape(-1, WIDTH)
     klass = fitted.classes[codes]
-    step = 2048
+    step, ones = 2048, np.ones(CLASSES, np.float32)
     x, part, y = np.empty((step, CLASSES), np.float32), np.empty((step, CLASSES), np.float32), np.empty((step, WIDTH), np.float32)
     out = np.empty(len(codes))
     for a in range(0, len(codes), step):
@@ -186,29 +188,52 @@ def log_probability(fitted: Fitted, codes: np.ndarray, lengths: np.ndarray) -> n
             now += more
         got = now[np.arange(n), klass[a:b]].astype(float)
         np.exp(now, out=now)
-        got -= np.log(now.sum(axis=1))
+        got -= np.log(now @ ones[:CLASSES])
         top, row, slot = inner_rows(fitted, codes[a:b], inner[a:b])
         if len(top):
             z = y[: len(top)]
             np.take(tokens, row, axis=0, out=z, mode="clip")
             chosen = z[np.arange(len(top)), slot].astype(float)
             np.exp(z, out=z)
-            got[top] += chosen - np.log(z.sum(axis=1))
+            got[top] += chosen - np.log(z @ ones[:WIDTH])
         out[a:b] = got
     rest = codes >= TOP
     out[rest] -= fitted.log_shapes[codes[rest] - TOP]
     return out
 
 
+def run_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of g's rows, taken in `order`, over the runs that begin at `first`: the runs, the longest first, and their sums.
+
+    Short runs all take their k-th rows at once, long ones are summed alone; reduceat goes column by column.
+    """
+    sizes = np.diff(np.append(first, len(order)))
+    rank = np.argsort(-sizes, kind="stable")
+    start, size = first[rank], sizes[rank]
+    rows = lambda at: np.take(g, at, axis=0, mode="clip")  # noqa: E731  quicker than an index
+    out = rows(order[start])
+    longer = lambda k: int(np.searchsorted(-size, -k, side="left"))
+    alone = longer(LONG)
+    for i in range(alone):
+        out[i] = rows(order[start[i] : start[i] + size[i]]).sum(axis=0)
+    for k in range(1, LONG):
+        n = longer(k)
+        if n <= alone:
+            break
+        out[alone:n] += rows(order[start[alone:n] + k])
+    return rank, out
+
+
 def step_rows(w: np.ndarray, power: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
     """One Adagrad step of the rows that a batch meets, with one rate a row."""
     order = np.argsort(rows.astype(np.int16), kind="stable")  # 16 bits sort by counting
     ordered = rows[order]
     first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
-    met = ordered[first]
-    summed = np.add.reduceat(g[order], first, axis=0)
+    rank, summed = run_sums(g, order, first)
+    met = ordered[first[rank]]
     power[met] += np.einsum("ij,ij->i", summed, summed) / summed.shape[1]
-    w[met] -= summed * (RATE / np.sqrt(power[met]))[:, None]
+    summed *= (RATE / np.sqrt(power[met]))[:, None]
+    w[met] = np.take(w, met, axis=0, mode="clip") - summed
 
 
 def descend(fitted: Fitted, codes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -217,7 +242,7 @@ def descend(fitted: Fitted, codes: np.ndarray, lengths: np.ndarray) -> list[np.n
     power = [np.full(len(w), CALM, dtype=np.float32) for w in weights]  # starts high: rare rows move little
     outer, inner = features(codes, lengths)
     klass = fitted.classes[codes]
-    biases = np.tile(fitted.inner_bias, (INNER, 1))
+    ones = np.ones(CLASSES, np.float32)
     more = np.empty((2048, CLASSES), np.float32)
     batch = min(max(len(codes) // STEPS, BATCH[0]), BATCH[1])
     for a in range(0, len(codes), batch):
@@ -232,14 +257,16 @@ def descend(fitted: Fitted, codes: np.ndarray, lengths: np.ndarray) -> list[np.n
                 now += part
             now += fitted.bias
             np.exp(now, out=now)
-            now /= now.sum(axis=1, keepdims=True)
+            now /= (now @ ones[:CLASSES])[:, None]
             now[np.arange(j - i), klass[i:j]] -= 1
         for w, p, f in zip(weights[:-1], power[:-1], outer, strict=True):
             step_rows(w, p, f[a:b], g)
         top, row, slot = inner_rows(fitted, codes[a:b], inner[a:b])
         if len(top):
-            g = np.exp(weights[-1][row] + biases[row])
-            g /= g.sum(axis=1, keepdims=True)
+            g = np.take(weights[-1], row, axis=0, mode="clip")
+            g += np.take(fitted.inner_bias, row % (TOP // WIDTH), axis=0, mode="clip")
+            np.exp(g, out=g)
+            g /= (g @ ones[:WIDTH])[:, None]
             g[np.arange(len(top)), slot] -= 1
             step_rows(weights[-1], power[-1], row, g)
     return [w - o for w, o in zip(weights, fitted.weights, strict=True)]
